@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import written
-from . import mixing
+from . import merkle, mixing, sharding
 from .common import table, words
 
 
@@ -40,6 +40,49 @@ SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 1 ELSE coalesc
 FROM placed LEFT JOIN copies c USING (doc_id)
 """
 
-QUERIES = {"op2_source_mix": op2_source_mix}
+def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    out = sharding.kd_shards(docs, 8)
+    return out.select("row.doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
-ORACLE_SQL = {"op2_source_mix": OP2_SQL}
+
+def op10_merkle_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = merkle.with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n = F.length("text").cast("long")
+    cut = F.floor(n / 4).cast("int")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), (n - cut).cast("int")), F.substring(F.col("next_text"), F.lit(1), cut))
+    rows = rows.withColumn("edited", edited).withColumn("edited_fingerprint", merkle.fingerprint(F.col("edited")))
+    near = lambda c: merkle.likeness(F.col("fingerprint"), F.col(c))
+    return rows.select("doc_id", n.alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", near("edited_fingerprint").alias("near_edited"), near("next_fingerprint").alias("near_next"))
+
+
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, md5(coalesce(text, '')) AS tie FROM documents),
+n AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id, tie), first_value(text) OVER (ORDER BY doc_id, tie ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS next_text FROM d),
+e AS (SELECT *, substring(text, 1, (length(text) - length(text) // 4)::INT) || substring(next_text, 1, (length(text) // 4)::INT) AS edited FROM n),
+texts AS (SELECT DISTINCT x FROM (SELECT text AS x FROM e UNION ALL SELECT edited FROM e)),
+tree AS (SELECT x, list_transform(string_split_regex(x, '
+{2,}'), lambda s: list_transform(string_split(s, chr(10)), lambda p:
+                list_transform(regexp_extract_all(p, '(?s).{1,32}'), lambda c: md5(c)))) AS t FROM texts),
+prints AS (SELECT x, sha256(array_to_string(list_transform(t, lambda s: md5(array_to_string(list_transform(s, lambda p: md5(array_to_string(p, ''))), ''))), '')) AS root,
+                  array_to_string(list_transform(t, lambda s: array_to_string(list_transform(s, lambda p: array_to_string(list_transform(p, lambda c: c[1:8]), '')), '.')), '/') AS enc,
+                  list_distinct(list_transform(flatten(flatten(t)), lambda c: c[1:8])) AS leaves FROM tree),
+j AS (SELECT e.doc_id, length(e.text)::BIGINT AS n_chars, sha256(e.edited) AS edited_sha256, a.root || ':' || a.enc AS fingerprint, b.root || ':' || b.enc AS edited_fingerprint,
+             a.root AS ra, b.root AS rb, c.root AS rc, a.leaves AS la, b.leaves AS lb, c.leaves AS lc
+      FROM e JOIN prints a ON a.x = e.text JOIN prints b ON b.x = e.edited JOIN prints c ON c.x = e.next_text)
+SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
+       CASE WHEN ra = rb THEN 1.0 ELSE 2.0 * len(list_intersect(la, lb)) / greatest(len(la) + len(lb), 1) END::DOUBLE AS near_edited,
+       CASE WHEN ra = rc THEN 1.0 ELSE 2.0 * len(list_intersect(la, lc)) / greatest(len(la) + len(lc), 1) END::DOUBLE AS near_next
+FROM j
+"""
+
+QUERIES = {
+    "op2_source_mix": op2_source_mix,
+    "op3_kd_shards": op3_kd_shards,
+    "op10_merkle_tree": op10_merkle_tree,
+}
+
+ORACLE_SQL = {
+    "op2_source_mix": OP2_SQL,
+    "op10_merkle_tree": OP10_SQL,
+}
