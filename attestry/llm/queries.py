@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import written
-from . import merkle, mixing, sharding
+from . import boilerplate, merkle, mixing, sharding, token_counts
 from .common import table, words
 
 
@@ -46,6 +46,36 @@ def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str, limit: int = 512) -> DataFrame:
+    out = token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+    return out.withColumn("over_limit", F.col("n_tokens") > limit)
+
+
+def op8_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = boilerplate.strip_boilerplate(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    n = F.size("lines")
+    return out.select("row.page_id", "host", n.alias("n_lines"), (n - F.size("kept")).alias("n_dropped"), F.array_join("kept", "\n").alias("kept_text"))
+
+
+OP8_SQL = r"""
+WITH t AS (SELECT page_id, coalesce(lower(regexp_extract(url, '@HOST', 1)), '') AS host,
+                  regexp_replace(regexp_replace(regexp_replace(replace(coalesce(html, ''), chr(10), ' '), '@HIDDEN', ' ', 'g'), '@BLOCK', chr(10), 'g'), '<[^>]*>', '', 'g') AS x FROM pages),
+u AS (SELECT page_id, host, replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&quot;', '"'), '&#39;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS x FROM t),
+l AS (SELECT page_id, host, list_filter(list_transform(string_split(x, chr(10)), lambda y: trim(regexp_replace(y, '[\x09\x0B-\x0D\x20]+', ' ', 'g'), ' ')), lambda y: y <> '') AS lines FROM u),
+n AS (SELECT host, count(*) AS pages FROM l WHERE host <> '' GROUP BY host),
+c AS (SELECT host, line, count(*) AS c FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM l WHERE host <> '') GROUP BY host, line),
+b AS (SELECT c.host, list(line) AS bad FROM c JOIN n USING (host) WHERE c.c >= 3 AND c.c > n.pages * 0.1::DOUBLE GROUP BY c.host)
+SELECT page_id, l.host, len(lines)::INT AS n_lines, (len(lines) - len(k))::INT AS n_dropped, array_to_string(k, chr(10)) AS kept_text
+FROM (SELECT page_id, l.host, lines, CASE WHEN bad IS NULL THEN lines ELSE list_filter(lines, lambda y: NOT list_contains(bad, y)) END AS k FROM l LEFT JOIN b ON l.host = b.host) l
+""".replace("@HOST", boilerplate.HOST).replace("@HIDDEN", boilerplate.HIDDEN).replace("@BLOCK", boilerplate.BLOCK)
+
+
 def op10_merkle_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = merkle.with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
     n = F.length("text").cast("long")
@@ -79,10 +109,13 @@ FROM j
 QUERIES = {
     "op2_source_mix": op2_source_mix,
     "op3_kd_shards": op3_kd_shards,
+    "op5_token_counts": op5_token_counts,
+    "op8_site_lines": op8_site_lines,
     "op10_merkle_tree": op10_merkle_tree,
 }
 
 ORACLE_SQL = {
     "op2_source_mix": OP2_SQL,
+    "op8_site_lines": OP8_SQL,
     "op10_merkle_tree": OP10_SQL,
 }
