@@ -40,12 +40,13 @@ def strip_boilerplate(pages: DataFrame, ratio: float = 0.1, least_pages: int = 3
 
     A page counts once for a line, however often it repeats it; repeated rows are pages of their own.
     Pages without a host keep all lines; null html has none. Lines are compared by MD5 of the whole
-    line. Counts are summed by (host, line) with partial aggregation, so a large host is spread over
+    line. Pages are taken apart once and written. Counts are summed by (host, line) with partial aggregation, so a large host is spread over
     all tasks; a host has at most (lines a page / ratio) such lines, which go back to its pages.
 
-    Returns ``row`` (the input row as a struct), host, lines, kept (arrays of strings).
+    Returns ``row`` (the input row without html, as a struct), host, lines, kept (arrays of strings).
     """
-    rows = pages.select(F.struct("*").alias("row"), page_host(F.col("url")).alias("host"), page_lines(F.col("html")).alias("lines"))
+    rest = F.struct(*[F.col(f"`{c}`") for c in pages.columns if c != "html"])
+    rows = written(pages.select(rest.alias("row"), page_host(F.col("url")).alias("host"), page_lines(F.col("html")).alias("lines")), "lines")
     sited = rows.filter("host <> ''")
     seen = sited.select("host", F.explode(F.array_distinct(F.transform("lines", _digest))).alias("line")).groupBy("host", "line").count()
     totals = written(sited.groupBy("host").agg(F.count("*").alias("pages")), "hosts")
