@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import written
-from . import boilerplate, merkle, mixing, sharding, token_counts
+from . import boilerplate, merkle, mixing, sharding, token_counts, toxicity
 from .common import table, words
 
 
@@ -76,6 +76,13 @@ FROM (SELECT page_id, l.host, lines, CASE WHEN bad IS NULL THEN lines ELSE list_
 """.replace("@HOST", boilerplate.HOST).replace("@HIDDEN", boilerplate.HIDDEN).replace("@BLOCK", boilerplate.BLOCK)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.filter(~toxicity.held_out("doc_id")))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_merkle_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = merkle.with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
     n = F.length("text").cast("long")
@@ -111,6 +118,7 @@ QUERIES = {
     "op3_kd_shards": op3_kd_shards,
     "op5_token_counts": op5_token_counts,
     "op8_site_lines": op8_site_lines,
+    "op9_toxicity": op9_toxicity,
     "op10_merkle_tree": op10_merkle_tree,
 }
 
