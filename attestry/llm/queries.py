@@ -6,10 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import written
-from . import boilerplate, merkle, mixing, sharding, token_counts, toxicity
+from . import boilerplate, merkle, mixing, sharding, simhash, token_counts, toxicity
 from .common import table, words
 
 
+def op1_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    prints = simhash.with_fingerprint(docs).select("doc_id", "fp")
+    out = simhash.group(prints)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     thin = written(table(spark, sf_dir, "documents").select("doc_id", "source", words(F.col("text")).alias("n_words")), "words")
     return mixing.mix(thin, size=F.col("n_words")).select("row.doc_id", "size", "source_size", "target", "copies", "taken")
@@ -114,6 +121,7 @@ FROM j
 """
 
 QUERIES = {
+    "op1_simhash_pivots": op1_simhash_pivots,
     "op2_source_mix": op2_source_mix,
     "op3_kd_shards": op3_kd_shards,
     "op5_token_counts": op5_token_counts,
