@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,9 +31,8 @@ UNSURE = r"[^\u0000-\u0557\u2010-\u205e\u20a0-\u20bf\u3041-\u3096\u30a1-\u30fe\u
 def finder(path: str, pattern: str = PRE_TOKEN):
     """A function from a text to its pre-tokens."""
     import regex
-    from tokenizers import Tokenizer
 
-    plain, unsure, exact = regex.compile(pattern).findall, re.compile(UNSURE).search, Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+    plain, unsure, exact = regex.compile(pattern).findall, re.compile(UNSURE).search, _tokenizer(path).pre_tokenizer.pre_tokenize_str
     return lambda text: [text[a:b] for _, (a, b) in exact(text)] if unsure(text) else plain(text)
 
 
@@ -47,13 +48,21 @@ def pre_token_counts(text: str, find, special: str = SPECIAL) -> Counter:
     return Counter(find(text))
 
 
-def _pieces(path: str, pre_tokens: list[str]) -> list[int]:
+@lru_cache(maxsize=2)
+def _tokenizer(path: str):
+    """The tokenizer file, loaded once in each worker."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    return [len(e) for i in range(0, len(pre_tokens), 10_000) for e in tokenizer.encode_batch(pre_tokens[i : i + 10_000], add_special_tokens=False)]
+    return tokenizer
+
+
+def _pieces(path: str, pre_tokens: list[str]) -> list[int]:
+    tokenizer = _tokenizer(path)
+    return [len(e) for i in range(0, len(pre_tokens), 1000) for e in tokenizer.encode_batch(pre_tokens[i : i + 1000], add_special_tokens=False)]
 
 
 def count_tokens(docs: DataFrame, path: str, pattern: str = PRE_TOKEN, special: str = SPECIAL, head_rows: int = 2000) -> DataFrame:
