@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import written
-from . import boilerplate, merkle, mixing, sharding, simhash, token_counts, toxicity
+from ..storage import work_path, written
+from . import boilerplate, merkle, mixing, sharding, simhash, token_counts, toxicity, warc
 from .common import table, words
 
 
@@ -64,6 +64,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str, limit: int = 512) -> Data
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
+def op6_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = work_path(spark, "warc")
+    manifest = warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
+    return warc.read_archives(spark, folder, manifest, payloads=False).drop("url")
+
+
 def op8_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = boilerplate.strip_boilerplate(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     n = F.size("lines")
@@ -125,6 +131,7 @@ QUERIES = {
     "op2_source_mix": op2_source_mix,
     "op3_kd_shards": op3_kd_shards,
     "op5_token_counts": op5_token_counts,
+    "op6_warc_roundtrip": op6_warc_roundtrip,
     "op8_site_lines": op8_site_lines,
     "op9_toxicity": op9_toxicity,
     "op10_merkle_tree": op10_merkle_tree,
