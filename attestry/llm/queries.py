@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import work_path, written
-from . import boilerplate, merkle, mixing, sharding, simhash, token_counts, toxicity, warc
+from . import boilerplate, decontamination, merkle, mixing, sharding, simhash, token_counts, toxicity, warc
 from .common import table, words
 
 
@@ -53,6 +53,10 @@ def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")).drop("key")
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -130,6 +134,7 @@ QUERIES = {
     "op1_simhash_pivots": op1_simhash_pivots,
     "op2_source_mix": op2_source_mix,
     "op3_kd_shards": op3_kd_shards,
+    "op4_template_leaks": op4_template_leaks,
     "op5_token_counts": op5_token_counts,
     "op6_warc_roundtrip": op6_warc_roundtrip,
     "op8_site_lines": op8_site_lines,
