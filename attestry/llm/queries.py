@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import work_path, written
-from . import boilerplate, decontamination, merkle, mixing, sharding, simhash, token_counts, toxicity, warc
+from . import boilerplate, decontamination, merkle, mixing, sharding, simhash, suffixes, token_counts, toxicity, warc
 from .common import table, words
 
 
@@ -74,6 +74,11 @@ def op6_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, folder, manifest, payloads=False).drop("url")
 
 
+def op7_suffix_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), kept=False)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op8_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = boilerplate.strip_boilerplate(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     n = F.size("lines")
@@ -137,6 +142,7 @@ QUERIES = {
     "op4_template_leaks": op4_template_leaks,
     "op5_token_counts": op5_token_counts,
     "op6_warc_roundtrip": op6_warc_roundtrip,
+    "op7_suffix_order": op7_suffix_order,
     "op8_site_lines": op8_site_lines,
     "op9_toxicity": op9_toxicity,
     "op10_merkle_tree": op10_merkle_tree,
