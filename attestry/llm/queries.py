@@ -13,7 +13,7 @@ from .common import table, words
 def op1_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     prints = simhash.with_fingerprint(docs).select("doc_id", "fp")
-    out = simhash.group(prints)
+    out = simhash.group(prints, simhash.block_masks(3), 3)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

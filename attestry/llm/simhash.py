@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
@@ -24,91 +24,109 @@ SLICE = 1 << 15
 PIVOTS, BLOCKS = 24, 6
 #: A bucket with more fingerprints is dealt over pairs of parts.
 HOT = 20_000
+#: Ids that are sent to every task, at most (8 bytes each).
+BROADCAST_IDS = 1_000_000
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """64-bit SimHash: bit i is set if it is set in over half of the shingles' XXH64 (seed 42)."""
+def fingerprint(text: str | None, shingle: int = 3, wide: bool = False) -> np.ndarray:
+    """SimHash of a text as words of 64 bits: a bit is set if it is set in over half of the shingles' hashes.
+
+    The hash is XXH64 with seed 42, or the 128 bits of XXH3 if ``wide``. No words: all zero.
+    """
     words = (text or "").encode().translate(FOLD).split()
+    width = 2 if wide else 1
     if not words:
-        return 0
-    hashed = xxhash.xxh64_intdigest
-    if len(words) < shingle:
-        return hashed(b" ".join(words), 42)
-    line, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words])
-    starts = np.concatenate([[0], ends[:-shingle]]).tolist()
-    h = np.array([hashed(line[a:b], 42) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)], dtype="<u8")
-    ones = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(h), SLICE):
-        ones += np.unpackbits(h[i : i + SLICE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
-
-
-def with_fingerprint(docs: DataFrame, shingle: int = 3, name: str = "fp") -> DataFrame:
-    """Add the fingerprint of text as a long (its 64 bits as a signed number)."""
+        return np.zeros(width, np.uint64)
+    if len(words) <= shingle:
+        line, cuts = b" ".join(words), [(0, None)]
+    else:
+        line, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words])
+        cuts = list(zip([0, *ends[:-shingle].tolist()], (ends[shingle - 1 :] - 1).tolist(), strict=True))
+    ones = np.zeros(64 * width, dtype=np.int64)
+    for i in range(0, len(cuts), SLICE):
+        part = cuts[i : i + SLICE]
+        if wide:
+            h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(line[a:b], 42) for a, b in part]), np.uint8)
+        else:
+            h = np.array([xxhash.xxh64_intdigest(line[a:b], 42) for a, b in part], dtype="<u8").view(np.uint8)
+        ones += np.unpackbits(h.reshape(-1, 8 * width), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(cuts), bitorder="little").view("<u8")
+
+
+def with_fingerprint(docs: DataFrame, shingle: int = 3, wide: bool = False) -> DataFrame:
+    """Add fp (and fp2 if ``wide``), the fingerprint of text as longs."""
     small_batches(docs.sparkSession)
+    names = ["fp", "fp2"][: 1 + wide]
 
-    @F.pandas_udf("long")
-    def simhash(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf(", ".join(f"{n} long" for n in names))
+    def simhash(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
-            yield pd.Series(np.array([fingerprint(t, shingle) for t in batch], dtype=np.uint64).view(np.int64))
+            found = np.array([fingerprint(t, shingle, wide) for t in batch], dtype=np.uint64).reshape(len(batch), -1)
+            yield pd.DataFrame(found.view(np.int64), columns=names)
+
+    return docs.withColumn("_simhash", simhash(F.col("text"))).withColumns({n: F.col(f"_simhash.{n}") for n in names}).drop("_simhash")
 
-    return docs.withColumn(name, simhash(F.col("text")))
 
+def references(width: int, n: int = PIVOTS) -> np.ndarray:
+    """The reference fingerprints: fixed pseudo-random numbers of width words."""
+    return np.random.default_rng(64).integers(0, 2**64, (n, width), dtype=np.uint64)
 
-def references(n: int = PIVOTS) -> np.ndarray:
-    """The reference fingerprints: fixed pseudo-random 64-bit numbers."""
-    return np.random.default_rng(64).integers(0, 2**64, n, dtype=np.uint64)
+
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of fingerprints, by rows."""
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int16)
 
 
 def pivot_table(fps: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """Hamming distances of each fingerprint to each pivot, one row per pivot."""
-    return np.stack([np.bitwise_count(fps ^ p) for p in pivots]) if len(pivots) else np.zeros((0, len(fps)), np.uint8)
+    return np.stack([distance(fps, p) for p in pivots])
 
 
-def _masks(blocks: int) -> list[int]:
+def block_masks(most: int = 3, blocks: int = BLOCKS) -> list[tuple[int]]:
+    """Masks for 64-bit fingerprints: each choice of all but ``most`` blocks. Two fingerprints within
+    ``most`` bits differ in so many blocks at most, so they are equal under one mask."""
     edges = [64 * i // blocks for i in range(blocks + 1)]
-    return [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
+    masks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
+    return [(sum(chosen),) for chosen in combinations(masks, blocks - most)]
 
 
-def _keys(fp: Column, blocks: int, most: int) -> Column:
-    """One key for each way to choose blocks - most blocks.
+def sampled_masks(masks: int = 40, bits: int = 18) -> list[tuple[int, int]]:
+    """Masks for 128-bit fingerprints: fixed random choices of bits. Two fingerprints within d bits are equal
+    under one with probability 1 - (1 - (1 - d / 128) ** bits) ** masks: over 0.99 for 14, 0.95 for 18."""
+    r, out = np.random.default_rng(18), []
+    for _ in range(masks):
+        chosen = [int(i) for i in r.choice(128, bits, replace=False)]
+        out.append((sum(1 << i for i in chosen if i < 64), sum(1 << i - 64 for i in chosen if i >= 64)))
+    return out
 
-    Per block the table also holds the distances to the reference fingerprints 0 and 1, 2, 4, ... of
-    that block, counted over the block's bits alone. Together they are equal for two fingerprints just
-    if the block's bits are; so a key packs the distances of the chosen blocks as those bits. Two
-    fingerprints within ``most`` bits differ in so many blocks at most and share a key.
-    """
-    keys = []
-    for i, chosen in enumerate(combinations(_masks(blocks), blocks - most)):
-        mask = sum(chosen)
-        mask -= (mask >> 63) << 64
-        keys.append(F.struct(F.lit(i).alias("k"), fp.bitwiseAND(F.lit(mask)).alias("key")))
-    return F.explode(F.array(*keys))
+
+def _signed(mask: int) -> int:
+    return mask - ((mask >> 63) << 64)
 
 
 def link_runs(keys: np.ndarray, fps: np.ndarray, most: int, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links (fingerprint, a linked one) within runs of equal keys; keys are sorted.
+    """Spanning links (positions) within runs of equal keys; keys are sorted.
 
     Neighbours 1, 2, 3, ... places apart in the same run are compared at once: pairs already joined
     go, then pairs whose pivot distances differ by over ``most`` in any coordinate, then the survivors
     are verified bit by bit. Memory follows the rows; pairs are never listed.
     """
-    table = pivot_table(fps, pivots)
     root = np.arange(len(fps))
-    left: list[np.ndarray] = []
-    right: list[np.ndarray] = []
-    i, step = np.arange(len(fps)), 1
+    left: list[int] = []
+    right: list[int] = []
+    i, step, table = np.arange(len(fps)), 1, None
     while True:
         i = i[i + step < len(fps)]
         i = i[keys[i] == keys[i + step]]
         if not len(i):
             break
+        table = pivot_table(fps, pivots) if table is None else table
         x = i[root[i] != root[i + step]]
         for coordinates in table:
             if not len(x):
                 break
-            x = x[np.abs(coordinates[x].astype(np.int8) - coordinates[x + step].astype(np.int8)) <= most]
-        x = x[np.bitwise_count(fps[x] ^ fps[x + step]) <= most]
+            x = x[np.abs(coordinates[x] - coordinates[x + step]) <= most]
+        x = x[distance(fps[x], fps[x + step]) <= most]
         for a in x.tolist():
             ra, rb = a, a + step
             while root[ra] != ra:
@@ -117,52 +135,63 @@ def link_runs(keys: np.ndarray, fps: np.ndarray, most: int, pivots: np.ndarray)
                 root[rb] = rb = root[root[rb]]
             if ra != rb:
                 root[max(ra, rb)] = min(ra, rb)
-                left.append(fps[a])
-                right.append(fps[a + step])
+                left.append(a)
+                right.append(a + step)
         if len(x):
             while (root[root] != root).any():
                 root = root[root]
         step += 1
-    return np.array(left, dtype=np.uint64), np.array(right, dtype=np.uint64)
+    return np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
 
 
-def similar(fps: DataFrame, most: int = 3, blocks: int = BLOCKS, pivots: int = PIVOTS, hot: int = HOT) -> DataFrame:
-    """Links (a, b) between distinct fingerprints fp within ``most`` bits that leave the same components
-    as all such links would.
+def similar(prints: DataFrame, masks: list[tuple], most: int, pivots: int = PIVOTS, hot: int = HOT) -> DataFrame:
+    """Links (a, b) of nodes whose fingerprints are within ``most`` bits and equal under one of the masks, so
+    many of them that they leave the same components as all such links.
 
-    Fingerprints meet in buckets of equal block distances (see _keys); within a bucket the pivot
-    table's largest coordinate difference discards pairs and survivors are verified. A bucket of over
-    ``hot`` fingerprints is split into parts that meet two by two, so no task gathers it and none of
-    its pairs is left out.
+    prints: node and fp, or node, fp and fp2; fingerprints distinct. To the pivot table belong distances to
+    the reference fingerprints 0 and 1, 2, 4, ... of the bits of a mask, counted over these bits alone. They
+    are all equal for two fingerprints just if the bits are, so a bucket's key packs them as the bits under
+    the mask. Within a bucket the distances to the other references discard pairs by their largest
+    coordinate difference, and survivors are verified. A bucket of over ``hot`` fingerprints is split into
+    parts that meet two by two, so no task gathers it and none of its pairs is left out.
     """
-    spread = fps.select("fp", _keys(F.col("fp"), blocks, most).alias("z")).select("z.k", "z.key", "fp")
-    spread = written(spread, "buckets")
+    names = [c for c in ("fp", "fp2") if c in prints.columns]
+    keys = [F.struct(F.lit(i).alias("k"), F.xxhash64(*[F.col(c).bitwiseAND(F.lit(_signed(m))) for c, m in zip(names, mask, strict=True)]).alias("key")) for i, mask in enumerate(masks)]
+    spread = prints.select("node", *names, F.explode(F.array(*keys)).alias("z")).select("z.k", "z.key", "node", *names)
     crowded = written(spread.groupBy("k", "key").count().filter(F.col("count") > hot).withColumn("parts", F.ceil(F.col("count") / hot).cast("int")).drop("count"), "hot")
-    part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    pairs = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.least(part, q) * 65536 + F.greatest(part, q)))
     if crowded.isEmpty():
         dealt = spread.withColumn("cell", F.lit(0))
     else:
+        part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+        pairs = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.least(part, q) * 65536 + F.greatest(part, q)))
         dealt = spread.join(crowded, ["k", "key"], "left").withColumn("cell", F.explode(pairs)).drop("parts")
-    refs = references(pivots)
+    refs = references(len(names), pivots)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest_key, rest_fp = np.zeros((0, 3), np.int64), np.zeros(0, np.uint64)
+        rest = np.zeros((0, 4 + len(names)), np.int64)
+
+        def linked(rows: np.ndarray) -> pa.RecordBatch:
+            run = np.concatenate([[0], np.cumsum((rows[1:, :3] != rows[:-1, :3]).any(1))])[: len(rows)]
+            a, b = link_runs(run, np.ascontiguousarray(rows[:, 4:]).view(np.uint64), most, refs)
+            return pa.RecordBatch.from_arrays([pa.array(rows[a, 3]), pa.array(rows[b, 3])], schema=schema)
+
         for batch in batches:
-            key = np.concatenate([rest_key, np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("k", "key", "cell")], 1)])
-            fp = np.concatenate([rest_fp, batch.column("fp").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)])
+            new = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("k", "key", "cell", "node", *names)], 1)
+            rest = np.concatenate([rest, new])
             # the last run may go on in the next batch
-            run = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]).any(1))]) if len(key) else np.zeros(0, np.int64)
-            whole = np.searchsorted(run, run[-1]) if len(run) else 0
-            a, b = link_runs(run[:whole], fp[:whole], most, refs)
-            rest_key, rest_fp = key[whole:], fp[whole:]
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], schema=schema)
-        a, b = link_runs(np.zeros(len(rest_fp), np.int64), rest_fp, most, refs)
-        yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], schema=schema)
+            other = np.nonzero((rest[:, :3] != rest[-1, :3]).any(1))[0] if len(rest) else []
+            whole = int(other[-1]) + 1 if len(other) else 0
+            if whole:
+                yield linked(rest[:whole])
+                rest = rest[whole:]
+        if len(rest):
+            yield linked(rest)
 
-    n = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return dealt.repartition(n, "k", "key", "cell").sortWithinPartitions("k", "key", "cell").mapInArrow(join, "a long, b long").distinct()
+    spark = prints.sparkSession
+    small_batches(spark, 20_000)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, "k", "key", "cell").sortWithinPartitions("k", "key", "cell").select("k", "key", "cell", "node", *names).mapInArrow(join, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, most: int = 3, shingle: int = 3) -> DataFrame:
@@ -175,14 +204,35 @@ def near_duplicates(docs: DataFrame, most: int = 3, shingle: int = 3) -> DataFra
 
     Returns ``row`` (the input row as a struct), fp, component_id (the group's smallest doc_id).
     """
-    return group(with_fingerprint(docs.select(F.struct("*").alias("row"), "doc_id", "text")).drop("text"), most).select("row", "fp", "component_id")
+    return group(with_fingerprint(docs.select(F.struct("*").alias("row"), "doc_id", "text"), shingle).drop("text"), block_masks(most), most).select("row", "fp", "component_id")
 
 
-def group(prints: DataFrame, most: int = 3) -> DataFrame:
-    """Add component_id to rows that have doc_id and fp. Fingerprints without links stand alone."""
-    prints = written(prints, "fingerprints")
-    firsts = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "firsts")
-    roots = components(similar(firsts.select("fp"), most))
-    named = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+def group(prints: DataFrame, masks: list[tuple], most: int) -> DataFrame:
+    """Add component_id to rows that have doc_id, fp and maybe fp2. Fingerprints without links stand alone."""
+    names = [c for c in ("fp", "fp2") if c in prints.columns]
+    prints = written(prints.withColumn("node", F.col("fp") if len(names) == 1 else F.xxhash64(*names)), "fingerprints")
+    firsts = written(prints.groupBy("node", *names).agg(F.min("doc_id").alias("first")), "firsts")
+    roots = components(similar(firsts.drop("first"), masks, most))
+    named = firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(named.join(groups, "root").select("fp", "component_id"), "fp")
+    return prints.join(named.join(groups, "root").select("node", "component_id"), "node").drop("node")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, masks: list[tuple] | None = None) -> DataFrame:
+    """The rows of docs (doc_id, text, any other columns) but for near-duplicates: one row of each group stays.
+
+    128-bit SimHash over ``shingle`` words; two rows are near-duplicates if they agree in a share of
+    ``similarity`` of the bits or more, a group is a connected component, and its row with the smallest
+    doc_id stays, once if it is repeated. Rows without a doc_id stay. At this radius no choice of blocks is
+    sure to agree, so buckets are keyed by random bits (see sampled_masks for the share that is found).
+    """
+    masks = masks or sampled_masks()
+    prints = with_fingerprint(docs.filter("doc_id IS NOT NULL").select("doc_id", "text"), shingle, True).select("doc_id", "fp", "fp2")
+    grouped = written(group(prints, masks, int(128 * (1 - similarity))), "groups")
+    counts = grouped.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids"), F.count_if("doc_id <> component_id").alias("gone")).first()
+    gone = grouped.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.join(F.broadcast(gone) if counts["gone"] <= BROADCAST_IDS else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    if counts["n"] == counts["ids"]:
+        return left
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    return left.withColumn("_n", first).filter("_n = 1 OR doc_id IS NULL").drop("_n")
