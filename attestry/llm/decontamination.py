@@ -199,4 +199,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     """The rows of docs that hold no item of the benchmark, unchanged."""
     held = written(leaks(docs, benchmark, window, share).select(F.col("key").alias("_key")).distinct(), "leaks")
     small = held.count() <= BROADCAST_WINDOWS // 4
-    return docs.withColumn("_own", row_key()).join(F.broadcast(held) if small else held, F.col("_own") == F.col("_key"), "left_anti").drop("_own")
+    rows = docs.select(F.struct("*").alias("row"), row_key().alias("_own"))
+    return rows.join(F.broadcast(held) if small else held, F.col("_own") == F.col("_key"), "left_anti").select("row.*")

@@ -229,10 +229,11 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, masks:
     masks = masks or sampled_masks()
     prints = with_fingerprint(docs.filter("doc_id IS NOT NULL").select("doc_id", "text"), shingle, True).select("doc_id", "fp", "fp2")
     grouped = written(group(prints, masks, int(128 * (1 - similarity))), "groups")
-    counts = grouped.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids"), F.count_if("doc_id <> component_id").alias("gone")).first()
+    counts = grouped.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids"), F.count_if(F.col("doc_id") != F.col("component_id")).alias("gone")).first()
     gone = grouped.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(F.broadcast(gone) if counts["gone"] <= BROADCAST_IDS else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    if counts["n"] == counts["ids"]:
-        return left
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return left.withColumn("_n", first).filter("_n = 1 OR doc_id IS NULL").drop("_n")
+    rows = docs.select(F.struct("*").alias("row"))
+    left = rows.join(F.broadcast(gone) if counts["gone"] <= BROADCAST_IDS else gone, F.col("row.doc_id") == F.col("_gone"), "left_anti")
+    if counts["n"] != counts["ids"]:
+        first = F.row_number().over(Window.partitionBy("row.doc_id").orderBy(F.xxhash64("row.text")))
+        left = left.withColumn("_n", first).filter("_n = 1 OR row.doc_id IS NULL")
+    return left.select("row.*")
