@@ -38,7 +38,7 @@ from .files import opened
 LEAST, GRAM = 50, 24
 #: Bytes of a row group (before compression, about), of text hashed at once, of text a bucket stands for, and
 #: symbols inserted at once.
-BLOCK_BYTES, PIECE_BYTES, BUCKET_BYTES, SYMBOLS = 8 << 20, 1 << 20, 8 << 20, 2_000_000
+BLOCK_BYTES, PIECE_BYTES, BUCKET_BYTES, SYMBOLS = 8 << 20, 1 << 16, 8 << 20, 300_000
 END = 255  # no byte of UTF-8
 LAST = (1 << 63) - 1
 _r = np.random.default_rng(24)
@@ -86,7 +86,11 @@ def anchors(text: np.ndarray, lengths: np.ndarray, least: int = LEAST, gram: int
         done += step
     at = (m[start] & low).astype(np.int64)
     new = np.nonzero(np.concatenate([[True], at[1:] != at[:-1]]))[0]
-    return h[at[new]], start[new], start[np.concatenate([new[1:], [len(start)]]) - 1]
+    chosen = h[at[new]]  # least hashes, so mixed anew for an even choice of buckets
+    chosen ^= chosen << np.uint64(21)
+    chosen *= np.uint64(0x94D049BB133111EB)
+    chosen ^= chosen >> np.uint64(32)
+    return chosen, start[new], start[np.concatenate([new[1:], [len(start)]]) - 1]
 
 
 class Block:
@@ -136,6 +140,16 @@ def _pieces(text: np.ndarray, lengths: np.ndarray, least: int, gram: int) -> Ite
         yield h, a + at, b + at
 
 
+def _least_between(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The least of values[start:stop] for each of some ranges, none empty. In order of start, so that what
+    lies between two ranges is short."""
+    out = np.empty(len(start), values.dtype)
+    if len(start):
+        order = np.argsort(start, kind="stable")
+        out[order] = np.minimum.reduceat(values, np.stack([start[order], stop[order]], 1).ravel())[::2]
+    return out
+
+
 def suffix_order(data: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(string, offset, common prefix with the one before) of all suffixes of the strings that data joins.
 
@@ -164,10 +178,8 @@ def suffix_order(data: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
         same = (f > 0) & (bwt[before] == bwt[pos])
         follows = (f + 1 < n) & (bwt[after] == bwt[pos])
         up, down = np.zeros(len(pos), np.uint8), np.zeros(len(pos), np.uint8)
-        if same.any():
-            up[same] = 1 + np.minimum.reduceat(padded, np.stack([before[same] + 1, pos[same] + 1], 1).ravel())[::2]
-        if follows.any():
-            down[follows] = 1 + np.minimum.reduceat(padded, np.stack([pos[follows] + 1, after[follows] + 1], 1).ravel())[::2]
+        up[same] = 1 + _least_between(padded, before[same] + 1, pos[same] + 1)
+        down[follows] = 1 + _least_between(padded, pos[follows] + 1, after[follows] + 1)
         old = np.ones(n + len(new), bool)
         old[new] = False
         symbol = np.where(r < lengths[live], text[np.maximum(ends[live] - r - 1, 0)], END).astype(np.uint8)
