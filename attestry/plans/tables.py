@@ -36,7 +36,7 @@ def polls(spark: SparkSession, sf_dir: str) -> DataFrame:
 DICTIONARY = [
     ("Apache License", "license:apache", "license"), ("License", "license:any", "license"), ("Licensed under", "license:any", "license"),
     ("pathetic", "tone:bad", "tone"), ("worthless", "tone:bad", "tone"), ("loser", "tone:bad", "tone"),
-    ("trash", "waste", "thing"), ("Pathetic", "ignored", "tone"), ("thing", "thing", "thing"), ("tion", "tion", "thing"), ("the thing", "thing", "thing"),
+    ("trash", "waste", "thing"), ("Pathetic", "ignored", "tone"), ("thing", "thing", "thing"), ("clown", "clown", "thing"), ("the thing", "thing", "thing"),
 ]
 #: Golden sentences and a denial: (sid, source_id, tier, cluster, claim).
 GOLDEN = [
