@@ -38,7 +38,7 @@ from .files import opened
 LEAST, GRAM = 50, 24
 #: Bytes of a row group (before compression, about), of text hashed at once, of text a bucket stands for, and
 #: symbols inserted at once.
-BLOCK_BYTES, PIECE_BYTES, BUCKET_BYTES, SYMBOLS = 8 << 20, 1 << 16, 8 << 20, 300_000
+BLOCK_BYTES, PIECE_BYTES, BUCKET_BYTES, SYMBOLS = 4 << 20, 1 << 16, 8 << 20, 300_000
 END = 255  # no byte of UTF-8
 LAST = (1 << 63) - 1
 _r = np.random.default_rng(24)
@@ -297,6 +297,14 @@ def _context_order(hashes: np.ndarray) -> np.ndarray:
     return np.argsort(hashes, kind="stable")
 
 
+def _covered(starts: np.ndarray, least: int) -> np.ndarray:
+    """Which bytes of a document the strings that start at the marked places cover."""
+    upto = np.cumsum(starts, dtype=np.int32)
+    before = np.zeros_like(upto)
+    before[least:] = upto[:-least]
+    return upto > before
+
+
 def _tasks(folder: str, bits: int, least: int, gram: int, kept: bool) -> list[Callable]:
     """The five maps between blocks and buckets."""
 
@@ -372,18 +380,14 @@ def _tasks(folder: str, bits: int, least: int, gram: int, kept: bool) -> list[Ca
             # a string is marked where its context's answer has its bit, or where the context itself is in a smaller document here
             mask = np.where(b.ids[b.doc[at]] > ids[of], np.uint64(2**64 - 1), masks[of]) if len(at) else np.zeros(0, np.uint64)
             first, count = b.first[at], b.last[at] - b.first[at] + 1
-            marked = np.zeros(len(b.text) + 1, np.int8)
+            marked = np.zeros(len(b.text), bool)
             for j in range(int(count.max()) if len(count) else 0):
                 hit = (count > j) & (mask >> np.uint64(j) & np.uint64(1)).astype(bool)
-                marked[first[hit] + j] = 1
-            upto = np.concatenate([[0], np.cumsum(marked, dtype=np.int32)])
-            n = np.arange(len(b.text))
-            gone = upto[n + 1] > upto[np.maximum(n - least + 1, 0)]
-            del upto, n
+                marked[first[hit] + j] = True
             out, size, x = [], 0, 0
             whole = np.frombuffer(b.text, np.uint8)
             for i, length in zip(b.ids.tolist(), b.lengths.tolist(), strict=True):
-                g = gone[x : x + length]
+                g = _covered(marked[x : x + length], least)
                 step = np.diff(np.concatenate([[0], g.view(np.int8), [0]]))
                 starts, ends = np.nonzero(step == 1)[0], np.nonzero(step == -1)[0]
                 left = whole[x : x + length][~g].tobytes()
