@@ -47,11 +47,12 @@ def voices(evidence: DataFrame) -> DataFrame:
     """(claim_group, independent_voices, tier1_voices) of evidence (id, claim_group, cluster_id, independence_group, tier).
 
     Items of a claim group that share a non-null cluster or a non-empty independence group are one voice,
-    through any chain. Each shared value links its items to its first one, so links follow the items. The
-    first items of a claim group's (cluster, independence group) pairs stand for all others.
+    through any chain. Each shared value links its items to one of them, so links follow the items. One of
+    the items of a claim group's (cluster, independence group) pairs stands for all others. Ids are not looked at.
     """
-    e = evidence.groupBy("claim_group", "cluster_id", "independence_group").agg(F.min("id").alias("id"), F.min(F.when(F.col("tier") == 1, 1)).alias("tier1"))
-    e = written(e, "voices")
+    e = evidence.groupBy("claim_group", "cluster_id", "independence_group").agg(F.min(F.when(F.col("tier") == 1, 1)).alias("tier1"))
+    node = F.xxhash64("claim_group", F.col("cluster_id").isNull(), "cluster_id", F.col("independence_group").isNull(), "independence_group")
+    e = written(e.withColumn("id", node), "voices")
     links = None
     for c in ("cluster_id", "independence_group"):
         valued = e.filter(F.col(c).isNotNull() if c == "cluster_id" else F.coalesce(F.col(c), F.lit("")) != "")
@@ -123,7 +124,7 @@ def corroborate_quantities(claims: DataFrame, policy: Policy = Policy(), relativ
     """
     key = ["k_entity", "k_metric", "k_as_of"]
     c = claims.withColumns({"k_entity": F.coalesce("entity_id", F.lit("?")), "k_metric": F.coalesce("metric", F.lit("?")), "k_as_of": F.substring(F.coalesce("as_of", F.lit("")), 1, 10), "v": F.coalesce("value", F.lit(0.0))})
-    firsts = c.groupBy(*key).agg(F.min("id").alias("claim_group"), F.min_by("claim", "id").alias("_first"), *_merged())
+    firsts = c.groupBy(*key).agg(F.min_by("claim", "id").alias("_first"), *_merged())
     values = c.groupBy(*key, "v").agg(F.min_by(F.struct("claim", "unit", "value"), "id").alias("own"), F.collect_set("source_id").alias("by"))
     listed = values.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("v", "own", "by"))).alias("values"))
     listed = listed.withColumn("anchors", value_groups(F.transform("values", lambda x: x["v"]), relative, absolute))
@@ -139,8 +140,7 @@ def corroborate_quantities(claims: DataFrame, policy: Policy = Policy(), relativ
     many = F.size("anchors") > 1
     described = F.concat(F.lit("conflicting values: "), F.array_join(F.transform(F.sequence(F.lit(1), F.size("anchors")), told), " vs "))
     listed = listed.select(*key, many.alias("_many"), F.when(many, described).alias("conflict"), F.col("values")[0]["own"]["claim"].alias("_least"))
-    group = c.join(firsts.select(*key, "claim_group"), key)
-    out = firsts.join(listed, key).join(voices(group), "claim_group")
+    out = firsts.join(listed, key).withColumn("claim_group", F.struct(*key)).join(voices(c.withColumn("claim_group", F.struct(*key))), "claim_group")
     out = ruled(out, policy, F.col("_many")).withColumn("text", F.when(F.col("_many"), F.col("_least")).otherwise(F.col("_first")))
     return out.withColumn("claim_type", F.lit("quantitative")).withColumnsRenamed({"k_entity": "entity_id", "k_metric": "metric", "k_as_of": "as_of"}).drop("_first", "_many", "_least")
 

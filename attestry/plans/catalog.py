@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import claims, corroborate, entities, governance, index, near_duplicates, observe, registry, retrieve, snapshots, stories, verify
 from ..operators.graph import components
-from ..storage import written
+from ..storage import work_path, written
+from ..streaming import streams
 from . import tables
 from .tables import table
 
@@ -309,11 +310,26 @@ def ingest_stats(spark: SparkSession, d: str) -> DataFrame:
     return observe.ingest_stats(s)
 
 
+def stream_health_window(spark: SparkSession, d: str) -> DataFrame:
+    raw = table(spark, d, "events")
+    events = spark.readStream.schema(raw.schema).parquet(f"{d}/event[s].parquet")  # a pattern may name a file or a folder
+    return streams.run_to_table(streams.health_windows(tables.polls_of(events)))
+
+
+def stream_put_dedup(spark: SparkSession, d: str) -> DataFrame:
+    raw = table(spark, d, "documents")
+    docs = spark.readStream.schema(raw.schema).parquet(f"{d}/document[s].parquet")
+    items = docs.select(F.sha2("text", 256).alias("content_hash"), F.col("source").alias("source_id"), F.col("doc_id").alias("fetched_at"), F.col("doc_id").alias("ord"))
+    path = work_path(spark, "store")
+    streams.put_stream(items, f"{path}/store", f"{path}/checkpoint")
+    return streams.read_store(spark, f"{path}/store", items.schema).select("content_hash", "source_id", F.col("ord").alias("doc_id"))
+
+
 QUERIES = {f.__name__: f for f in (
     registry_scope, snapshot_put_dedup, snapshot_sightings, poll_watermark_filter, poll_totals, source_health, overview_counts, extract_strip_html,
     page_title_netloc, candidates_propose, tokenize_counts, bm25_weights, hashing_embedding, entity_tags, query_expand, chunks, near_dup_exact,
     minhash_lsh_candidates, story_clusters, dense_topk, sparse_topk, hybrid_rrf, retrieve_scoped_window, coverage_gate, best_score_assemble,
     build_stories, split_sentences, claims_event, claims_quant, event_match_pairs, event_groups, voices, corroborate_events, corroborate_quants,
     verdict_counts, validate_citations, verify_sentences, verify_precision, drop_unsupported, golden_pass_rate, snapshot_search, replay_equivalence,
-    tag_gap_sets, brief_body, graph_components, ingest_stats,
+    tag_gap_sets, brief_body, graph_components, ingest_stats, stream_health_window, stream_put_dedup,
 )}

@@ -214,12 +214,22 @@ ORACLE_SQL = {
     "corroborate_events": f"WITH RECURSIVE {EVENTS} SELECT * FROM events_out",
     "corroborate_quants": f"WITH RECURSIVE {QUANTS} SELECT * FROM quants_out",
     "verdict_counts": f"WITH RECURSIVE {EVENTS}, {QUANTS} SELECT verdict, count(*) AS n FROM (SELECT verdict FROM events_out UNION ALL SELECT verdict FROM quants_out) GROUP BY 1",
+    "validate_citations": rf"""WITH {BODIES}, known AS (SELECT DISTINCT body_id, sid FROM evidence),
+        cl AS (SELECT conv_id, turn, x, substr(x, 1, length(x) - length('[S' || (turn + 1) || '][S' || (turn + 2) || ']')) || CASE WHEN (conv_id, 'S' || (turn + 1)) IN (SELECT (body_id, sid) FROM known) THEN '[S' || (turn + 1) || ']' ELSE '' END || CASE WHEN (conv_id, 'S' || (turn + 2)) IN (SELECT (body_id, sid) FROM known) THEN '[S' || (turn + 2) || ']' ELSE '' END AS y FROM b_t),
+        cb AS (SELECT conv_id AS body_id, trim('# Conversation' || chr(10) || string_agg(y, chr(10) ORDER BY turn, x), {BLANK}) AS cleaned, sum(len(regexp_extract_all(x, '\[S\d+\]')) - len(regexp_extract_all(y, '\[S\d+\]')))::BIGINT AS invalid FROM cl GROUP BY 1),
+        un AS (SELECT conv_id AS body_id, sum(len(list_filter({bound(f'trim(y, {BLANK})')}, lambda s: NOT regexp_matches(s, '\[S\d+\]'))))::INT AS uncited FROM cl GROUP BY 1)
+        SELECT body_id, cleaned, list_transform(list_sort(list_distinct(list_transform(regexp_extract_all(cleaned, '\[S(\d+)\]', 1), lambda x: x::BIGINT))), lambda n: 'S' || n) AS cited, uncited, invalid FROM cb JOIN un USING (body_id)""",
+    "drop_unsupported": f"""WITH {CHECKS}, bad AS (SELECT DISTINCT body_id, sentence FROM checks WHERE NOT supported),
+        k AS (SELECT body_id, line, string_agg(sentence, ' ' ORDER BY pos) FILTER ((body_id, sentence) NOT IN (SELECT (body_id, sentence) FROM bad)) AS kept, count(*) FILTER ((body_id, sentence) IN (SELECT (body_id, sentence) FROM bad)) AS n FROM checks GROUP BY 1, 2)
+        SELECT body_id, CASE WHEN sum(n) > 0 THEN trim('# Conversation' || coalesce(string_agg(chr(10) || kept, '' ORDER BY line), ''), {BLANK}) ELSE any_value(body) END AS shipped, sum(n)::INT AS n_dropped FROM k JOIN bodies USING (body_id) GROUP BY 1""",
     "verify_sentences": f"WITH {CHECKS} SELECT body_id, line, pos, sentence, sids, supported FROM checks",
     "verify_precision": f"WITH {CHECKS} SELECT body_id, count(*) AS checked, count(*) FILTER (NOT supported) AS failed, count(*) FILTER (supported) / count(*)::DOUBLE AS precision FROM checks GROUP BY 1",
     "golden_pass_rate": """WITH m AS (SELECT source AS c, text, quality FROM documents JOIN labels USING (doc_id)), w AS (SELECT DISTINCT source AS c, substring(text, 1, 40) AS needle FROM documents JOIN labels USING (doc_id)),
         o AS (SELECT w.c, w.needle, coalesce(bool_and(quality = 1), false) AS passed FROM w LEFT JOIN m ON m.c = w.c AND contains(lower(m.text), lower(w.needle)) GROUP BY 1, 2) SELECT c AS "case", count(*) AS expectations, count(*) FILTER (passed) AS passed FROM o GROUP BY 1""",
     "snapshot_search": "SELECT doc_id, source AS source_id, substring(text, 1, 60) AS title FROM documents WHERE substring(text, 1, 60) ILIKE '%THE%' ORDER BY doc_id DESC LIMIT 50",
     "replay_equivalence": f"{STORIES}, e AS ({EVIDENCE_IDS}) SELECT sid, doc_id FROM e WHERE false",
+    "stream_health_window": f"WITH {POLLS} SELECT source_id, date_trunc('day', started_at)::TIMESTAMP AS day, count(*) AS polls, count(*) FILTER (status = 'error') AS failed, sum(items_seen)::BIGINT AS items FROM polls GROUP BY 1, 2",
+    "stream_put_dedup": f"WITH {SNAP} SELECT content_hash, arg_min(source_id, doc_id) AS source_id, min(doc_id) AS doc_id FROM snap GROUP BY content_hash",
     "tag_gap_sets": f"WITH {REG} SELECT tag FROM (VALUES ('t0'), ('t1'), ('t2'), ('general')) w(tag) WHERE tag NOT IN (SELECT tag FROM reg)",
     "graph_components": f"WITH RECURSIVE {SNAP}, f AS (SELECT content_hash, min(doc_id) AS a FROM snap GROUP BY 1), e AS (SELECT a, doc_id AS b FROM snap JOIN f USING (content_hash) WHERE a < doc_id), {reach('e')} SELECT node, root FROM roots",
     "ingest_stats": "SELECT CASE WHEN length(text) < 400 THEN 'empty' ELSE 'extracted' END AS extraction_status, count(*) AS n, 0::BIGINT AS clusters_joined FROM documents GROUP BY 1",

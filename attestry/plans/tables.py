@@ -26,8 +26,11 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def polls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return polls_of(table(spark, sf_dir, "events"))
+
+
+def polls_of(e: DataFrame) -> DataFrame:
     """events as polls: the user is the source, type error a failed one, value the items."""
-    e = table(spark, sf_dir, "events")
     failed = F.col("event_type") == "error"
     return e.select(F.col("user_id").cast("string").alias("source_id"), "event_id", F.col("ts").cast("timestamp").alias("started_at"), F.when(failed, "error").otherwise("ok").alias("status"), F.floor("value").cast("long").alias("items_seen"), F.lit(0).cast("long").alias("snapshots_new"), F.when(failed, F.col("props")).alias("error"))
 
