@@ -156,7 +156,7 @@ def _dictionaries(texts: list[tuple[str, int]]) -> list[tuple[bytes, bytes, int,
 def fit(texts: list[tuple[str, int]]) -> Model:
     """Make the dictionaries and calibrate them. texts: (text, label) pairs in a settled order.
 
-    With labels of one kind only, every text scores that kind's smoothed share.
+    With labels of one kind only, or none, every text scores the smoothed share of toxic ones (a third without labels).
     """
     model, y = Model(_dictionaries(texts)), np.array([label for _, label in texts], dtype=np.float64)
     x = np.zeros((len(texts), len(model.scorer().features(""))))
@@ -167,7 +167,7 @@ def fit(texts: list[tuple[str, int]]) -> Model:
     if 0 < y.sum() < len(y):
         model.mean, model.scale, model.weights = _logistic(x, y)
     else:
-        share = (y.sum() + 0.5) / (len(y) + 1)
+        share = (y.sum() + 0.5) / (len(y) + 1.5)
         model.mean, model.scale = np.zeros(x.shape[1]), np.ones(x.shape[1])
         model.weights = np.r_[np.log(share / (1 - share)), np.zeros(x.shape[1])]
     return model
@@ -190,7 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Add toxicity (0 to 1) to docs (text and any other columns). Null and empty texts are scored too;
+    """Add toxicity (0 to 1) to docs (text and any other columns), in place of any column of that name. Null and empty texts are scored too;
     whole texts are read. Empty input: no rows."""
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
