@@ -45,9 +45,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their shard and slot."""
-    out = sharding.kd_shards(docs, SHARDS)
-    return out.select("row.*", "size", "shard", "slot")
+    """Documents with their shard and slot, in place of columns of these names."""
+    added = ["size", "shard", "slot"]
+    own = [F.col(f"row.`{c}`") for c in docs.columns if c not in added]
+    return sharding.kd_shards(docs, SHARDS).select(*own, *added)
 
 
 STAGES = [("toxicity", drop_toxic), ("near-duplicates", drop_near_duplicates), ("decontamination", drop_leaks), ("mixing", mix), ("sharding", shard)]
