@@ -34,7 +34,7 @@ def strings(values) -> Column:
 def tokenize(text: Column) -> Column:
     """Content tokens in order: lower case, edges stripped of ``-._/``, two characters at least, no stopwords. Null: none."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
-    return F.filter(F.transform(found, lambda t: F.btrim(t, F.lit("-._/"))), lambda t: (F.length(t) >= 2) & ~F.array_contains(strings(STOPWORDS), t))
+    return F.filter(F.transform(found, lambda t: F.btrim(t, F.lit("-._/"))), lambda t: (F.length(t) >= 2) & ~t.isin(STOPWORDS))
 
 
 def token_index(token: Column) -> Column:
