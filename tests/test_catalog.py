@@ -36,5 +36,5 @@ def test_chunks_cover_their_text(spark):
 
 def test_brief_names_every_claim_with_its_verdict(spark):
     body = catalog.brief_body(spark, SF).first().body
-    assert "(confirmed by 2 independent sources). [S1][S2]" in body
+    assert "(confirmed by 2 independent sources). [S0][S1]" in body
     assert "CONFLICTING REPORTS — asserted by local_demo; denied by opec_press" in body
