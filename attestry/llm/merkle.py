@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A section ends at blank lines, a paragraph at a line feed; a leaf is up to 32 characters of a paragraph.
-SECTION, PARAGRAPH, PIECE = r"\n{2,}", r"\n", r"(?s).{1,32}"
+#: A section is lines up to blank ones, a paragraph a line; both hold the line feeds that end them.
+SECTION, PARAGRAPH = r"[^\n]+(?:\n[^\n]+)*\n*|\n+", r"[^\n]+\n*|\n+"
+#: A leaf is 16 to 64 characters of a paragraph and ends where the content says so: after one of some characters.
+PIECE = r"(?s).{15,63}?[gpbvkzGPBVKZ.,;:!?0-9的。、，のはжы]|.{1,64}"
 #: Hexadecimal digits of a leaf that the fingerprint keeps.
 LEAF = 8
+#: Ranges of doc_id at most: 64 x 64 x 64 bounds, literals of the expression.
+RANGES = 1 << 18
+LAST = (1 << 63) - 1
 
 
 def _let(value: Column, body) -> Column:
@@ -16,24 +23,28 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _parts(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+
 def fingerprint(text: Column) -> Column:
     """The tree of a text as a string: ``root:leaves``.
 
     root is the SHA-256 of the sections' digests; a section's digest is the MD5 of its paragraphs'
     digests, a paragraph's that of its leaves'. Leaves follow by eight hexadecimal digits each, with
-    "." between paragraphs and "/" between sections. Null is as empty: no leaves. Every character
-    outside the separators is in one leaf, so equal fingerprints mean equal texts but for the number
-    of line feeds between sections.
+    "." between paragraphs and "/" between sections. Every character, line feeds too, is in one leaf, so
+    equal roots mean equal texts. Leaves are cut by content: an insertion changes the leaves around it.
+    Null is as empty: no leaves. A very long text gives a string of about a third of its length.
     """
 
     def paragraph(p: Column) -> Column:
-        leaves = F.transform(F.regexp_extract_all(p, F.lit(PIECE), F.lit(0)), lambda x: F.md5(x))
+        leaves = F.transform(_parts(p, PIECE), lambda x: F.md5(x))
         return _let(leaves, lambda v: F.struct(F.md5(F.concat_ws("", v)).alias("d"), F.concat_ws("", F.transform(v, lambda x: F.substring(x, 1, LEAF))).alias("e")))
 
     def section(s: Column) -> Column:
-        return _let(F.transform(F.split(s, PARAGRAPH), paragraph), lambda v: F.struct(F.md5(F.concat_ws("", v["d"])).alias("d"), F.concat_ws(".", v["e"]).alias("e")))
+        return _let(F.transform(_parts(s, PARAGRAPH), paragraph), lambda v: F.struct(F.md5(F.concat_ws("", v["d"])).alias("d"), F.concat_ws(".", v["e"]).alias("e")))
 
-    sections = F.transform(F.split(F.coalesce(text, F.lit("")), SECTION), section)
+    sections = F.transform(_parts(F.coalesce(text, F.lit("")), SECTION), section)
     return _let(sections, lambda v: F.concat(F.sha2(F.concat_ws("", v["d"]), 256), F.lit(":"), F.concat_ws("/", v["e"])))
 
 
@@ -45,46 +56,71 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def differing(a: Column, b: Column) -> Column:
-    """The branches in which two fingerprints differ, as (section, paragraph), 0-based; none if roots are equal."""
-    parts = lambda f: F.split(F.substring_index(f, ":", -1), "/")
-    inside = lambda i, x, y: F.filter(F.transform(F.arrays_zip(F.split(F.coalesce(x, F.lit("")), r"\.").alias("p"), F.split(F.coalesce(y, F.lit("")), r"\.").alias("q")), lambda z, j: F.when(~z["p"].eqNullSafe(z["q"]), F.struct(i.alias("section"), j.alias("paragraph")))), lambda z: z.isNotNull())
-    both = F.arrays_zip(parts(a).alias("x"), parts(b).alias("y"))
-    found = F.flatten(F.transform(both, lambda z, i: F.when(z["x"].eqNullSafe(z["y"]), F.array().cast("array<struct<section:int,paragraph:int>>")).otherwise(inside(i, z["x"], z["y"]))))
-    return F.when(F.substring_index(a, ":", 1) == F.substring_index(b, ":", 1), F.array().cast("array<struct<section:int,paragraph:int>>")).otherwise(found)
-
-
-def _ranges(docs: DataFrame, rows_each: int) -> Column:
-    """The range of doc_id that a row is in: near equal numbers of rows, 4096 ranges at most, found
-    by 64 x 64 bounds that are literals of the expression. Null ids are in the last range."""
-    n = min(4096, max(1, docs.count() // rows_each))
-    bounds = sorted(set(docs.agg(F.percentile_approx("d", [i / n for i in range(1, n)], 20_000)).first()[0] or [])) if n > 1 else []
+    """The branches that only one of two fingerprints has, as (side, section, paragraph), 0-based; none if
+    roots are equal. Branches are told apart by their leaves and not by their place, so what follows an
+    insertion is not named. A branch that one side repeats more often, or that moved, is not named either."""
+    kind = "array<struct<side:string,section:int,paragraph:int>>"
+    sections = lambda f: F.split(F.substring_index(f, ":", -1), "/")
+    paragraphs = lambda f: F.split(F.substring_index(f, ":", -1), "[/.]")
+
+    def only(x: Column, other: Column, side: str) -> Column:
+        inside = lambda s, i: F.filter(F.transform(F.split(s, r"\."), lambda p, j: F.struct(F.lit(side).alias("side"), i.alias("section"), j.alias("paragraph"), p.alias("p"))), lambda z: (z["p"] != "") & ~F.array_contains(other, z["p"]))
+        return F.transform(F.flatten(F.transform(sections(x), inside)), lambda z: F.struct(z["side"].alias("side"), z["section"].alias("section"), z["paragraph"].alias("paragraph")))
+
+    found = _let(F.struct(paragraphs(a).alias("a"), paragraphs(b).alias("b")), lambda v: F.concat(only(a, v["b"], "a"), only(b, v["a"], "b")))
+    return F.when(F.substring_index(a, ":", 1) == F.substring_index(b, ":", 1), F.array().cast(kind)).otherwise(found.cast(kind))
+
+
+def _count_upto(bounds: list[int], x: Column) -> Column:
+    """How many of the sorted bounds are x or less, by three looks at 64 literals or fewer."""
     if not bounds:
         return F.lit(0)
-    outer = bounds[63::64]
-    inner = [bounds[i : i + 63] for i in range(0, len(bounds), 64)]
-    inner += [[]] * (len(outer) + 1 - len(inner))
-    longs = lambda v: F.array(*map(F.lit, v)).cast("array<bigint>")
+    longs = lambda v: f"cast(array({', '.join(f'{b}L' for b in v)}) as array<bigint>)"
     below = lambda v, x: F.size(F.filter(v, lambda b: b <= x))
-    i = below(longs(outer), F.col("d"))
-    return (i * 64 + below(F.element_at(F.array(*map(longs, inner)), i + 1), F.col("d"))).cast("int")
-
-
-def with_next(docs: DataFrame, rows_each: int = 2048) -> DataFrame:
-    """d, text, fingerprint of each row of docs (doc_id, text), and next_text, next_fingerprint of the
+    blocks = [bounds[i : i + 64] for i in range(0, len(bounds), 64)]
+    tops = [b[0] for b in blocks]
+    groups = [tops[i : i + 64] for i in range(0, len(tops), 64)]
+    i = below(F.expr(longs([g[0] for g in groups])), x)
+    nested = lambda v: F.expr("array(" + ", ".join(longs(z) for z in v) + ")")
+    j = _let(i, lambda i: F.when(i > 0, (i - 1) * 64 + below(F.element_at(nested(groups), F.greatest(i, F.lit(1))), x)).otherwise(0))
+    return _let(j, lambda j: F.when(j > 0, (j - 1) * 64 + below(F.element_at(nested(blocks), F.greatest(j, F.lit(1))), x)).otherwise(0)).cast("long")
+
+
+def _ranges(ids: DataFrame, n: int) -> Column:
+    """The range of (d, tie) that a row is in, ascending: about n of near equal numbers of rows. An id that
+    holds several ranges' rows is split by its tie."""
+    found = ids.agg(F.percentile_approx("d", [i / n for i in range(1, n)], max(20_000, 8 * n))).first()[0] if n > 1 else None
+    times = Counter(found or [])
+    hot = {v: k for v, k in times.items() if k > 1}
+    bounds = sorted(set(times) | {v + 1 for v in hot if v < LAST})
+    at = _count_upto(bounds, F.col("d")) * (1 << 20)
+    if not hot:
+        return at
+    place = F.shiftright(F.col("tie"), 32) + (1 << 31)
+    parts = F.coalesce(F.element_at(F.map_from_arrays(F.expr(f"array({', '.join(f'{v}L' for v in hot)})"), F.expr(f"array({', '.join(f'{k}L' for k in hot.values())})")), F.col("d")), F.lit(1))
+    return at + F.floor(place * parts / float(1 << 32)).cast("long")
+
+
+def with_next(docs: DataFrame, range_bytes: int = 32 << 20) -> DataFrame:
+    """doc_id, text, fingerprint of each row of docs (doc_id, text), and next_text, next_fingerprint of the
     row that follows by ascending doc_id (nulls last, ties by a hash of the text), the first after the last.
 
-    Rows are dealt by ranges of doc_id; only the last row of a range needs the first of the next one,
-    which a join by range brings. Texts are shuffled once.
+    Rows are dealt by ranges of (doc_id, hash of the text) of about ``range_bytes``; only the last row of a
+    range needs the first of the next one, which a join by range brings. Texts are shuffled once. Null text
+    is empty; rows with equal id and text follow each other and stay in one range; a single row follows
+    itself; empty input: no rows. A very long text takes part whole.
     """
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    base = base.withColumn("bin", _ranges(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("d")), rows_each)).withColumn("tie", F.xxhash64("text"))
-    firsts = [r for r in base.groupBy("bin").agg(F.min("d").alias("d")).orderBy("bin").collect()]
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"))
+    base = base.withColumn("bin", _ranges(ids, min(RANGES, max(1, size // range_bytes))))
+    firsts = base.groupBy("bin").agg(F.min(F.struct("d", "tie")).alias("f")).orderBy("bin").collect()
     in_order = Window.partitionBy("bin").orderBy("d", "tie")
     rows = base.withColumn("_next", F.lead(F.struct("text")).over(in_order)).withColumn("fingerprint", fingerprint(F.col("text")))
     rows = rows.withColumn("_next_print", F.lead("fingerprint").over(in_order))
-    # one row per range, at most 4096
-    for_bin = docs.sparkSession.createDataFrame([(firsts[i - 1].bin, r.d) for i, r in enumerate(firsts)], "for_bin int, d long")
-    heads = base.join(F.broadcast(for_bin), "d").groupBy("for_bin").agg(F.min_by("text", "tie").alias("head"))
+    # one row per range
+    for_bin = docs.sparkSession.createDataFrame([(firsts[i - 1].bin, r.f.d, r.f.tie) for i, r in enumerate(firsts)], "for_bin long, d long, tie long")
+    heads = base.join(F.broadcast(for_bin), ["d", "tie"]).groupBy("for_bin").agg(F.min("text").alias("head"))
     rows = rows.join(heads.withColumnRenamed("for_bin", "bin"), "bin", "left")
     last = F.col("_next").isNull()
     return rows.select("doc_id", "text", "fingerprint", F.when(last, F.col("head")).otherwise(F.col("_next.text")).alias("next_text"), F.when(last, fingerprint(F.col("head"))).otherwise(F.col("_next_print")).alias("next_fingerprint"))

@@ -120,9 +120,8 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text, md5(coalesce(text, '')) AS
 n AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id, tie), first_value(text) OVER (ORDER BY doc_id, tie ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS next_text FROM d),
 e AS (SELECT *, substring(text, 1, (length(text) - length(text) // 4)::INT) || substring(next_text, 1, (length(text) // 4)::INT) AS edited FROM n),
 texts AS (SELECT DISTINCT x FROM (SELECT text AS x FROM e UNION ALL SELECT edited FROM e)),
-tree AS (SELECT x, list_transform(string_split_regex(x, '
-{2,}'), lambda s: list_transform(string_split(s, chr(10)), lambda p:
-                list_transform(regexp_extract_all(p, '(?s).{1,32}'), lambda c: md5(c)))) AS t FROM texts),
+tree AS (SELECT x, list_transform(regexp_extract_all(x, '@SECTION'), lambda s: list_transform(regexp_extract_all(s, '@PARAGRAPH'), lambda p:
+                list_transform(regexp_extract_all(p, '@PIECE'), lambda c: md5(c)))) AS t FROM texts),
 prints AS (SELECT x, sha256(array_to_string(list_transform(t, lambda s: md5(array_to_string(list_transform(s, lambda p: md5(array_to_string(p, ''))), ''))), '')) AS root,
                   array_to_string(list_transform(t, lambda s: array_to_string(list_transform(s, lambda p: array_to_string(list_transform(p, lambda c: c[1:8]), '')), '.')), '/') AS enc,
                   list_distinct(list_transform(flatten(flatten(t)), lambda c: c[1:8])) AS leaves FROM tree),
@@ -133,7 +132,7 @@ SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
        CASE WHEN ra = rb THEN 1.0 ELSE 2.0 * len(list_intersect(la, lb)) / greatest(len(la) + len(lb), 1) END::DOUBLE AS near_edited,
        CASE WHEN ra = rc THEN 1.0 ELSE 2.0 * len(list_intersect(la, lc)) / greatest(len(la) + len(lc), 1) END::DOUBLE AS near_next
 FROM j
-"""
+""".replace("@SECTION", merkle.SECTION).replace("@PARAGRAPH", merkle.PARAGRAPH).replace("@PIECE", merkle.PIECE)
 
 QUERIES = {
     "op1_simhash_pivots": op1_simhash_pivots,
