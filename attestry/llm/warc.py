@@ -8,21 +8,24 @@ import hashlib
 import json
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import written
-from .common import small_batches
+from .common import running_total, small_batches
 from .files import Committed, opened
 
 #: Record ids are name-based UUIDs in this space, so that they are the same in every run.
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:warc-record")
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Bins of page_id in which payload bytes are summed to find the shards' bounds; groups of copies that are broadcast.
-BINS, BROADCAST_GROUPS = 4096, 100_000
+#: Shards at most (their first keys, under 100 bytes each, are sent to every task), groups of copies that are broadcast,
+#: and bytes that a record takes besides its payload.
+SHARDS, BROADCAST_GROUPS, HEAD_BYTES = 1 << 18, 100_000, 600
 LAST = (1 << 63) - 1
 
 
@@ -30,8 +33,8 @@ def base32(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
 
-def record_id(page_id: int, digest: str, copy: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(SPACE, f'{page_id}:{digest}:{copy}')}>"
+def record_id(page_id: int, site: str, digest: str, copy: int) -> str:
+    return f"<urn:uuid:{uuid.uuid5(SPACE, f'{page_id}:{site}:{digest}:{copy}')}>"
 
 
 def _one_line(value: str) -> str:
@@ -45,40 +48,55 @@ def record(fields: list[tuple[str, str]], block: bytes, level: int = 6) -> bytes
     return z.compress(head.encode() + block + b"\r\n\r\n") + z.flush()
 
 
-def page_record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None, copy: int, date: str, level: int) -> bytes:
-    """The response record of a page, or the revisit record if it refers to another one."""
+def page_record(page_id: int, url: str | None, site: str, payload: bytes, digest: str, first: tuple[int, str] | None, copy: int, date: str, level: int) -> bytes:
+    """The response record of a page, or the revisit record of the first one, (page_id, MD5 of the URL)."""
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    block += payload if refers_to is None else b""
-    fields = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Target-URI", _one_line(url) if url else f"urn:page:{page_id}"), ("WARC-Date", date), ("WARC-Record-ID", record_id(page_id, digest, copy)), ("Content-Type", "application/http; msgtype=response"), ("WARC-Block-Digest", "sha1:" + base32(hashlib.sha1(block).digest())), ("WARC-Payload-Digest", "sha1:" + digest), ("X-Page-ID", str(page_id)), ("X-Payload-Length", str(len(payload)))]
-    if refers_to is not None:
-        fields += [("WARC-Profile", REVISIT), ("WARC-Refers-To", record_id(refers_to, digest, 0)), ("X-Refers-To-Page", str(refers_to))]
+    block += payload if first is None else b""
+    fields = [("WARC-Type", "response" if first is None else "revisit"), ("WARC-Target-URI", _one_line(url) if url else f"urn:page:{page_id}"), ("WARC-Date", date), ("WARC-Record-ID", record_id(page_id, site, digest, copy)), ("Content-Type", "application/http; msgtype=response"), ("WARC-Block-Digest", "sha1:" + base32(hashlib.sha1(block).digest())), ("WARC-Payload-Digest", "sha1:" + digest), ("X-Page-ID", str(page_id)), ("X-Payload-Length", str(len(payload)))]
+    if first is not None:
+        fields += [("WARC-Profile", REVISIT), ("WARC-Refers-To", record_id(*first, digest, 0)), ("X-Refers-To-Page", str(first[0]))]
     return record(fields, block, level)
 
 
+def _key(p: str, *rest: str) -> Column:
+    """Text that sorts as (p, rest) do; p is a long."""
+    return F.concat(F.lpad(F.hex(F.col(p).bitwiseXOR(F.lit(-1 << 63))), 16, "0"), *rest)
+
+
 def _shards(keys: DataFrame, shard_bytes: int) -> Column:
-    """The shard of page_id p: consecutive ranges of about shard_bytes of payload, the same in every run."""
-    lo, hi = keys.agg(F.min("p"), F.max(F.when(F.col("p") < LAST, F.col("p")))).first()
-    if lo is None or hi is None or lo >= hi:
-        return F.lit(0)
-    width = (hi - lo) // BINS + 1
-    at = F.least(F.floor((F.least("p", F.lit(hi)) - lo) / width), F.lit(BINS - 1)).cast("int")
-    sums = dict(keys.groupBy(at.alias("b")).agg(F.sum("n")).collect())
-    shard, seen, of = 0, 0, []
-    for b in range(BINS):
-        if seen and seen + sums.get(b, 0) > shard_bytes:
-            shard, seen = shard + 1, 0
-        seen += sums.get(b, 0)
-        of.append(shard)
-    return F.element_at(F.array(*map(F.lit, of)), at + 1)
+    """The shard of a row's key: consecutive ranges of ``shard_bytes`` in the order of keys, the same in every run.
+
+    A range begins with the first row that starts in it, so a shard has less than shard_bytes and a row more.
+    Beyond SHARDS shards these grow.
+    """
+    keys = keys.groupBy("key").agg(F.sum("n").alias("n"))
+    keys = running_total(keys, ["key"], F.col("n"), "upto")
+    total = _size(keys)
+    each = max(shard_bytes, -(-total // SHARDS))
+    firsts = keys.groupBy(F.floor((F.col("upto") - F.col("n")) / each).alias("i")).agg(F.min("key").alias("key"))
+    sent = keys.sparkSession.sparkContext.broadcast(sorted(r.key for r in firsts.select("key").toLocalIterator())[1:])
+
+    @F.pandas_udf("int")
+    def shard(keys: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in keys:
+            yield pd.Series([bisect_right(sent.value, k) for k in batch], dtype="int32")
+
+    return shard("key")
+
+
+def _size(keys: DataFrame) -> int:
+    return keys.agg(F.sum("n")).first()[0] or 0
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = 0, shard_bytes: int = 16 << 20, roll_bytes: int = 8 << 20, date: str = "2024-01-01T00:00:00Z", level: int = 6) -> DataFrame:
     """Write a record for each row of pages (page_id, url, html) into folder; returns the manifest.
 
     The payload is html in UTF-8 (null: empty). Of equal payloads of ``least`` bytes or more the one with
-    the smallest page_id becomes a response and the others revisits of it, also where it is a repeated
-    row. Rows are put in order of page_id over shards whose bounds depend on the data only; each shard's
-    file is rolled once it has ``roll_bytes`` compressed bytes. Headers and digests are made anew. Files
+    the smallest page_id (then the least digest of the URL) becomes a response and the others revisits of
+    it, also where it is a repeated row. Rows are range-sorted by page_id, digest and URL: shards are
+    ranges of ``shard_bytes`` of records before compression whose bounds depend on the data only, so rows
+    of one page_id, or of none, are split as well unless they are wholly equal. Each shard's file is
+    rolled once it has ``roll_bytes`` compressed bytes. Headers and digests are made anew. Files
     appear under their names when whole, and manifest.json, written last, lists all of them with their
     records, bytes and SHA-256. Running again gives the same bytes. A null page_id comes last, as 2^63 - 1.
 
@@ -88,9 +106,11 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, shard_bytes: i
     small_batches(spark, 256)
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b"").cast("binary"))
     rows = pages.select(F.coalesce("page_id", F.lit(LAST)).cast("long").alias("p"), "url", payload.alias("payload"), F.sha1(payload).alias("sha1"))
-    keys = written(rows.select("p", "sha1", F.octet_length("payload").cast("long").alias("n")), "pages")
-    copies = written(keys.filter(F.col("n") >= least).groupBy("sha1").agg(F.min("p").alias("first"), F.count("*").alias("k")).filter("k > 1").drop("k"), "copies")
-    rows = rows.join(F.broadcast(copies) if copies.count() <= BROADCAST_GROUPS else copies, "sha1", "left").withColumn("shard", _shards(keys, shard_bytes))
+    rows = rows.withColumn("site", F.md5(F.coalesce("url", F.lit("")))).withColumn("key", _key("p", "sha1", "site"))
+    keys = written(rows.select("key", "p", "sha1", "site", (F.octet_length("payload") + HEAD_BYTES).cast("long").alias("n")), "pages")
+    copies = keys.filter(F.col("n") >= least + HEAD_BYTES).groupBy("sha1").agg(F.min(F.struct("p", "site")).alias("first"), F.count("*").alias("k")).filter("k > 1")
+    copies = written(copies.select("sha1", F.col("first.p").alias("first"), F.col("first.site").alias("first_site")), "copies")
+    rows = rows.join(F.broadcast(copies) if copies.count() <= BROADCAST_GROUPS else copies, "sha1", "left").withColumn("shard", _shards(keys.select("key", "n"), shard_bytes))
     schema = pa.schema([("shard", pa.int32()), ("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,17 +137,17 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, shard_bytes: i
                     name = f"part-{at:06d}-{roll:05d}.warc.gz"
                     roll, out = roll + 1, {"name": name, "file": Committed(store, path, name), "records": 0, "bytes": 0, "sha256": hashlib.sha256()}
                     put(record([("WARC-Type", "warcinfo"), ("WARC-Date", date), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(SPACE, name)}>"), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n", level))
-                copy = copy + 1 if before == (r["p"], r["sha1"]) else 0
-                before = (r["p"], r["sha1"])
-                refers_to = r["first"] if r["first"] is not None and (r["first"] != r["p"] or copy) else None
-                put(page_record(r["p"], r["url"], r["payload"], base32(bytes.fromhex(r["sha1"])), refers_to, copy, date, level))
+                copy = copy + 1 if before == r["key"] else 0
+                before = r["key"]
+                first = (r["first"], r["first_site"]) if r["first"] is not None and ((r["first"], r["first_site"]) != (r["p"], r["site"]) or copy) else None
+                put(page_record(r["p"], r["url"], r["site"], r["payload"], base32(bytes.fromhex(r["sha1"])), first, copy, date, level))
                 out["records"] += 1
         if out:
             yield closed()
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartition(n, "shard").sortWithinPartitions("shard", "p", "sha1")
-    manifest = written(ordered.select("shard", "p", "url", "payload", "sha1", "first").mapInArrow(write, "shard int, file string, records long, bytes long, sha256 string"), "manifest")
+    n = min(SHARDS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), _size(keys) // shard_bytes + 1))
+    ordered = rows.repartitionByRange(n, "shard").sortWithinPartitions("shard", "key")
+    manifest = written(ordered.select("shard", "key", "p", "url", "site", "payload", "sha1", "first", "first_site").mapInArrow(write, "shard int, file string, records long, bytes long, sha256 string"), "manifest")
     store, path = opened(folder)
     store.create_dir(path, recursive=True)
     whole = Committed(store, path, "manifest.json")
