@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,26 +11,38 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
 from ..storage import written
-from .graph import components
+from .alike import alike_groups
 
 PERMUTATIONS, THRESHOLD, SHINGLE = 128, 0.8, 5
 #: Bands of the signature; 32 of 4 rows find a pair of likeness 0.8 with probability 1 - 5e-8.
 BANDS = 32
+#: The least prime over 2^32.
+PRIME = 4294967311
 
 
-def shingles(text: Column, n: int = SHINGLE) -> Column:
+def low_digest(shingle: Column) -> Column:
+    """The first 32 bits of a shingle's MD5."""
+    return F.conv(F.substring(F.md5(shingle), 1, 8), 16, 10).cast("long")
+
+
+def shingles(text: Column, n: int = SHINGLE, digest: Callable[[Column], Column] = F.xxhash64) -> Column:
     """Distinct hashes of n successive tokens; all tokens as one shingle if there are fewer; none without tokens."""
 
     def of(t: Column) -> Column:
-        many = F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(t, i, F.lit(n)), " ")))
+        many = F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - (n - 1), F.lit(1))), lambda i: digest(F.array_join(F.slice(t, i, F.lit(n)), " ")))
         return F.when(F.size(t) == 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(many))
 
     return F.element_at(F.transform(F.array(tokenize(text)), of), 1)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs that are alike. Sizes are joined first: pairs whose sizes don't fit never meet their sets."""
+    sizes = sets.select("id", F.size("s").alias("n"))
+    for c, n in (("a", "m"), ("b", "n")):
+        pairs = pairs.join(sizes.select(F.col("id").alias(c), F.col("n").alias(n)), c)
+    fit = pairs.filter(F.least("m", "n") >= F.greatest("m", "n") * threshold - 1e-9).select("a", "b")
     left, right = (sets.select(F.col("id").alias(c), F.col("s").alias(f"s_{c}")) for c in "ab")
-    both = pairs.join(left, "a").join(right, "b")
+    both = fit.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("s_a", "s_b"))
     return both.withColumn("jaccard", common / (F.size("s_a") + F.size("s_b") - common)).filter(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
 
@@ -59,15 +71,24 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     return _verified(pairs, sets, threshold)
 
 
+def coefficients(permutations: int = PERMUTATIONS) -> list[tuple[int, int]]:
+    """(a, b) of the signature's affine hashes: successive values of a linear congruential generator."""
+    out, x = [], 12345
+    for _ in range(permutations):
+        a = x = (x * 1103515245 + 12345) % 2**31
+        x = (x * 1103515245 + 12345) % 2**31
+        out.append((a | 1, x))
+    return out
+
+
 def minhash(s: Column, permutations: int = PERMUTATIONS) -> Column:
-    """Signature of a shingle set: the least of each of ``permutations`` affine hashes."""
-    r = np.random.default_rng(1)
-    a, b = r.integers(1, 2**63, permutations, dtype=np.uint64) | np.uint64(1), r.integers(0, 2**63, permutations, dtype=np.uint64)
+    """Signature of a shingle set: the least of each affine hash (a * h + b) mod PRIME over the members' low 32 bits."""
+    a, b = (np.array(x, dtype=np.uint64) for x in zip(*coefficients(permutations), strict=True))
 
     @F.pandas_udf("array<long>")
     def signature(sets: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in sets:
-            yield pd.Series([((np.asarray(x).astype(np.int64).view(np.uint64)[:, None] * a + b) >> np.uint64(1)).min(0).astype(np.int64) for x in batch])
+            yield pd.Series([(((np.asarray(x).astype(np.int64).view(np.uint64) & np.uint64(0xFFFFFFFF))[:, None] * a + b) % np.uint64(PRIME)).min(0).astype(np.int64) for x in batch])
 
     return signature(s)
 
@@ -83,7 +104,15 @@ def minhash_pairs(texts: DataFrame, threshold: float = THRESHOLD, bands: int = B
     return _verified(pairs, sets, threshold)
 
 
-def clusters(texts: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """(id, root): each text's cluster, named by its smallest id. Texts without tokens stand alone."""
-    pairs = similar_pairs(texts) if pairs is None else pairs
-    return texts.select("id").join(components(pairs).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+def clusters(texts: DataFrame) -> DataFrame:
+    """(id, root): each text's cluster, named by its smallest id: components of likeness THRESHOLD or more.
+
+    Texts with equal shingles are one node, so copies are never paired. Texts without tokens stand alone.
+    """
+    sets = written(texts.select("id", shingles(F.col("text")).alias("s")).withColumn("node", F.xxhash64(F.array_sort("s"))), "shingles")
+    held = sets.filter(F.size("s") > 0)
+    roots = alike_groups(held.select("node", "s"), THRESHOLD)
+    named = held.select("id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = named.groupBy("root").agg(F.min("id").alias("first"))
+    alone = sets.filter(F.size("s") == 0).select("id", F.col("id").alias("root"))
+    return named.join(first, "root").select("id", F.col("first").alias("root")).unionByName(alone)

@@ -116,6 +116,12 @@ def minhash_lsh_candidates(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.minhash_pairs(_texts(spark, d)).withColumn("jaccard", F.round("jaccard", 6))
 
 
+def minhash_signatures(spark: SparkSession, d: str) -> DataFrame:
+    sets = _texts(spark, d).select("id", near_duplicates.shingles(F.col("text"), digest=near_duplicates.low_digest).alias("s"))
+    sets = written(sets, "shingles").filter(F.size("s") > 0)
+    return sets.select("id", F.md5(F.array_join(near_duplicates.minhash(F.col("s")).cast("array<string>"), ",")).alias("signature"))
+
+
 def _clusters(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, root): every document's cluster; copies have their text's."""
     texts = written(_texts(spark, d), "texts")
@@ -328,7 +334,7 @@ def stream_put_dedup(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     registry_scope, snapshot_put_dedup, snapshot_sightings, poll_watermark_filter, poll_totals, source_health, overview_counts, extract_strip_html,
     page_title_netloc, candidates_propose, tokenize_counts, bm25_weights, hashing_embedding, entity_tags, query_expand, chunks, near_dup_exact,
-    minhash_lsh_candidates, story_clusters, dense_topk, sparse_topk, hybrid_rrf, retrieve_scoped_window, coverage_gate, best_score_assemble,
+    minhash_lsh_candidates, minhash_signatures, story_clusters, dense_topk, sparse_topk, hybrid_rrf, retrieve_scoped_window, coverage_gate, best_score_assemble,
     build_stories, split_sentences, claims_event, claims_quant, event_match_pairs, event_groups, voices, corroborate_events, corroborate_quants,
     verdict_counts, validate_citations, verify_sentences, verify_precision, drop_unsupported, golden_pass_rate, snapshot_search, replay_equivalence,
     tag_gap_sets, brief_body, graph_components, ingest_stats, stream_health_window, stream_put_dedup,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions.text import CONFLICT_LABEL, DENIAL, DIRECTION, NEGATIONS, QUANT, STOPWORDS, STRUCTURAL, VERDICT_LABEL
+from ..operators.near_duplicates import PRIME, coefficients
 from . import tables
 
 
@@ -188,6 +189,9 @@ ORACLE_SQL = {
     "query_expand": f"WITH e AS (SELECT conv_id, turn, text, {tags('text')} AS ids FROM conversations), x AS (SELECT *, list_sort(list_distinct(list_concat(ids, flatten(list_transform(ids, lambda i: {_FORMS_OF}[i]))))) AS extra FROM e) SELECT conv_id, turn, CASE WHEN len(extra) = 0 THEN text ELSE text || ' ' || array_to_string(extra, ' ') END AS expanded FROM x",
     "near_dup_exact": f"WITH {PAIRS} SELECT a, b, round(jaccard, 6) AS jaccard FROM pairs",
     "minhash_lsh_candidates": f"WITH {PAIRS} SELECT a, b, round(jaccard, 6) AS jaccard FROM pairs",
+    "minhash_signatures": f"""WITH {PAIRS.split('flat AS')[0].rstrip().rstrip(',')},
+hashed AS (SELECT id, list_transform(s, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT) AS h FROM shing)
+SELECT id, md5(array_to_string(list_transform([{', '.join(f"{{a: {a}::BIGINT, b: {b}::BIGINT}}" for a, b in coefficients())}], lambda c: list_min(list_transform(h, lambda x: (x * c.a + c.b) % {PRIME}))), ',')) AS signature FROM hashed""",
     "story_clusters": f"WITH RECURSIVE {CLUSTERS} SELECT doc_id, root FROM clustered",
     "dense_topk": """WITH n AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings),
         c AS (SELECT q.id AS query_id, d.id, round(list_dot_product(q.v, d.v) / (q.n * d.n), 9) AS score FROM n q CROSS JOIN n d WHERE q.id % 20 = 0)
