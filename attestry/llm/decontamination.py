@@ -8,11 +8,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import written
-from .common import small_batches
+from .common import row_key, small_batches
 
 #: Words that are units where they follow a number; fixed list.
 UNITS = frozenset("mm cm m km in ft yd mi mile miles inch inches foot feet yard yards g kg mg lb lbs oz ton tons gram grams kilogram kilograms l ml liter liters litre litres s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years usd eur gbp dollar dollars cent cents euro euros pound pounds percent degree degrees mph kmh hz khz mhz ghz w kw v a j n pa kb mb gb tb k".split())
@@ -133,11 +133,6 @@ def consistent(hits: list[dict]) -> tuple[set[int], int]:
     return good, sum(a != b for a, b in means.items())
 
 
-def row_key() -> Column:
-    """What tells rows apart: the id and the whole text."""
-    return F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit("")))))
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = LEAK) -> DataFrame:
     """Which rows of docs (doc_id, text) hold which items of benchmark (item_id, text).
 
