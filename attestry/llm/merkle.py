@@ -101,7 +101,7 @@ def _ranges(ids: DataFrame, n: int) -> Column:
     return at + F.floor(place * parts / float(1 << 32)).cast("long")
 
 
-def with_next(docs: DataFrame, range_bytes: int = 32 << 20) -> DataFrame:
+def with_next(docs: DataFrame, range_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, text, fingerprint of each row of docs (doc_id, text), and next_text, next_fingerprint of the
     row that follows by ascending doc_id (nulls last, ties by a hash of the text), the first after the last.
 
