@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import written
-from .common import running, source_key, words
+from .common import running, running_total, source_key, words
 
-#: Bins of the virtual time from 0 to 4 in which the cut is looked up.
-TIME_BINS = 4096
+#: Bins of a bracket of virtual times in one look for the cut, and copies that one task puts in order.
+TIME_BINS, WINDOW_ROWS = 4096, 200_000
 
 
 def _sources(rows: DataFrame, weights: tuple, budget: float, cap: float) -> DataFrame:
@@ -61,9 +61,9 @@ def mix(docs: DataFrame, weights: tuple = (5, 2, 1), budget: float = 1.5, cap: f
     return _placed(rows, sources, buckets).select("row", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
 
-def _time(f: str, epoch: int) -> Column:
+def _time(f: str, epoch: int | Column) -> Column:
     """What copies are ordered by: the virtual finish time, then a total order."""
-    return F.struct(F.col(f).alias("f"), "s", "h", "d", F.lit(epoch).alias("epoch"))
+    return F.struct(F.col(f).alias("f"), "s", "h", "d", (F.lit(epoch) if isinstance(epoch, int) else epoch).alias("epoch"))
 
 
 def _placed(rows: DataFrame, sources: DataFrame, buckets: int) -> DataFrame:
@@ -76,16 +76,28 @@ def _placed(rows: DataFrame, sources: DataFrame, buckets: int) -> DataFrame:
 def _cut(placed: DataFrame, total: int, budget: float) -> Column | None:
     """The last copy in order of virtual time that the budget still holds; None if it holds all."""
     both = placed.filter("size > 0").select("size", F.explode(F.array(_time("f1", 1), _time("f2", 2))).alias("t"))
-    both = written(both.withColumn("bin", F.least(F.floor(F.col("t.f") * (TIME_BINS // 4)), F.lit(TIME_BINS)).cast("int")), "times")
-    upto = Window.partitionBy(F.lit(0)).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    bins = both.groupBy("bin").agg(F.sum("size").alias("n")).withColumn("upto", F.sum("n").over(upto))
-    hit = bins.filter(F.col("upto") > total * budget).orderBy("bin").limit(1).collect()
-    if not hit:
-        return None
-    before, at = hit[0]["upto"] - hit[0]["n"], hit[0]["bin"]
-    inside = Window.partitionBy("bin").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    held = both.filter(F.col("bin") == at).withColumn("run", F.sum("size").over(inside)).filter(F.col("run") + before <= total * budget)
-    f, s, h, d, epoch = held.agg(F.max("t")).first()[0] or (at / (TIME_BINS // 4), "", "", -2, 0)
+    both = written(both, "times")
+    lo, hi, before, held = 0.0, 4.0, 0, both
+    while True:
+        # equal bins of the open bracket of times; the one that the budget ends in is looked at again
+        place = F.least(F.floor((F.col("t.f") - lo) / (hi - lo) * TIME_BINS), F.lit(TIME_BINS)).cast("int")
+        bins = held.withColumn("bin", place).groupBy("bin").agg(F.sum("size").alias("n"), F.min("t.f").alias("lo"), F.max("t.f").alias("hi"), F.count("*").alias("rows"))
+        upto = Window.partitionBy(F.lit(0)).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+        hit = bins.withColumn("upto", F.sum("n").over(upto)).filter(F.col("upto") + before > total * budget).orderBy("bin").limit(1).collect()
+        if not hit:
+            return None
+        r = hit[0]
+        before += r["upto"] - r["n"]
+        lo, hi = r["lo"], r["hi"]
+        held = both.filter((F.col("t.f") >= lo) & (F.col("t.f") <= hi))
+        if r["rows"] <= WINDOW_ROWS or lo == hi:
+            break
+    if r["rows"] <= WINDOW_ROWS:
+        inside = Window.partitionBy(F.lit(0)).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+        runs = held.withColumn("run", F.sum("size").over(inside))
+    else:  # many copies with one time
+        runs = running_total(held.select("size", "t.*"), ["f", "s", "h", "d", "epoch"], F.col("size"), "run").withColumn("t", _time("f", F.col("epoch")))
+    f, s, h, d, epoch = runs.filter(F.col("run") + before <= total * budget).agg(F.max("t")).first()[0] or (lo, "", "", -2, 0)
     return F.struct(F.lit(float(f)).alias("f"), F.lit(s).alias("s"), F.lit(h).alias("h"), F.lit(d).cast("long").alias("d"), F.lit(epoch).alias("epoch"))
 
 
