@@ -24,7 +24,9 @@ from .graph import components
 #: must occur among these. They settle the order only, so no result depends on them.
 FREQUENT, CHUNK, OFTEN = 200_000, 2_000_000, 8
 #: Sets with one key, beyond which the key is dealt over pairs of parts; members of a part of a component.
-HOT, PART = 20_000, 2_000_000
+HOT, PART = 20_000, 500_000
+#: Nodes with their groups that are sent to every task, at most (16 bytes each).
+BROADCAST_NODES = 1_000_000
 TINY = 1e-9
 
 
@@ -236,16 +238,19 @@ def linked(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
     return found
 
 
-def _verified(sets: DataFrame, groups: DataFrame, threshold: float, part: int) -> DataFrame:
-    """Spanning links (a, b) of the sets that are alike within their group (node, root)."""
+def _verified(sets: DataFrame, marks: DataFrame, groups: DataFrame, threshold: float, part: int) -> DataFrame:
+    """Spanning links (a, b) of the sets that are alike within their group (node, root). Only grouped sets are
+    shuffled: the groups go to the sets if they are few."""
+    groups = F.broadcast(groups) if groups.count() <= BROADCAST_NODES else groups
     held = sets.select("node", "s").join(groups, "node")
-    sizes = written(sets.select("node", F.size("s").alias("n")).dropDuplicates(["node"]).join(groups, "node").groupBy("root").agg(F.sum("n").alias("n")).filter(F.col("n") > part).select("root", F.ceil(F.col("n") / part).cast("int").alias("parts")), "large-groups")
+    sizes = marks.join(groups, "node").groupBy("root").agg(F.sum("n").alias("n")).filter(F.col("n") > part)
+    sizes = written(sizes.select("root", F.ceil(F.col("n") / part).cast("int").alias("parts")), "large-groups")
     if sizes.isEmpty():
         dealt = held.withColumn("cell", F.lit(0).cast("long"))
     else:
         own = F.pmod(F.xxhash64("node"), F.col("parts"))
         pairs = F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.least(own, q) * (1 << 31) + F.greatest(own, q)))
-        dealt = held.join(F.broadcast(sizes) if sizes.count() <= 100_000 else sizes, "root", "left").withColumn("cell", F.explode(pairs)).drop("parts")
+        dealt = held.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_NODES else sizes, "root", "left").withColumn("cell", F.explode(pairs)).drop("parts")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, {}
@@ -282,6 +287,6 @@ def alike_groups(sets: DataFrame, threshold: float, names: list[str] | None = No
     """
     sets = sets.filter(F.size("s") > 0)
     names = names or []
-    marks = sets.select("node", F.size("s").alias("n"), *names).dropDuplicates(["node"])
+    marks = written(sets.select("node", F.size("s").alias("n"), *names).dropDuplicates(["node"]), "marks")
     found = components(_candidates(_shared_keys(sets, threshold), marks, names, threshold, sieve))
-    return components(_verified(sets, written(found, "candidate-groups"), threshold, part))
+    return components(_verified(sets, marks, written(found, "candidate-groups"), threshold, part))
