@@ -31,7 +31,7 @@ BROADCAST_IDS = 1_000_000
 #: taken from the bucket itself.
 MOST, FIXED_PIVOTS, OWN_PIVOTS = 44, 4, 8
 #: Words and sets that a worker remembers before it starts anew.
-MEMO = 500_000
+MEMO = 200_000
 ROLL = np.uint64(0x9E3779B97F4A7C15)
 
 
