@@ -23,6 +23,15 @@ DIRECTION = r"(?i)\b(rose|climbed|increased|fell|dropped|declined|eased)\b"
 NEGATIONS = ("denied", "deny", "denies", "no", "not", "never")
 CONFLICT_LABEL = r"(?s)\(CONFLICTING REPORTS.*"
 VERDICT_LABEL = r"\((?:confirmed by \d+ independent sources?|reported by [^)]*, unconfirmed|unverified)\)"
+OG_TITLE = r"(?i)<meta[^>]+property=[\"']og:title[\"'][^>]+content=[\"']([^\"']+)"
+TITLE = r"(?i)<title[^>]*>([^<]+)</title>"
+DATES = (
+    r"\"datePublished\"\s*:\s*\"([^\"]+)\"",
+    r"(?i)<meta[^>]+property=[\"']article:published_time[\"'][^>]+content=[\"']([^\"']+)",
+    r"(?i)<time[^>]+datetime=[\"']([^\"']+)",
+)
+#: The name space of URLs for name-based UUIDs.
+URL_SPACE = "6ba7b8119dad11d180b400c04fd430c8"
 STRUCTURAL = r"^(?:#|(?:-{3,}|\*{3,}|_{3,})\s*$)"
 
 
@@ -59,16 +68,14 @@ def strip_html(html: Column) -> Column:
 
 
 def page_title(html: Column) -> Column:
-    """og:title, else the title element; null if neither."""
-    og = F.regexp_extract(html, r"(?is)<meta[^>]+property=[\"']og:title[\"'][^>]+content=[\"']([^\"']+)", 1)
-    own = F.btrim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
-    return F.coalesce(F.nullif(og, F.lit("")), F.nullif(own, F.lit("")))
+    """og:title, or the title element where there is no og:title; trimmed, null if blank or neither."""
+    og, own = F.regexp_extract(html, OG_TITLE, 1), F.regexp_extract(html, TITLE, 1)
+    return F.nullif(F.btrim(F.when(og != "", og).otherwise(own), F.lit(" \t\n\r\f\x0b")), F.lit(""))
 
 
 def page_published(html: Column) -> Column:
     """The first of datePublished, article:published_time and a time element that is a date; UTC. Else null."""
-    forms = (r"\"datePublished\"\s*:\s*\"([^\"]+)\"", r"(?i)article:published_time[\"'][^>]*content=[\"']([^\"']+)", r"(?i)<time[^>]*datetime=[\"']([^\"']+)")
-    return F.coalesce(*[F.try_to_timestamp(F.nullif(F.regexp_extract(html, f, 1), F.lit(""))) for f in forms])
+    return F.coalesce(*[F.try_to_timestamp(F.nullif(F.regexp_extract(html, f, 1), F.lit(""))) for f in DATES])
 
 
 def netloc(url: Column) -> Column:
@@ -77,8 +84,21 @@ def netloc(url: Column) -> Column:
 
 
 def url_key(url: Column) -> Column:
-    """A URL without its fragment and trailing slash."""
-    return F.regexp_replace(F.regexp_replace(url, r"#.*$", ""), r"/$", "")
+    """A URL without its fragment and trailing slashes."""
+    return F.regexp_replace(F.regexp_replace(url, r"#.*$", ""), r"/+$", "")
+
+
+def origin(url: Column) -> Column:
+    """Scheme and host of a URL, which may leave out the scheme (then https)."""
+    full = F.when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), url).otherwise(F.concat(F.lit("https://"), url))
+    return F.regexp_extract(full, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1)
+
+
+def point_id(name: Column) -> Column:
+    """The name-based UUID (version 5, URL space) of a name."""
+    h = F.sha1(F.concat(F.unhex(F.lit(URL_SPACE)), F.encode(name, "utf-8")))
+    variant = F.substring(F.lit("89ab"), (F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4 + 1), 1)
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
 
 
 def source_stub_id(host: Column) -> Column:

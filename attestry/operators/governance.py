@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,18 @@ def decided(candidates: DataFrame, log: DataFrame) -> DataFrame:
     return candidates.drop("status", "reason").join(last, "netloc", "left").select(*[c for c in candidates.columns if c not in ("status", "reason")], F.coalesce("_d.status", F.lit("pending")).alias("status"), F.col("_d.reason").alias("reason"))
 
 
+def decision(candidates: DataFrame, netloc: str, status: str, at: datetime, reason: str | None = None) -> DataFrame:
+    """The log row that approves or rejects a candidate. One that is not there is an error, so is a rejection without
+    a reason. Approving changes no registry: stanza gives the entry to review."""
+    if status not in ("approved", "rejected"):
+        raise ValueError(f"unknown decision {status!r}")
+    if status == "rejected" and not reason:
+        raise ValueError("a rejection needs a reason")
+    if candidates.filter(F.col("netloc") == netloc).isEmpty():
+        raise KeyError(f"no candidate {netloc!r}")
+    return candidates.sparkSession.createDataFrame([(netloc, at, status, reason)], "netloc string, decided_at timestamp, status string, reason string")
+
+
 def listed(candidates: DataFrame, status: str = "pending") -> DataFrame:
     """Candidates of a status; all of them for "all"."""
     return candidates if status == "all" else candidates.filter(F.col("status") == status)

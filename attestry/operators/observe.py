@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: What stands between tokens.
+SEPARATOR = r"[\x09-\x0D\x20]"
+
+
 def source_health(events: DataFrame, registry: DataFrame, now: datetime, window_hours: int = 24) -> DataFrame:
     """One row per source of the registry (source_id) from its polls (source_id, event_id, started_at, status,
     items_seen, snapshots_new, error).
@@ -35,11 +39,23 @@ def golden_outcomes(expectations: DataFrame, claims: DataFrame) -> DataFrame:
     """Whether each expectation (case, needle, claim_type, verdict) passes over claims (case, text, claim_type, verdict).
 
     It passes if some claim of its case (and type, if it names one) has the needle in its text, case aside,
-    and all of those have the verdict. Joined by case, so claims of other cases are not looked at.
+    and all of those have the verdict. Equal claims of a case count once. Case and a token inside the needle
+    are joined on, so a claim meets the expectations that it shares a whole token with; needles without an
+    inner token are joined by case alone.
     """
-    c = claims.select(F.col("case").alias("_case"), F.lower("text").alias("_t"), F.col("claim_type").alias("_type"), F.col("verdict").alias("_verdict"))
-    meets = (F.col("case") == F.col("_case")) & F.contains("_t", F.lower("needle")) & (F.col("claim_type").isNull() | (F.col("claim_type") == F.col("_type")))
-    met = expectations.distinct().join(c, meets, "left")
+    c = claims.groupBy("case", F.lower("text").alias("_t"), "claim_type", "verdict").agg(F.lit(1).alias("_one"))
+    c = c.select(F.col("case").alias("_case"), "_t", F.col("claim_type").alias("_type"), F.col("verdict").alias("_verdict"))
+    wanted = expectations.distinct().withColumn("_needle", F.lower("needle"))
+    # the tokens between separators of the needle are whole tokens of any text that holds it; the longest is rarest
+    pieces = F.filter(F.split("_needle", SEPARATOR), lambda p: p != "")
+    whole = F.when(F.col("_needle").rlike("^" + SEPARATOR), F.lit(0)).otherwise(1), F.when(F.col("_needle").rlike(SEPARATOR + "$"), F.lit(0)).otherwise(1)
+    inner = F.when(F.size(pieces) - whole[0] - whole[1] > 0, F.slice(pieces, whole[0] + 1, F.size(pieces) - whole[0] - whole[1]))
+    wanted = wanted.withColumn("_token", F.element_at(F.array_sort(F.transform(inner, lambda p: F.struct((-F.length(p)).alias("n"), p.alias("p")))), 1)["p"])
+    tokens = c.withColumn("_k", F.explode(F.array_distinct(F.filter(F.split("_t", SEPARATOR), lambda p: p != ""))))
+    meets = F.contains("_t", "_needle") & (F.col("claim_type").isNull() | (F.col("claim_type") == F.col("_type")))
+    by_token = wanted.filter("_token IS NOT NULL").join(tokens, (F.col("case") == F.col("_case")) & (F.col("_token") == F.col("_k")) & meets, "left")
+    by_case = wanted.filter("_token IS NULL").join(c, (F.col("case") == F.col("_case")) & meets, "left")
+    met = by_token.select(*expectations.columns, "_verdict").unionByName(by_case.select(*expectations.columns, "_verdict"))
     agree = F.coalesce(F.bool_and(F.col("_verdict") == F.col("verdict")), F.lit(False))
     return met.groupBy(*expectations.columns).agg(agree.alias("passed"), F.array_sort(F.collect_set("_verdict")).alias("got"))
 
@@ -64,6 +80,13 @@ def overview(health: DataFrame) -> DataFrame:
     return health.groupBy("status").agg(F.count("*").alias("sources"), F.sum("items_in_window").alias("items"))
 
 
+def overview_counts(snapshots: DataFrame, runs: DataFrame, candidates: DataFrame, health: DataFrame) -> DataFrame:
+    """(name, n): snapshots, runs, pending candidates, and sources by state ("sources_ok", ...)."""
+    counted = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+    states = health.groupBy("status").agg(F.count("*").alias("n")).select(F.concat(F.lit("sources_"), "status").alias("name"), "n")
+    return counted(snapshots, "snapshots").unionByName(counted(runs, "runs")).unionByName(counted(candidates.filter("status = 'pending'"), "pending_candidates")).unionByName(states)
+
+
 def latest_runs(runs: DataFrame) -> DataFrame:
     """The latest run of each domain."""
     others = [c for c in runs.columns if c != "domain"]

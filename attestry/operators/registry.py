@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import strings
 
 #: What a source row has. tags: tag -> tier (1 to 3).
-SCHEMA = "source_id string, name string, adapter string, language string, license string, tags map<string,int>, independence_group string, status string"
+SCHEMA = "source_id string, name string, adapter string, language string, license string, tags map<string,int>, independence_group string, status string, endpoints array<string>"
 
 
 def tier_in(tags: Column, include_tags: list[str]) -> Column:

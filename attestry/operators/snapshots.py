@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import exists, written
+
 
 def first_writers(items: DataFrame, store: DataFrame | None = None) -> DataFrame:
     """One row per content_hash of items that the store does not hold: the earliest by (fetched_at, ord).
@@ -28,9 +30,19 @@ def blob_paths(items: DataFrame) -> DataFrame:
     return items.withColumn("blob_uri", F.concat_ws("/", F.substring("content_hash", 1, 2), "content_hash"))
 
 
-def write_blobs(items: DataFrame, folder: str) -> None:
-    """Append contents by first two digits of their hash. Pass rows that first_writers left only."""
-    blob_paths(items).withColumn("shard", F.substring("content_hash", 1, 2)).write.mode("append").partitionBy("shard").parquet(folder)
+def write_blobs(items: DataFrame, folder: str) -> int:
+    """Write contents (content_hash, content, ...) by the first two digits of their hash, each once: what the folder
+    holds, and repeats within items, are left out. Returns how many were new. One writer at a time."""
+    spark = items.sparkSession
+    sharded = blob_paths(items).withColumn("shard", F.substring("content_hash", 1, 2))
+    others = [c for c in sharded.columns if c not in ("content_hash", "shard")]
+    one = sharded.groupBy("shard", "content_hash").agg(F.min_by(F.struct(*others), F.xxhash64(*others)).alias("_f")).select("content_hash", "_f.*", "shard")
+    if exists(spark, folder):
+        held = spark.read.parquet(folder).select("shard", "content_hash")
+        one = one.join(held.withColumn("shard", F.col("shard").cast("string")), ["shard", "content_hash"], "left_anti")
+    one = written(one, "blobs")
+    one.write.mode("append").partitionBy("shard").parquet(folder)
+    return one.count()
 
 
 def watermarks(events: DataFrame) -> DataFrame:

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import gzip
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import claims, corroborate, entities, governance, index, near_duplicates, observe, registry, retrieve, snapshots, stories, verify
+from ..operators import claims, corroborate, entities, governance, index, near_duplicates, observe, registry, retrieve, signatures, snapshots, stories, vector_index, verify
 from ..operators.graph import components
+from ..sources import readers, sites
+from ..sources.config import Profile
 from ..storage import work_path, written
 from ..streaming import streams
-from . import tables
+from . import polling, tables, workflows
 from .tables import table
 
 NOW = datetime(2024, 1, 31)
@@ -50,7 +53,8 @@ def source_health(spark: SparkSession, d: str) -> DataFrame:
 
 
 def overview_counts(spark: SparkSession, d: str) -> DataFrame:
-    return observe.overview(source_health(spark, d))
+    runs = table(spark, d, "events").select(F.col("event_id").alias("run_id"))
+    return observe.overview_counts(tables.snapshots(spark, d), runs, candidates_propose(spark, d), source_health(spark, d))
 
 
 def extract_strip_html(spark: SparkSession, d: str) -> DataFrame:
@@ -198,8 +202,14 @@ def claims_event(spark: SparkSession, d: str) -> DataFrame:
 
 
 def claims_quant(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame(tables.QUANTITIES, "id long, text string").withColumns({"entity_ids": F.array().cast("array<string>"), "published_at": F.lit("2024-03-05").cast("timestamp")})
-    return claims.extract(rows).select("id", "claim_type", "entity_id", "metric", "value", "unit", "as_of", "direction")
+    """Sentences made of line items, with all shapes of a quantity, and documents, with hardly any."""
+    li = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_quantity").cast("int").cast("string").alias("q"), F.date_format("l_shipdate", "yyyy-MM-dd").cast("timestamp").alias("published_at"))
+    n = F.col("id") % 5
+    text = F.when(n == 0, F.concat(F.lit("War risk premiums rose to "), "q", F.lit(".5 percent in the strait."))).when(n == 1, F.concat(F.lit("Crude prices climbed to $"), "q", F.lit(" per barrel in early trading."))).when(n == 2, F.concat(F.lit("Output fell to "), "q", F.lit(",000 barrels, the note said."))).when(n == 3, F.concat(F.lit("The refinery closes for maintenance in week "), "q", F.lit("."))).otherwise(F.concat(F.lit("The rate reached "), "q", F.lit(" % while production declined at 9.1 mb/d.")))
+    docs = table(spark, d, "documents").select((-F.col("doc_id") - 1).alias("id"), tx.collapse(F.col("text")).alias("text"), F.lit("2024-03-05").cast("timestamp").alias("published_at"))
+    rows = li.select("id", text.alias("text"), "published_at").unionByName(docs.select("id", "text", "published_at")).withColumn("entity_ids", F.array().cast("array<string>"))
+    found = claims.extract(rows).filter("claim_type = 'quantitative'")
+    return found.select("id", "claim", "entity_id", "metric", "value", "unit", "as_of", "direction")
 
 
 def event_match_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -274,22 +284,107 @@ def golden_pass_rate(spark: SparkSession, d: str) -> DataFrame:
     """Labels as expectations: of a document's source as its case, a text is confirmed if it is of good quality."""
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
     made = docs.join(labels, "doc_id").select(F.col("source").alias("case"), "text", F.lit("event").alias("claim_type"), F.when(F.col("quality") == 1, "confirmed").otherwise("attributed").alias("verdict"))
-    wanted = docs.join(labels, "doc_id").select(F.col("source").alias("case"), F.substring("text", 1, 40).alias("needle"), F.lit(None).cast("string").alias("claim_type"), F.lit("confirmed").alias("verdict")).distinct()
+    wanted = docs.join(labels, "doc_id").select(F.col("source").alias("case"), F.col("text").alias("needle"), F.lit(None).cast("string").alias("claim_type"), F.lit("confirmed").alias("verdict")).distinct()
     out = observe.golden_outcomes(wanted, made)
     return out.groupBy("case").agg(F.count("*").alias("expectations"), F.count_if("passed").alias("passed"))
 
 
 def snapshot_search(spark: SparkSession, d: str) -> DataFrame:
-    s = tables.snapshots(spark, d).select("doc_id", "content_hash", "source_id", F.col("published_at").alias("fetched_at"), F.substring("text", 1, 60).alias("title"), F.lit("").alias("url"))
+    s = tables.snapshots(spark, d).select("doc_id", "content_hash", "source_id", F.col("published_at").alias("fetched_at"), F.col("text").alias("title"), F.lit("").alias("url"))
     return snapshots.search(s, None, "THE", 50).select("doc_id", "source_id", "title")
 
 
 def replay_equivalence(spark: SparkSession, d: str) -> DataFrame:
-    """Cited contents of a brief and of its replay from saved evidence that only one of them has: none."""
-    own = build_stories(spark, d).select("sid", "doc_id")
-    saved = written(own.select(F.to_json(F.struct("sid", "doc_id")).alias("j")), "manifest")
-    again = saved.select(F.from_json("j", "sid string, doc_id long").alias("e")).select("e.*")
-    return own.exceptAll(again).unionByName(again.exceptAll(own))
+    """Verdicts of the tail over claims as evidence, of its replay from saved evidence, and how many only one has."""
+    own = _claims(spark, d).withColumn("tier", F.when(F.col("id") < 0, F.col("tier")).otherwise((F.substring("source_id", 2, 9).try_cast("int") % 3 + 1)))
+    evidence = written(own.select("sid", "source_id", "cluster_id", F.col("claim").alias("text"), F.lit(None).cast("timestamp").alias("published_at"), F.array().cast("array<string>").alias("entity_ids"), F.lit(None).cast("string").alias("title")), "evidence")
+    sources = own.groupBy("source_id").agg(F.min("tier").alias("t")).select("source_id", F.create_map(F.lit("general"), F.col("t")).alias("tags"), F.col("source_id").alias("independence_group"))
+    profile = Profile("catalogue", ["general"])
+    first = workflows.tail(evidence, sources, profile)
+    saved = written(evidence.select(F.to_json(F.struct("*")).alias("j")), "manifest").select(F.from_json("j", evidence.schema).alias("e")).select("e.*")
+    again = workflows.replay(saved, sources, profile, first["verdicts"])
+    counted = lambda df, name: df.groupBy("verdict").agg(F.count("*").alias(name))
+    joined = counted(first["verdicts"], "n").join(counted(again["verdicts"], "again"), "verdict", "full")
+    gone = again["difference"].groupBy("verdict").agg(F.count("*").alias("differing"))
+    return joined.join(gone, "verdict", "left").select("verdict", "n", "again", F.coalesce("differing", F.lit(0)).alias("differing"))
+
+
+def point_ids(spark: SparkSession, d: str) -> DataFrame:
+    s = tables.snapshots(spark, d)
+    return s.select("doc_id", tx.point_id(F.concat(F.lit("chunk:"), "content_hash", F.lit(":0"))).alias("point_id"))
+
+
+def index_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """All vectors, then those of even ids again with another label: ids that are there are replaced."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    e = written(e, "vectors")
+    index_ = vector_index.VectorIndex(spark, work_path(spark, "index"))
+    index_.ensure(len(e.first()["vector"]), "given")
+    index_.upsert(e.withColumn("label", F.lit("first")))
+    index_.upsert(e.filter(F.col("id").cast("long") % 2 == 0).withColumn("label", F.lit("second")))
+    return index_.read().select(F.col("id").cast("long").alias("vec_id"), "label", F.size("vector").alias("dimension"))
+
+
+def extract_media(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as items of five media types, one of them with bad JSON."""
+    n = F.col("doc_id") % 5
+    kind = F.when(n == 0, "text/plain").when(n.isin(1, 2), "application/json").when(n == 3, "text/csv").otherwise("image/png")
+    content = F.when(n == 1, F.concat(F.lit('{"id":'), F.col("doc_id").cast("string"), F.lit(', "tags": ["a"]}'))).when(n == 2, F.concat(F.lit('{"id":'), F.col("doc_id").cast("string"))).otherwise(F.concat(F.lit(" "), F.coalesce("text", F.lit("")), F.lit("\n")))
+    items = table(spark, d, "documents").select("doc_id", kind.alias("media_type"), F.encode(content, "utf-8").alias("content"))
+    return readers.extract_text(items).select("doc_id", "extraction_status", "text")
+
+
+def _robots(spark: SparkSession, d: str) -> DataFrame:
+    """A robots file for every host of pages: /item and /blog are closed but for one path, for one agent all is."""
+    hosts = table(spark, d, "pages").select(tx.netloc(F.col("url")).alias("host")).filter("host <> ''").distinct()
+    text = F.concat(F.lit("# rules\nUser-agent: nobody\nDisallow: /\n\nUser-agent: *\nAllow: /item/1\nDisallow: /item\nDisallow: /blog # closed\nSitemap: https://"), "host", F.lit("/sitemap.xml\n"))
+    return hosts.select(F.concat(F.lit("https://"), "host", F.lit("/robots.txt")).alias("url"), F.lit(200).alias("status"), F.encode(text, "utf-8").alias("body"))
+
+
+def robots_permitted(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages").select("page_id", F.concat(F.lit("https://"), tx.netloc(F.col("url")), F.when(F.col("page_id") % 3 == 0, F.lit("/item/")).when(F.col("page_id") % 3 == 1, F.lit("/blog/")).otherwise(F.lit("/news/")), F.col("page_id").cast("string")).alias("url"))
+    return sites.permitted(pages, sites.robots_rules(_robots(spark, d))).select("page_id")
+
+
+def sitemap_pages(spark: SparkSession, d: str) -> DataFrame:
+    """A sitemap index, gzipped, and one sitemap for every host of pages, walked down to the pages."""
+    p = table(spark, d, "pages").filter("url IS NOT NULL").select(tx.netloc(F.col("url")).alias("host"), F.replace("url", F.lit("&"), F.lit("&amp;")).alias("url")).filter("host <> ''")
+    urls = p.groupBy("host").agg(F.array_join(F.collect_set(F.concat(F.lit("<url><loc>"), "url", F.lit("</loc><lastmod>2024-01-02</lastmod></url>"))), "").alias("x"))
+    maps = urls.select(F.concat(F.lit("https://"), "host", F.lit("/sitemap.xml")).alias("url"), F.lit(200).alias("status"), F.encode(F.concat(F.lit('<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), "x", F.lit("</urlset>")), "utf-8").alias("body"))
+    top = maps.agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("<sitemap><loc>"), "url", F.lit("</loc></sitemap>")))), "").alias("x"))
+    pack = F.udf(lambda s: gzip.compress(s.encode()), "binary")
+    root = top.select(F.lit("https://all/index.xml.gz").alias("url"), F.lit(200).alias("status"), pack(F.concat(F.lit("<sitemapindex>"), "x", F.lit("</sitemapindex>"))).alias("body"))
+    entries = written(sites.sitemap_entries(maps.unionByName(root)), "entries")
+    return sites.walk_sitemaps(entries, ["https://all/index.xml.gz"], exclude="/blog").select(tx.url_key(F.col("url")).alias("url"), "lastmod")
+
+
+def signature_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of even ids first, then the others against the signatures that these left."""
+    docs = written(_texts(spark, d).select(F.sha2("text", 256).alias("content_hash"), "text", "id", F.timestamp_seconds(F.lit(1704067200) + F.col("id")).alias("created_at")), "texts")
+    signed = [signatures.signatures(docs.filter(F.col("id") % 2 == r)) for r in (0, 1)]
+    empty = spark.createDataFrame([], "content_hash string, signature array<long>, created_at timestamp, cluster_id string")
+    held = written(signatures.assign(signed[0], empty, NOW, 365), "held")
+    found = held.unionByName(signatures.assign(signed[1], held, NOW, 365))
+    return found.join(docs, "content_hash").select("id", (F.col("cluster_id") != F.substring("content_hash", 1, 16)).alias("joined"))
+
+
+def poll_loop(spark: SparkSession, d: str) -> DataFrame:
+    """Two rounds over the sources of documents: even ids first, then all; one source always fails."""
+    from datetime import timedelta
+
+    docs = table(spark, d, "documents")
+    clock = iter(NOW + timedelta(minutes=i) for i in range(10_000))
+    store = polling.Store(spark, work_path(spark, "polls"))
+    for rest in ((0,), (0, 1)):
+
+        def read(spark, source, after, rest=rest):
+            if source["source_id"] == "src1":
+                raise OSError("no answer")
+            rows = docs.filter((F.col("source") == source["source_id"]) & (F.col("doc_id") % 2).isin(*rest))
+            return rows.select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("url"), F.lit("").alias("title"), F.coalesce("text", F.lit("")).alias("content"), F.lit("text/plain").alias("media_type"), F.lit(None).cast("timestamp").alias("published_at"))
+
+        polling.poll(store, tables.registry(spark, d).filter("source_id IN ('src1', 'src2', 'src4', 'src5')"), Profile("catalogue", ["t0", "t1"]), read, clock=lambda: next(clock))
+    return store.events.groupBy("source_id", "status").agg(F.count("*").alias("polls"), F.sum("items_seen").alias("items_seen"), F.sum("snapshots_new").alias("snapshots_new"), F.sum("snapshots_dup").alias("snapshots_dup"))
 
 
 def tag_gap_sets(spark: SparkSession, d: str) -> DataFrame:
@@ -312,7 +407,10 @@ def graph_components(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ingest_stats(spark: SparkSession, d: str) -> DataFrame:
-    s = tables.snapshots(spark, d).select("content_hash", F.when(F.length("text") < 400, "empty").otherwise("extracted").alias("extraction_status"), F.substring(F.sha2("text", 256), 1, 16).alias("cluster_id"))
+    """Snapshots by status; a document's cluster is named by the hash of the one that the cluster is named by."""
+    s = tables.snapshots(spark, d).join(_clusters(spark, d), "doc_id")
+    own = tables.snapshots(spark, d).select(F.col("doc_id").alias("root"), F.substring("content_hash", 1, 16).alias("cluster_id"))
+    s = s.join(own, "root").select("content_hash", F.when(F.length("text") < 400, "empty").otherwise("extracted").alias("extraction_status"), "cluster_id")
     return observe.ingest_stats(s)
 
 
@@ -337,5 +435,5 @@ QUERIES = {f.__name__: f for f in (
     minhash_lsh_candidates, minhash_signatures, story_clusters, dense_topk, sparse_topk, hybrid_rrf, retrieve_scoped_window, coverage_gate, best_score_assemble,
     build_stories, split_sentences, claims_event, claims_quant, event_match_pairs, event_groups, voices, corroborate_events, corroborate_quants,
     verdict_counts, validate_citations, verify_sentences, verify_precision, drop_unsupported, golden_pass_rate, snapshot_search, replay_equivalence,
-    tag_gap_sets, brief_body, graph_components, ingest_stats, stream_health_window, stream_put_dedup,
+    tag_gap_sets, point_ids, index_upsert, extract_media, robots_permitted, sitemap_pages, signature_clusters, poll_loop, brief_body, graph_components, ingest_stats, stream_health_window, stream_put_dedup,
 )}

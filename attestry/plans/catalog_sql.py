@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.text import CONFLICT_LABEL, DENIAL, DIRECTION, NEGATIONS, QUANT, STOPWORDS, STRUCTURAL, VERDICT_LABEL
+from ..functions.text import CONFLICT_LABEL, DENIAL, DIRECTION, NEGATIONS, OG_TITLE, QUANT, STOPWORDS, STRUCTURAL, TITLE, URL_SPACE, VERDICT_LABEL
 from ..operators.near_duplicates import PRIME, coefficients
 from . import tables
 
@@ -60,6 +60,11 @@ flat AS (SELECT id, unnest(s) AS h FROM shing),
 common AS (SELECT x.id AS a, y.id AS b, count(*) AS n FROM flat x JOIN flat y ON x.h = y.h AND x.id < y.id GROUP BY 1, 2),
 pairs AS (SELECT a, b, n / (len(p.s) + len(q.s) - n)::DOUBLE AS jaccard FROM common JOIN shing p ON p.id = a JOIN shing q ON q.id = b WHERE n / (len(p.s) + len(q.s) - n)::DOUBLE >= 0.8)"""
 
+#: Texts with their signatures.
+SIGNED = f"""{PAIRS.split('flat AS')[0].rstrip().rstrip(',')},
+hashed AS (SELECT id, list_transform(s, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT) AS h FROM shing),
+signed AS (SELECT id, list_transform([{', '.join(f"{{a: {a}::BIGINT, b: {b}::BIGINT}}" for a, b in coefficients())}], lambda c: list_min(list_transform(h, lambda x: (x * c.a + c.b) % {PRIME}))) AS m FROM hashed)"""
+
 
 def reach(edges: str) -> str:
     """(node, root) of the nodes of edges (a, b): the least node that each reaches."""
@@ -177,9 +182,10 @@ ORACLE_SQL = {
     "poll_watermark_filter": f"WITH {POLLS}, m AS (SELECT source_id, max(started_at) AS since FROM polls WHERE started_at < '2024-01-15' AND status <> 'error' GROUP BY 1) SELECT source_id, count(*) AS n, sum(items_seen)::BIGINT AS items FROM polls LEFT JOIN m USING (source_id) WHERE since IS NULL OR started_at > since GROUP BY 1",
     "poll_totals": f"WITH {POLLS} SELECT sum(items_seen)::BIGINT AS items_seen, 0::BIGINT AS snapshots_new, sum(items_seen)::BIGINT AS snapshots_dup FROM polls",
     "source_health": HEALTH + " SELECT * FROM health",
-    "overview_counts": HEALTH + " SELECT status, count(*) AS sources, sum(items_in_window)::BIGINT AS items FROM health GROUP BY 1",
+    "overview_counts": HEALTH + f""", cand AS (SELECT DISTINCT netloc FROM (SELECT {NETLOC.format('url')} AS netloc FROM pages) WHERE netloc <> '' AND netloc NOT IN (SELECT {NETLOC.format('url')} FROM pages WHERE url LIKE 'https://m.%') AND netloc NOT IN (SELECT {NETLOC.format('url')} FROM pages WHERE url LIKE '%//blog.%'))
+        SELECT 'snapshots' AS name, count(*) AS n FROM documents UNION ALL SELECT 'runs', count(*) FROM events UNION ALL SELECT 'pending_candidates', count(*) FROM cand UNION ALL SELECT 'sources_' || status, count(*) FROM health GROUP BY 1""",
     "extract_strip_html": r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '[ \t\n\r\f\x0b]+', ' ', 'g'), ' ') AS text FROM pages",
-    "page_title_netloc": rf"""SELECT page_id, coalesce(nullif(regexp_extract(html, '(?is)<meta[^>]+property=["'']og:title["''][^>]+content=["'']([^"'']+)', 1), ''), nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), ' '), '')) AS title, {NETLOC.format('url')} AS netloc, regexp_replace(regexp_replace(url, '#.*$', ''), '/$', '') AS url_key FROM pages""",
+    "page_title_netloc": rf"""SELECT page_id, nullif(trim(CASE WHEN regexp_extract(html, '{OG_TITLE.replace("'", "''")}', 1) <> '' THEN regexp_extract(html, '{OG_TITLE.replace("'", "''")}', 1) ELSE regexp_extract(html, '{TITLE}', 1) END, {BLANK}), '') AS title, {NETLOC.format('url')} AS netloc, regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', '') AS url_key FROM pages""",
     "candidates_propose": f"""WITH l AS (SELECT *, {NETLOC.format('url')} AS netloc FROM pages) SELECT netloc, arg_min(url, page_id) AS url, count(*) AS links, translate(netloc, '.-', '__') AS stub_id, 'pending' AS status FROM l
         WHERE netloc <> '' AND netloc NOT IN (SELECT netloc FROM l WHERE url LIKE 'https://m.%') AND netloc NOT IN (SELECT netloc FROM l WHERE url LIKE '%//blog.%') GROUP BY netloc""",
     "tokenize_counts": f"WITH x AS (SELECT doc_id, {tokens('text')} AS t FROM documents) SELECT doc_id, len(t)::INT AS n_tokens, len(list_distinct(t))::INT AS n_distinct, md5(array_to_string(t, ' ')) AS tokens_md5 FROM x",
@@ -189,9 +195,7 @@ ORACLE_SQL = {
     "query_expand": f"WITH e AS (SELECT conv_id, turn, text, {tags('text')} AS ids FROM conversations), x AS (SELECT *, list_sort(list_distinct(list_concat(ids, flatten(list_transform(ids, lambda i: {_FORMS_OF}[i]))))) AS extra FROM e) SELECT conv_id, turn, CASE WHEN len(extra) = 0 THEN text ELSE text || ' ' || array_to_string(extra, ' ') END AS expanded FROM x",
     "near_dup_exact": f"WITH {PAIRS} SELECT a, b, round(jaccard, 6) AS jaccard FROM pairs",
     "minhash_lsh_candidates": f"WITH {PAIRS} SELECT a, b, round(jaccard, 6) AS jaccard FROM pairs",
-    "minhash_signatures": f"""WITH {PAIRS.split('flat AS')[0].rstrip().rstrip(',')},
-hashed AS (SELECT id, list_transform(s, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT) AS h FROM shing)
-SELECT id, md5(array_to_string(list_transform([{', '.join(f"{{a: {a}::BIGINT, b: {b}::BIGINT}}" for a, b in coefficients())}], lambda c: list_min(list_transform(h, lambda x: (x * c.a + c.b) % {PRIME}))), ',')) AS signature FROM hashed""",
+    "minhash_signatures": f"WITH {SIGNED} SELECT id, md5(array_to_string(m, ',')) AS signature FROM signed",
     "story_clusters": f"WITH RECURSIVE {CLUSTERS} SELECT doc_id, root FROM clustered",
     "dense_topk": """WITH n AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings),
         c AS (SELECT q.id AS query_id, d.id, round(list_dot_product(q.v, d.v) / (q.n * d.n), 9) AS score FROM n q CROSS JOIN n d WHERE q.id % 20 = 0)
@@ -209,9 +213,12 @@ SELECT id, md5(array_to_string(list_transform([{', '.join(f"{{a: {a}::BIGINT, b:
     "split_sentences": f"""WITH l AS (SELECT doc_id, unnest(ls) AS l, unnest(range(len(ls))) AS line FROM (SELECT doc_id, {LINES.format("coalesce(text, '')")} AS ls FROM documents)),
         s AS (SELECT doc_id, line, {sentences(f'trim(l, {BLANK})')} AS ss FROM l) SELECT doc_id, line::INT AS line, unnest(range(len(ss)))::INT AS pos, unnest(ss) AS sentence FROM s""",
     "claims_event": f"WITH {CLAIMS} SELECT id, claim, modality, source_id FROM claims",
-    "claims_quant": rf"""WITH r(id, s) AS (VALUES {_values(tables.QUANTITIES)}), q AS (SELECT *, regexp_matches(s, '{QUANT}') AS m FROM r)
-        SELECT id, CASE WHEN m THEN 'quantitative' ELSE 'event' END AS claim_type, CASE WHEN m THEN lower(regexp_extract(s, '{QUANT}', 1)) END AS entity_id, CASE WHEN m THEN rtrim(lower(regexp_extract(s, '{QUANT}', 1)), 's') END AS metric,
-        CASE WHEN m THEN regexp_extract(s, '{QUANT}', 2)::DOUBLE END AS value, CASE WHEN m THEN nullif(lower(regexp_extract(s, '{QUANT}', 3)), '') END AS unit, CASE WHEN m THEN '2024-03-05' END AS as_of, CASE WHEN m THEN nullif(lower(regexp_extract(s, '{DIRECTION}', 1)), '') END AS direction FROM q""",
+    "claims_quant": rf"""WITH r(id, s, day) AS (SELECT l_orderkey * 10 + l_linenumber, CASE (l_orderkey * 10 + l_linenumber) % 5 WHEN 0 THEN 'War risk premiums rose to ' || q || '.5 percent in the strait.' WHEN 1 THEN 'Crude prices climbed to $' || q || ' per barrel in early trading.'
+            WHEN 2 THEN 'Output fell to ' || q || ',000 barrels, the note said.' WHEN 3 THEN 'The refinery closes for maintenance in week ' || q || '.' ELSE 'The rate reached ' || q || ' % while production declined at 9.1 mb/d.' END, strftime(l_shipdate, '%Y-%m-%d') FROM (SELECT *, l_quantity::INT::VARCHAR AS q FROM lineitem)
+          UNION ALL SELECT -doc_id - 1, {ws('text')}, '2024-03-05' FROM documents),
+        p AS (SELECT id, day, unnest({sentences('s')}) AS s FROM r), q AS (SELECT id, day, {ws('s')} AS s FROM p)
+        SELECT id, s AS claim, lower(regexp_extract(s, '{QUANT}', 1)) AS entity_id, rtrim(lower(regexp_extract(s, '{QUANT}', 1)), 's') AS metric, regexp_extract(s, '{QUANT}', 2)::DOUBLE AS value, nullif(lower(regexp_extract(s, '{QUANT}', 3)), '') AS unit, day AS as_of,
+        nullif(lower(regexp_extract(s, '{DIRECTION}', 1)), '') AS direction FROM q WHERE length(s) >= 25 AND regexp_matches(s, '{QUANT}')""",
     "event_match_pairs": f"WITH {CLAIMS}, {EVENT_PAIRS} SELECT a, b, round(jaccard, 6) AS jaccard FROM epairs",
     "event_groups": f"WITH RECURSIVE {CLAIMS}, {GROUPS} SELECT id, root FROM groups",
     "voices": f"WITH RECURSIVE {SNAP}, {REG}, ve AS (SELECT doc_id AS id, lang || ':' || doc_id // 40 AS claim_group, content_hash AS cluster_id, independence_group, tier FROM snap JOIN reg USING (source_id)), {voices('ve')} SELECT * FROM v",
@@ -228,13 +235,37 @@ SELECT id, md5(array_to_string(list_transform([{', '.join(f"{{a: {a}::BIGINT, b:
         SELECT body_id, CASE WHEN sum(n) > 0 THEN trim('# Conversation' || coalesce(string_agg(chr(10) || kept, '' ORDER BY line), ''), {BLANK}) ELSE any_value(body) END AS shipped, sum(n)::INT AS n_dropped FROM k JOIN bodies USING (body_id) GROUP BY 1""",
     "verify_sentences": f"WITH {CHECKS} SELECT body_id, line, pos, sentence, sids, supported FROM checks",
     "verify_precision": f"WITH {CHECKS} SELECT body_id, count(*) AS checked, count(*) FILTER (NOT supported) AS failed, count(*) FILTER (supported) / count(*)::DOUBLE AS precision FROM checks GROUP BY 1",
-    "golden_pass_rate": """WITH m AS (SELECT source AS c, text, quality FROM documents JOIN labels USING (doc_id)), w AS (SELECT DISTINCT source AS c, substring(text, 1, 40) AS needle FROM documents JOIN labels USING (doc_id)),
+    "golden_pass_rate": """WITH m AS (SELECT source AS c, text, quality FROM documents JOIN labels USING (doc_id)), w AS (SELECT DISTINCT source AS c, text AS needle FROM documents JOIN labels USING (doc_id)),
         o AS (SELECT w.c, w.needle, coalesce(bool_and(quality = 1), false) AS passed FROM w LEFT JOIN m ON m.c = w.c AND contains(lower(m.text), lower(w.needle)) GROUP BY 1, 2) SELECT c AS "case", count(*) AS expectations, count(*) FILTER (passed) AS passed FROM o GROUP BY 1""",
-    "snapshot_search": "SELECT doc_id, source AS source_id, substring(text, 1, 60) AS title FROM documents WHERE substring(text, 1, 60) ILIKE '%THE%' ORDER BY doc_id DESC LIMIT 50",
-    "replay_equivalence": f"{STORIES}, e AS ({EVIDENCE_IDS}) SELECT sid, doc_id FROM e WHERE false",
+    "snapshot_search": "SELECT doc_id, source AS source_id, text AS title FROM documents WHERE text ILIKE '%THE%' ORDER BY doc_id DESC LIMIT 50",
+    "replay_equivalence": f"WITH RECURSIVE {EVENTS} SELECT verdict, count(*) AS n, count(*) AS again, 0::BIGINT AS differing FROM events_out GROUP BY 1".replace("conv_id % 3 + 1 AS tier", "(conv_id % 20) % 3 + 1 AS tier"),
     "stream_health_window": f"WITH {POLLS} SELECT source_id, date_trunc('day', started_at)::TIMESTAMP AS day, count(*) AS polls, count(*) FILTER (status = 'error') AS failed, sum(items_seen)::BIGINT AS items FROM polls GROUP BY 1, 2",
     "stream_put_dedup": f"WITH {SNAP} SELECT content_hash, arg_min(source_id, doc_id) AS source_id, min(doc_id) AS doc_id FROM snap GROUP BY content_hash",
+    "point_ids": f"""WITH h AS (SELECT doc_id, sha1(unhex('{URL_SPACE}') || encode('chunk:' || sha256(text) || ':0')) AS h FROM documents)
+        SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', ('0x' || substr(h, 17, 1))::INT % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id FROM h""",
+    "index_upsert": "SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN 'second' ELSE 'first' END AS label, len(embedding)::INT AS dimension FROM embeddings",
+    "extract_media": f"""WITH x AS (SELECT doc_id, doc_id % 5 AS n, trim(' ' || coalesce(text, '') || chr(10), {BLANK}) AS t FROM documents)
+        SELECT doc_id, CASE WHEN n = 4 THEN 'unsupported' WHEN n = 2 THEN 'failed' WHEN n <> 1 AND t = '' THEN 'empty' ELSE 'ok' END AS extraction_status,
+        CASE WHEN n IN (2, 4) THEN '' WHEN n = 1 THEN '{{' || chr(10) || ' "id": ' || doc_id || ',' || chr(10) || ' "tags": [' || chr(10) || '  "a"' || chr(10) || ' ]' || chr(10) || '}}' ELSE t END AS text FROM x""",
+    "robots_permitted": f"SELECT page_id FROM (SELECT page_id, {NETLOC.format('url')} AS netloc FROM pages) WHERE page_id % 3 = 2 OR netloc = '' OR (page_id % 3 = 0 AND page_id::VARCHAR LIKE '1%')",
+    "sitemap_pages": f"SELECT DISTINCT regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', '') AS url, TIMESTAMP '2024-01-02' AS lastmod FROM pages WHERE {NETLOC.format('url')} <> '' AND NOT regexp_matches(url, '(?i)/blog')",
+    "signature_clusters": f"""WITH RECURSIVE {SIGNED}, banded AS (SELECT id, unnest(range(32)) AS b, m FROM signed), keyed AS (SELECT id, b, m[b * 4 + 1:b * 4 + 4] AS k, m FROM banded),
+        near AS (SELECT DISTINCT x.id AS a, y.id AS b FROM keyed x JOIN keyed y ON x.b = y.b AND x.k = y.k AND x.id < y.id WHERE len(list_filter(range(1, 129), lambda i: x.m[i] = y.m[i])) >= 128 * 0.8),
+        {reach('near')}, g AS (SELECT t.id, coalesce(root, t.id) AS root FROM texts t LEFT JOIN roots ON node = t.id),
+        f AS (SELECT root, arg_min(id, id % 2 * 10000000000 + id) AS first FROM g GROUP BY root) SELECT id, id <> first AS joined FROM g JOIN f USING (root)""",
+    "poll_loop": """WITH s AS (SELECT DISTINCT source FROM documents WHERE source IN ('src1', 'src2', 'src4', 'src5')),
+        d AS (SELECT source, doc_id, coalesce(text, '') AS t, doc_id % 2 AS r FROM documents WHERE source IN ('src2', 'src4', 'src5')),
+        f AS (SELECT t, arg_min(source, r * 10 + right(source, 1)::INT) AS source FROM (SELECT *, r AS round FROM d) GROUP BY t),
+        seen AS (SELECT source, count(*) FILTER (r = 0) + count(*) AS n FROM d GROUP BY 1), new AS (SELECT source, count(*) AS n FROM f GROUP BY 1)
+        SELECT source AS source_id, CASE WHEN source = 'src1' THEN 'error' ELSE 'ok' END AS status, 2::BIGINT AS polls, coalesce(seen.n, 0)::BIGINT AS items_seen, coalesce(new.n, 0)::BIGINT AS snapshots_new,
+        (coalesce(seen.n, 0) - coalesce(new.n, 0))::BIGINT AS snapshots_dup FROM s LEFT JOIN seen USING (source) LEFT JOIN new USING (source)""",
+    "brief_body": rf"""WITH RECURSIVE {EVENTS}, told_lines AS (SELECT claim_group, coalesce(story_cluster, '') AS story, sids, regexp_replace({ws('text')}, '\.+$', '') || ' (' || CASE verdict WHEN 'confirmed' THEN 'confirmed by ' || independent_voices || ' independent source' || CASE WHEN independent_voices <> 1 THEN 's' ELSE '' END
+            WHEN 'attributed' THEN 'reported by ' || array_to_string(sources, ', ') || ', unconfirmed' WHEN 'contradicted' THEN 'CONFLICTING REPORTS — ' || coalesce(conflict, 'sources disagree') ELSE 'unverified' END || '). ' || array_to_string(list_transform(sids, lambda x: '[' || x || ']'), '') AS out FROM events_out WHERE len(sids) > 1 AND NOT dropped),
+        cited AS (SELECT story, claim_group, unnest(sids) AS sid, unnest(range(len(sids))) AS i FROM told_lines),
+        heads AS (SELECT story, arg_min(substring(string_split(claim, chr(10))[1], 1, 90), struct_pack(g := claim_group, i := i)) AS head FROM cited JOIN claims USING (sid) GROUP BY story),
+        parts AS (SELECT story, min(claim_group) AS first, string_agg(out, chr(10) ORDER BY claim_group) AS body FROM told_lines GROUP BY story)
+        SELECT 1::INT AS body_id, string_agg('### ' || coalesce(head, nullif(story, ''), 'Untitled') || chr(10) || body, chr(10) || chr(10) ORDER BY first) AS body FROM parts LEFT JOIN heads USING (story)""",
     "tag_gap_sets": f"WITH {REG} SELECT tag FROM (VALUES ('t0'), ('t1'), ('t2'), ('general')) w(tag) WHERE tag NOT IN (SELECT tag FROM reg)",
     "graph_components": f"WITH RECURSIVE {SNAP}, f AS (SELECT content_hash, min(doc_id) AS a FROM snap GROUP BY 1), e AS (SELECT a, doc_id AS b FROM snap JOIN f USING (content_hash) WHERE a < doc_id), {reach('e')} SELECT node, root FROM roots",
-    "ingest_stats": "SELECT CASE WHEN length(text) < 400 THEN 'empty' ELSE 'extracted' END AS extraction_status, count(*) AS n, 0::BIGINT AS clusters_joined FROM documents GROUP BY 1",
+    "ingest_stats": f"WITH RECURSIVE {CLUSTERS} SELECT CASE WHEN length(text) < 400 THEN 'empty' ELSE 'extracted' END AS extraction_status, count(*) AS n, count(*) FILTER (sha256(d.text) <> (SELECT any_value(sha256(r.text)) FROM documents r WHERE r.doc_id = c.root)) AS clusters_joined FROM documents d JOIN clustered c USING (doc_id) GROUP BY 1",
 }

@@ -43,11 +43,11 @@ DICTIONARY = [
 ]
 #: Golden sentences and a denial: (sid, source_id, tier, cluster, claim).
 GOLDEN = [
-    ("S1", "un_news", 1, "c-strait-1", "Port authorities suspended tanker transits through the strait on Monday citing safety concerns."),
-    ("S2", "bbc_world", 2, "c-strait-2", "Port authorities suspended tanker transits through the strait on Monday, officials said."),
-    ("S3", "al_jazeera_en", 2, "c-insure-1", "Regional refiners are quietly renegotiating freight insurance premiums with underwriters this week."),
-    ("S4", "local_demo", 1, "c-dam-1", "The ministry closed the northern dam for urgent repairs yesterday evening."),
-    ("S5", "opec_press", 2, "c-dam-2", "Officials denied the ministry closed the northern dam for urgent repairs."),
+    ("S1", "harbour_office", 1, "c-ferry-1", "The harbour office cancelled all evening ferries to the islands because of thick fog."),
+    ("S2", "coast_daily", 2, "c-ferry-2", "The harbour office cancelled all evening ferries to the islands, the pilots said."),
+    ("S3", "valley_news", 2, "c-mill-1", "Two paper mills in the valley plan to share one water treatment plant from next spring."),
+    ("S4", "city_desk", 1, "c-bridge-1", "Engineers shut the old railway bridge for repairs after last week's inspection."),
+    ("S5", "rail_board", 2, "c-bridge-2", "Officials denied engineers shut the old railway bridge for repairs."),
 ]
 #: Sentences with quantities.
 QUANTITIES = [

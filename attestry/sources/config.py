@@ -40,7 +40,7 @@ def load_registry(spark: SparkSession, path: str) -> DataFrame:
         if bad := [k for k, ok in checks.items() if not ok]:
             raise ConfigError(f"source {i!r}: {', '.join(bad)}")
         seen.add(i)
-        rows.append((i, e["name"], fetch.get("adapter", ""), e.get("language", "en"), e["license"], tags, e.get("independence_group") or i, e.get("status", "active")))
+        rows.append((i, e["name"], fetch.get("adapter", ""), e.get("language", "en"), e["license"], tags, e.get("independence_group") or i, e.get("status", "active"), [str(x["url"] if isinstance(x, dict) else x) for x in fetch["endpoints"]]))
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -86,3 +86,14 @@ def load_dictionary(path: str) -> list[tuple[str, str, str]]:
     with open(path, newline="", encoding="utf-8") as f:
         rows = [[c.strip() for c in r] for r in csv.reader(f) if r]
     return [(r[0], r[1] if len(r) > 1 else r[0], r[2] if len(r) > 2 else "") for r in rows if r[0] and r[0].lower() not in ("surface_form", "#")]
+
+
+def load_dictionaries(folder: str) -> list[tuple[str, str, str]]:
+    """The rows of all dictionaries that the profiles of a folder of domains (``<domain>/profile.yaml``) name, by
+    domain and in the profile's order; missing files are passed over, equal rows count once."""
+    rows: dict[tuple[str, str, str], None] = {}
+    for path in sorted(Path(folder).glob("*/profile.yaml")):
+        for name in load_profile(str(path)).dictionaries:
+            if (own := path.parent / name).exists():
+                rows |= dict.fromkeys(load_dictionary(str(own)))
+    return list(rows)

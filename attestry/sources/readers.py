@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import json_path, netloc, page_published, page_title, strip_html, url_key
+from ..functions.text import json_path, page_published, page_title, strip_html
 from ..operators.entities import Dictionary, relevant
 
 #: Media types by file suffix; fixed values.
-MEDIA_TYPES = {".html": "text/html", ".htm": "text/html", ".md": "text/markdown", ".txt": "text/plain", ".json": "application/json", ".csv": "text/csv", ".pdf": "application/pdf"}
+MEDIA_TYPES = {".md": "text/markdown", ".txt": "text/plain", ".html": "text/html", ".htm": "text/html", ".pdf": "application/pdf", ".json": "application/json", ".csv": "text/csv"}
 
 
-def _time(c: Column) -> Column:
+def parsed_time(c: Column) -> Column:
     """Feed dates: RFC 822 or ISO 8601; null if neither."""
     bare = F.regexp_replace(c, r"^[A-Za-z]{3},\s*", "")
     return F.coalesce(F.try_to_timestamp(bare, F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(F.regexp_replace(bare, " GMT$", " +0000"), F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(c))
@@ -26,22 +28,40 @@ def since(items: DataFrame, at: datetime | None) -> DataFrame:
     return items if at is None else items.filter(F.col("published_at").isNull() | (F.col("published_at") > F.lit(at)))
 
 
-def read_feed(spark: SparkSession, path: str, after: datetime | None = None) -> DataFrame:
-    """RSS items of stored feeds: the content, else the summary, else the title is the body."""
-    schema = "title string, link string, description string, pubDate string, `content:encoded` string"
-    raw = spark.read.format("xml").option("rowTag", "item").schema(schema).load(path)
+def read_feed(spark: SparkSession, path: str, after: datetime | None = None, fetch: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Items of stored RSS feeds and entries of Atom feeds: the content, else the summary, else the title is the body.
+
+    With ``fetch`` (urls to url, html; robots are its affair) the text of the full page stands for the body
+    wherever it brings one.
+    """
+    rss = "title string, link string, description string, pubDate string, `content:encoded` string"
+    raw = spark.read.format("xml").option("rowTag", "item").schema(rss).load(path)
     body = F.coalesce(F.col("`content:encoded`"), "description", "title", F.lit(""))
-    return since(raw.select(F.col("link").alias("url"), "title", body.alias("content"), F.lit("text/html").alias("media_type"), _time(F.col("pubDate")).alias("published_at")), after)
+    items = raw.select(F.col("link").alias("url"), "title", body.alias("content"), parsed_time(F.col("pubDate")).alias("published_at"))
+    link = "struct<_href:string,_rel:string>"
+    worded = "struct<_VALUE:string,_type:string>"
+    atom = f"title {worded}, link array<{link}>, summary {worded}, content {worded}, published string, updated string, id string"
+    raw = spark.read.format("xml").option("rowTag", "entry").schema(atom).load(path)
+    own = F.filter("link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+    url = F.coalesce(F.get(own, F.lit(0))["_href"], F.get("link", F.lit(0))["_href"], "id")
+    body = F.coalesce("content._VALUE", "summary._VALUE", "title._VALUE", F.lit(""))
+    entries = raw.select(url.alias("url"), F.col("title._VALUE").alias("title"), body.alias("content"), parsed_time(F.coalesce("published", "updated")).alias("published_at"))
+    items = items.unionByName(entries)
+    if fetch is not None:
+        pages = fetch(items.select("url").distinct()).select("url", strip_html(F.col("html")).alias("_full")).filter("_full <> ''")
+        items = items.join(pages, "url", "left").withColumn("content", F.coalesce("_full", "content")).drop("_full")
+    return since(items.select("url", "title", "content", F.lit("text/html").alias("media_type"), "published_at"), after)
 
 
 def read_json(spark: SparkSession, path: str, items_path: str, fields: dict[str, str], after: datetime | None = None) -> DataFrame:
     """Items of stored JSON answers, one document per file. ``fields`` maps url, title, published_at and content
-    to dotted paths; without content the whole item is the body."""
-    docs = spark.read.text(path, wholetext=True)
-    items = docs.select(F.explode(F.from_json(json_path(F.col("value"), items_path), "array<string>")).alias("j"))
+    to dotted paths; without content the whole item is the body. A path that holds no list is an error."""
+    docs = spark.read.text(path, wholetext=True).select(json_path(F.col("value"), items_path).alias("j"))
+    listed = F.when(F.coalesce(F.col("j"), F.lit("")).startswith("["), F.from_json("j", "array<string>"))
+    items = docs.select(F.explode(F.coalesce(listed, F.raise_error(F.lit(f"items_path {items_path} holds no list")).cast("array<string>"))).alias("j"))
     at = lambda k: json_path(F.col("j"), fields[k]) if k in fields else F.lit(None).cast("string")
     kind = F.when(at("content").isNull(), "application/json").otherwise("text/plain")
-    return since(items.select(at("url").alias("url"), at("title").alias("title"), F.coalesce(at("content"), "j").alias("content"), kind.alias("media_type"), _time(at("published_at")).alias("published_at")), after)
+    return since(items.select(at("url").alias("url"), at("title").alias("title"), F.coalesce(at("content"), "j").alias("content"), kind.alias("media_type"), parsed_time(at("published_at")).alias("published_at")), after)
 
 
 def read_folder(spark: SparkSession, path: str, after: datetime | None = None) -> DataFrame:
@@ -56,51 +76,48 @@ def read_folder(spark: SparkSession, path: str, after: datetime | None = None) -
     return shown.select(F.col("path").alias("url"), F.regexp_extract("path", r"([^/]+?)(?:\.[^./]+)?$", 1).alias("title"), "content", kind.alias("media_type"), F.col("modificationTime").alias("published_at"))
 
 
-def extract_text(items: DataFrame, pdf: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Add text and extraction_status by media type: extracted, empty, or unsupported. PDF needs an extractor."""
-    raw = F.decode(F.col("content").cast("binary"), "utf-8")
-    kind = F.col("media_type")
-    plain = kind.isin("text/plain", "text/markdown", "text/csv", "application/json")
-    text = F.when(kind == "text/html", strip_html(raw)).when(plain, raw)
-    if pdf is not None:
-        text = F.when(kind == "application/pdf", pdf(F.col("content"))).otherwise(text)
-    status = F.when(F.col("text").isNull(), "unsupported").when(F.btrim("text") == "", "empty").otherwise("extracted")
-    return items.withColumn("text", text).withColumn("extraction_status", status)
+def indent_json(text: str | None) -> str | None:
+    """A JSON document, parsed and written with an indent of one; null if it is none."""
+    try:
+        return json.dumps(json.loads(text), indent=1, ensure_ascii=False) if text is not None else None
+    except ValueError:
+        return None
+
 
+def indented_json(documents: Column) -> Column:
+    @F.pandas_udf("string")
+    def indented(batch: pd.Series) -> pd.Series:
+        return pd.Series([indent_json(t) for t in batch], dtype=object)
 
-def walk_sitemaps(entries: DataFrame, roots: list[str], max_depth: int = 3, include: str | None = None, exclude: str | None = None, after: datetime | None = None, max_pages: int | None = None) -> DataFrame:
-    """Pages reached from root sitemaps over stored entries (sitemap, loc, kind: sitemap or page, lastmod).
+    return indented(documents)
 
-    One join per level, at most ``max_depth``; sitemaps seen before are left out, so cycles end. Page urls
-    pass the include and exclude patterns, case aside, and lastmod the time; undated ones stay.
+
+def extract_text(items: DataFrame, pdf: Callable[[Column], Column] | None = None, readable: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Add text (trimmed) and extraction_status by media type: ok, empty, unsupported or failed.
+
+    HTML goes through ``readable`` if there is one and is stripped of its tags where that finds nothing; JSON is
+    parsed and indented, bad JSON has failed. A PDF needs an extractor: null has failed, less than 20
+    characters are empty. Null content is empty.
     """
-    spark = entries.sparkSession
-    e = entries.withColumns({"sitemap": url_key(F.col("sitemap")), "key": url_key(F.col("loc"))})
-    level = spark.createDataFrame([(r,) for r in roots], "url string").select(url_key(F.col("url")).alias("url")).distinct()
-    seen, pages = level, None
-    for _ in range(max_depth):
-        found = e.join(level, F.col("sitemap") == F.col("url")).select("key", "loc", "kind", "lastmod")
-        own = found.filter("kind = 'page'")
-        pages = own if pages is None else pages.unionByName(own)
-        level = found.filter("kind = 'sitemap'").select(F.col("key").alias("url")).distinct().join(seen, "url", "left_anti")
-        seen = seen.unionByName(level)
-    pages = pages.groupBy("key").agg(F.min("loc").alias("url"), F.max("lastmod").alias("lastmod"))
-    if include:
-        pages = pages.filter(F.col("url").rlike(f"(?i){include}"))
-    if exclude:
-        pages = pages.filter(~F.col("url").rlike(f"(?i){exclude}"))
-    if after is not None:
-        pages = pages.filter(F.col("lastmod").isNull() | (F.col("lastmod") > F.lit(after)))
-    pages = pages.select("url", "lastmod").orderBy(F.desc("lastmod"), "url")
-    return pages if max_pages is None else pages.limit(max_pages)
+    raw = F.decode(F.col("content").cast("binary"), "utf-8")
+    kind, blank = F.col("media_type"), F.lit(" \t\n\r\f\x0b")
+    page = strip_html(raw)
+    if readable is not None:
+        page = F.coalesce(F.nullif(F.btrim(readable(raw), blank), F.lit("")), page)
+    plain = kind.isin("text/plain", "text/markdown", "text/csv")
+    text = F.when(kind == "text/html", page).when(plain, F.btrim(raw, blank)).when(kind == "application/json", indented_json(raw))
+    if pdf is not None:
+        text = F.when(kind == "application/pdf", F.btrim(pdf(F.col("content")), blank)).otherwise(text)
+    known = plain | kind.isin("text/html", "application/json") | F.lit(pdf is not None) & (kind == "application/pdf")
+    short = (F.col("text") == "") | (kind == "application/pdf") & (F.length("text") < 20)
+    status = F.when(~F.coalesce(known, F.lit(False)), "unsupported").when(F.col("content").isNull(), "empty").when(F.col("text").isNull(), "failed").when(short, "empty").otherwise("ok")
+    done = items.withColumn("text", text)
+    return done.withColumn("extraction_status", status).withColumn("text", F.when(F.col("extraction_status") == "ok", F.col("text")).otherwise(""))
 
 
-def allowed(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """Pages (url) that no robots rule (host, prefix) disallows."""
-    path = F.regexp_replace(F.regexp_replace("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", ""), r"^$", "/")
-    p = pages.withColumns({"_host": netloc(F.col("url")), "_path": path})
-    r = rules.filter("prefix <> ''").select(F.col("host").alias("_host"), "prefix")
-    return p.join(r, (p["_host"] == r["_host"]) & p["_path"].startswith(r["prefix"]), "left_anti").drop("_host", "_path")
+def published(items: DataFrame) -> DataFrame:
+    """Fill published_at with fetched_at where it is null, and add published_ts in whole seconds."""
+    return items.withColumn("published_at", F.coalesce("published_at", "fetched_at")).withColumn("published_ts", F.unix_timestamp("published_at"))
 
 
 def crawled(pages: DataFrame, min_chars: int = 400, dictionary: Dictionary | None = None, keywords: list[str] | None = None, min_matches: int = 1) -> DataFrame:

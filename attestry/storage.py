@@ -32,3 +32,42 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark, path = df.sparkSession, work_path(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _path(spark: SparkSession, path: str):
+    """(file system, path) of the session's Hadoop configuration."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, p = _path(spark, path)
+    return store.exists(p)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file, read by the driver."""
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, written by the driver under a temporary name and moved."""
+    store, final = _path(spark, path)
+    temporary = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    out = store.create(temporary, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if store.exists(final):
+        store.delete(final, False)
+    if not store.rename(temporary, final):
+        raise OSError(f"{path} could not be written")
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the intermediate tables below the shared folder. No result that still reads them may be used afterwards."""
+    store, folder = _path(spark, shared_folder(spark))
+    if store.exists(folder):
+        for f in store.listStatus(folder):
+            if f.getPath().getName().startswith("attestry-"):
+                store.delete(f.getPath(), True)

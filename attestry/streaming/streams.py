@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import signatures
 from ..operators.snapshots import first_writers
-from ..storage import work_path
+from ..storage import exists, work_path
 
 
 def health_windows(polls: DataFrame, width: str = "1 day", late: str = "2 hours") -> DataFrame:
@@ -28,22 +32,64 @@ def run_to_table(stream: DataFrame, mode: str = "complete") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
+def _batches(spark: SparkSession, store: str, before: int, schema) -> DataFrame:
+    """What the batches below a number left in a store: one folder each, named by the number."""
+    rows = spark.read.schema(schema).option("basePath", store).option("recursiveFileLookup", "false").parquet(store)
+    return rows.filter((F.col("batch") < before) | (F.col("batch") == -1)).drop("batch")
+
+
+def _numbered(schema):
+    from pyspark.sql.types import IntegerType, StructType
+
+    return StructType([*schema.fields]).add("batch", IntegerType())
+
+
 def put_stream(items: DataFrame, store: str, checkpoint: str) -> None:
     """Append each batch's first writers to the store (a Parquet folder) unless it holds their hash.
 
-    A batch writes below its own number, overwriting what a failed try left, and reads the store
-    without that folder: running a batch again changes nothing.
+    A batch writes below its own number, overwriting what a failed try left, and reads the folders below
+    that number only, by partition pruning: running a batch again changes nothing.
     """
     spark: SparkSession = items.sparkSession
     schema = items.schema
 
     def put(batch: DataFrame, number: int) -> None:
-        known = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{store}/base", *[f"{store}/batch={i}" for i in range(number)])
+        known = _batches(spark, store, number, _numbered(schema))
         first_writers(batch, known).select(*schema.names).write.mode("overwrite").parquet(f"{store}/batch={number}")
 
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{store}/base")
+    _start(spark, schema, store)
     items.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
 
 
+def _start(spark: SparkSession, schema, store: str) -> None:
+    if not exists(spark, f"{store}/batch=-1"):
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{store}/batch=-1")
+
+
+def cluster_stream(docs: DataFrame, store: str, checkpoint: str, now: Callable[[], datetime] = datetime.now) -> None:
+    """Give each batch's documents (content_hash, text, created_at) their clusters against the signature store,
+    a Parquet folder of (content_hash, signature, created_at, cluster_id) that is the stream's state.
+
+    A batch reads the folders of earlier batches only and overwrites its own, so running it again changes nothing.
+    """
+    from pyspark.sql.types import ArrayType, LongType, StringType, StructType, TimestampType
+
+    spark: SparkSession = docs.sparkSession
+    schema = StructType().add("content_hash", StringType()).add("signature", ArrayType(LongType())).add("created_at", TimestampType()).add("cluster_id", StringType())
+
+    def put(batch: DataFrame, number: int) -> None:
+        known = _batches(spark, store, number, _numbered(schema))
+        found = signatures.assign(signatures.signatures(first_of(batch)), known, now())
+        found.select(*schema.names).write.mode("overwrite").parquet(f"{store}/batch={number}")
+
+    _start(spark, schema, store)
+    docs.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+
+
+def first_of(docs: DataFrame) -> DataFrame:
+    """Each content once, with its earliest time."""
+    return docs.groupBy("content_hash").agg(F.min("created_at").alias("created_at"), F.min("text").alias("text"))
+
+
 def read_store(spark: SparkSession, store: str, schema) -> DataFrame:
-    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(store)
+    return spark.read.schema(_numbered(schema)).parquet(store).drop("batch")

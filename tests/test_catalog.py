@@ -14,7 +14,7 @@ def test_query_equals_sql(spark, name):
 
 
 def test_queries_without_sql_are_few():
-    assert set(catalog.QUERIES) - set(catalog_sql.ORACLE_SQL) == {"chunks", "brief_body"}
+    assert set(catalog.QUERIES) - set(catalog_sql.ORACLE_SQL) == {"chunks"}
 
 
 def test_chunks_cover_their_text(spark):
@@ -37,4 +37,4 @@ def test_chunks_cover_their_text(spark):
 def test_brief_names_every_claim_with_its_verdict(spark):
     body = catalog.brief_body(spark, SF).first().body
     assert "(confirmed by 2 independent sources). [S0][S1]" in body
-    assert "CONFLICTING REPORTS — asserted by local_demo; denied by opec_press" in body
+    assert "CONFLICTING REPORTS — asserted by city_desk; denied by rail_board" in body

@@ -1,10 +1,11 @@
-from datetime import datetime
+import random
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from attestry.functions import text as tx
-from attestry.operators import corroborate, governance, index, near_duplicates, observe, registry, retrieve, snapshots, verify
+from attestry.operators import alike, corroborate, governance, index, near_duplicates, observe, registry, retrieve, signatures, snapshots, vector_index, verify
 from attestry.operators.entities import Dictionary
 from attestry.operators.graph import components
 
@@ -16,7 +17,7 @@ REG = [
 
 @pytest.fixture
 def sources(spark):
-    return spark.createDataFrame(REG, registry.SCHEMA)
+    return spark.createDataFrame([(*r, []) for r in REG], registry.SCHEMA)
 
 
 def evaluated(spark, column, **values):
@@ -184,3 +185,121 @@ def test_unsupported_sentences_never_ship(spark):
     out = verify.drop_unsupported(again, checks).first()
     assert out.shipped == "# Head\nTankers stopped on Monday. [S1]\n---" and out.n_dropped == 3
     assert verify.precision(checks).first().precision == 0.25
+
+
+def plain_groups(sets, threshold):
+    """Components of all pairs."""
+    root = {k: k for k in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]) - 1e-9:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {k: find(k) for k in sets}
+
+
+@pytest.mark.parametrize("hot, part, often", [(20_000, 500_000, 8), (3, 200, 2)])
+def test_alike_groups(spark, monkeypatch, hot, part, often):
+    """Families around a few bases, hot members, halves that are not alike, tiny and empty sets; keys and groups split or not."""
+    monkeypatch.setattr(alike, "HOT", hot)
+    monkeypatch.setattr(alike, "OFTEN", often)
+    r = random.Random(4)
+    common = [r.getrandbits(62) for _ in range(20)]
+    bases = [{r.getrandbits(62) for _ in range(r.choice((5, 20, 60)))} for _ in range(8)]
+    sets = {}
+    for i in range(160):
+        base = r.choice(bases)
+        s = set(r.sample(sorted(base), len(base) - r.randrange(0, 1 + len(base) // 6))) | {r.getrandbits(62) for _ in range(r.randrange(3))}
+        sets[i] = s | set(common) if i % 4 == 0 else s
+    sets |= {900: set(), 901: {1, 2, 3, 4}, 902: {1, 2, 3, 4, 5}, 903: {7}, 904: set(common) | {8}, 905: set(common) | {9}}
+    df = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()] + [(901, [1, 2, 3, 4])], "node long, s array<long>").repartition(3)
+    got = {x.node: x.root for x in alike.alike_groups(df, 0.8, part=part).collect()}
+    want = plain_groups(sets, 0.8)
+    assert {k: got.get(k, k) for k in sets} == want and len(set(want.values())) < len(want) - 50
+
+
+def test_clusters_name_the_smallest(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen"
+    rows = [(5, text), (3, text + " eighteen"), (9, text), (4, ""), (8, None), (7, "something else that is quite unlike the others here")]
+    got = {r.id: r.root for r in near_duplicates.clusters(spark.createDataFrame(rows, "id long, text string")).collect()}
+    assert got == {5: 3, 3: 3, 9: 3, 4: 4, 8: 8, 7: 7}
+
+
+def test_signature_store(spark):
+    at = datetime(2024, 3, 1)
+    words = [f"word{i}" for i in range(60)]
+    text = lambda k: " ".join([*words[:-k], *[f"new{i}" for i in range(k)]])
+    made = lambda rows: signatures.signatures(spark.createDataFrame(rows, "content_hash string, text string, created_at timestamp"))
+    first = made([("a" * 64, text(1), at), ("b" * 64, "", at), ("f" * 64, text(1), at - timedelta(days=20))])
+    empty = spark.createDataFrame([], "content_hash string, signature array<long>, created_at timestamp, cluster_id string")
+    held = signatures.assign(first, empty, at)
+    old = {r.content_hash[0]: r.cluster_id for r in held.collect()}
+    assert old["b"] == "b" * 16 and old["a"] == old["f"] == "f" * 16
+    new = made([("c" * 64, text(2), at), ("d" * 64, "quite another text " * 9, at), ("a" * 64, text(1), at)])
+    got = {r.content_hash[0]: r.cluster_id for r in signatures.assign(new, held, at).collect()}
+    assert got == {"c": "f" * 16, "d": "d" * 16}
+    # what is older than the window takes no part
+    late = signatures.assign(new, held.filter("content_hash LIKE 'f%'"), at)
+    assert {r.content_hash[0]: r.cluster_id for r in late.collect()} == {"a": "a" * 16, "c": "a" * 16, "d": "d" * 16}
+
+
+def test_blobs_are_written_once(spark, tmp_path):
+    rows = [("ab1", b"x"), ("ab1", b"x"), ("cd2", b"y")]
+    items = spark.createDataFrame(rows, "content_hash string, content binary")
+    folder = f"file://{tmp_path}/blobs"
+    assert (snapshots.write_blobs(items, folder), snapshots.write_blobs(items, folder)) == (2, 0)
+    got = spark.read.parquet(folder).select("blob_uri", "content").collect()
+    assert sorted((r.blob_uri, bytes(r.content)) for r in got) == [("ab/ab1", b"x"), ("cd/cd2", b"y")]
+
+
+def test_vector_index(spark, tmp_path):
+    one = vector_index.VectorIndex(spark, f"file://{tmp_path}/index")
+    points = lambda *rows: spark.createDataFrame(rows, "id string, vector array<double>, title string")
+    with pytest.raises(vector_index.IndexMismatch):
+        one.upsert(points(("a", [1.0, 2.0], "x")))
+    one.ensure(2, "e1")
+    assert one.read() is None
+    one.upsert(points(("a", [1.0, 2.0], "x"), ("b", [0.0, 1.0], "y")))
+    one.upsert(points(("a", [3.0, 4.0], "z"), ("a", [3.0, 4.0], "z")))
+    assert sorted((r.id, r.vector, r.title) for r in one.read().collect()) == [("a", [3.0, 4.0], "z"), ("b", [0.0, 1.0], "y")]
+    for wrong in ((3, "e1"), (2, "e2")):
+        with pytest.raises(vector_index.IndexMismatch):
+            one.ensure(*wrong)
+    with pytest.raises(Exception, match="another dimension"):
+        one.upsert(points(("c", [1.0], "x")))
+    assert one.read().count() == 2
+    chunks = spark.createDataFrame([("h:0", "t")], "chunk_id string, title string")
+    import uuid
+
+    got = vector_index.points(chunks, spark.createDataFrame([("h:0", [1.0])], "chunk_id string, vector array<double>")).first()
+    assert got.id == str(uuid.uuid5(uuid.NAMESPACE_URL, "chunk:h:0"))
+
+
+def test_decisions(spark):
+    c = spark.createDataFrame([("x.org", "u")], "netloc string, url string")
+    log = governance.decision(c, "x.org", "rejected", datetime(2024, 1, 1), "spam")
+    assert [tuple(r) for r in governance.decided(c, log).select("netloc", "status", "reason").collect()] == [("x.org", "rejected", "spam")]
+    with pytest.raises(KeyError):
+        governance.decision(c, "y.org", "approved", datetime(2024, 1, 1))
+    with pytest.raises(ValueError):
+        governance.decision(c, "x.org", "rejected", datetime(2024, 1, 1))
+
+
+def test_golden_needles(spark):
+    """Needles inside tokens, across tokens, of one token, and with other expectations in the case."""
+    claims = spark.createDataFrame([("k", "The old bridge is closed", "event", "confirmed"), ("k", "The old bridge is closed", "event", "confirmed"), ("k", "Rates rose to 5", "quantitative", "attributed")], "case string, text string, claim_type string, verdict string")
+    needles = {"old BRIDGE is": True, "bridg": True, "d bridge i": True, "bridge": True, " is ": True, "the old bridge is closed": True, "rates": False, "old  bridge": False, "": False}
+    wants = spark.createDataFrame([("k", n, None, "confirmed") for n in needles], "case string, needle string, claim_type string, verdict string")
+    assert {r.needle: r.passed for r in observe.golden_outcomes(wants, claims).collect()} == needles
+
+
+def test_fixed_values():
+    """Constants that both sides of an oracle share, held against what they must be."""
+    assert len(tx.STOPWORDS) == 42 and tx.TOKEN == r"[a-z0-9][a-z0-9\-\._/]*" and tx.NEGATIONS == ("denied", "deny", "denies", "no", "not", "never")
+    assert near_duplicates.PRIME == 2**32 + 15 and near_duplicates.coefficients()[0] == (1406932607, 654583775)
