@@ -1,66 +1,74 @@
-"""Toxicity by compression distance: two zstandard dictionaries per view, compared window by window.
-
-A window is one word between spaces. The ordinary dictionary of a view holds words of ordinary text,
-the toxic one the same words but for its end, where words typical of toxic text stand instead. A
-window's distance is its compressed length under the ordinary dictionary less that under the toxic one.
-Three views are used: plain windows with a small and a large shared part, and windows whose bytes are
-each written as three, so that a match pays within a short word. Of a document count how many of its
-windows pass each of a view's thresholds; a logistic regression calibrates these counts to a score. Its
-training counts come from dictionaries made without the counted document's third of the sample.
+"""Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text, compared window by window.
+
+A text is cut into windows of some dozen bytes at spaces. Of each view's two dictionaries both hold the same
+passages of ordinary text; after them come segments of the dictionary's own kind of text. A window's distance is its compressed length under the ordinary dictionary less that under the toxic
+one. Segments are chosen as zstandard's cover trainer does it, greedily by the grams they add, but a gram counts by
+how much more often toxic documents hold it than ordinary ones. Of a document count how many of its windows pass
+each threshold of the distance; a logistic regression calibrates these counts to a score. Its training counts come
+from dictionaries made without the counted document's third of the sample.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-from collections.abc import Iterator
+import heapq
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import written
 from .common import small_batches
 
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-EDGE = b".,;:!?|*%$&#()\"'"
-#: Labelled rows that the classifier is fitted on, at most, and bytes read of them, at most.
-SAMPLE_ROWS, SAMPLE_BYTES = 16_000, 64_000_000
-#: (bytes of shared words, bytes of own words, times a byte is written, thresholds of the distance)
-VIEWS = ((30_000, 3_000, 3, (2, 4, 5, 6, 7, 8, 10, 12)), (8_000, 4_000, 1, (1, 3, 4, 5, 6)), (30_000, 4_000, 1, (1, 3, 4, 5, 6)))
-#: Parts of the sample for calibration.
-FOLDS = 3
-#: Distances that a worker remembers before it starts anew.
-MEMO = 400_000
 
+class View(NamedTuple):
+    """Bytes of a window, the least match that counts, bytes of ordinary passages that both dictionaries hold, bytes
+    in which they differ, bytes of a segment and of the grams that choose it."""
 
-def words_of(text: str | None) -> list[bytes]:
-    """The windows of a text: its words in lower case without punctuation at their ends."""
-    return [w.strip(EDGE) for w in WORD.findall((text or "").lower().encode())]
+    window: int
+    match: int
+    shared: int
+    own: int
+    segment: int
+    gram: int
 
 
-def _packed(words: list[bytes], size: int) -> tuple[bytes, int]:
-    """The last words of a list in order, up to size bytes, and how many they are."""
-    out, n = [], 0
-    for w in reversed(words):
-        if (size := size - len(w) - 1) < 0:
-            break
-        out.append(b" " + w)
-        n += 1
-    return b"".join(reversed(out)) + b" ", n
+#: Labelled rows that the classifier is fitted on, at most, and bytes read of them, at most.
+SAMPLE_ROWS, SAMPLE_BYTES = 16_000, 64_000_000
+#: Longer matches tell words apart, shorter ones parts of compounds.
+VIEWS = (View(56, 6, 100_000, 4_000, 20, 8), View(32, 4, 60_000, 2_500, 12, 6))
+#: Bytes by which a window must be shorter under the toxic dictionary to be counted.
+THRESHOLDS = (1, 2, 3, 4, 5, 6, 8, 10, 14)
+#: Bytes of an ordinary passage.
+PASSAGE = 128
+#: Places for counts of grams, as a power of two; documents that a gram must be in; how much likelier it must be in one kind.
+PLACES, LEAST, ODDS = 23, 3, 4.0
+#: Grams that choose segments, at most: the most telling ones.
+TELLING = 20_000
+#: Parts of the sample for calibration.
+FOLDS = 3
 
 
-def _codes(times: int) -> list[bytes]:
-    r = np.random.default_rng(7)
-    return [r.integers(0, 256, times, dtype=np.uint8).tobytes() if times > 1 else bytes([i]) for i in range(256)]
+def windows(text: str | None, size: int) -> list[bytes]:
+    """Successive windows of a text in lower case, of ``size`` bytes or fewer, cut before a space if they hold one; at least one."""
+    b, out, i = (text or "").lower().encode(), [], 0
+    while i < len(b):
+        j = i + size
+        if j < len(b) and (k := b.rfind(b" ", i + 1, j)) > 0:
+            j = k
+        out.append(b[i:j])
+        i = j
+    return out or [b""]
 
 
 @dataclass
 class Model:
-    """What is sent to the tasks: the dictionaries (under 0.3 MB) and the fitted weights."""
+    """What is sent to the tasks: views with their ordinary and toxic dictionaries (under 0.4 MB) and the fitted weights."""
 
-    dictionaries: list[tuple[bytes, bytes, int, tuple]]
+    dictionaries: list[tuple[View, bytes, bytes]]
     mean: np.ndarray = field(default_factory=lambda: np.zeros(1))
     scale: np.ndarray = field(default_factory=lambda: np.ones(1))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(1))
@@ -70,62 +78,97 @@ class Model:
 
 
 class Scorer:
-    """A task's compressors and the distances it remembers."""
+    """A task's compressors."""
 
     def __init__(self, model: Model):
         import zstandard as zs
 
-        self.model, self.views, self.memo = model, [], {}
-        for ordinary, toxic, times, thresholds in model.dictionaries:
-            plain = {"write_content_size": False, "write_dict_id": False, "write_checksum": False}
-            how = {"strategy": zs.STRATEGY_BTULTRA2, "min_match": 6} if times > 1 else {}
-            made = [zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(d, dict_type=zs.DICT_TYPE_RAWCONTENT), compression_params=zs.ZstdCompressionParameters.from_level(3, **how, **plain)).compress for d in (ordinary, toxic)]
-            self.views.append((*made, _codes(times) if times > 1 else None, thresholds))
-
-    def distances(self, word: bytes) -> tuple[int, ...]:
-        if (found := self.memo.get(word)) is None:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            window, out = b" " + word + b" ", []
-            for ordinary, toxic, codes, _ in self.views:
-                x = b"".join([codes[c] for c in window]) if codes else window
-                out.append(len(ordinary(x)) - len(toxic(x)))
-            found = tuple(out)
-            if len(word) <= 64:
-                self.memo[word] = found
-        return found
+        def compressor(dictionary: bytes, match: int):
+            how = zs.ZstdCompressionParameters(window_log=18, chain_log=18, hash_log=18, search_log=8, min_match=match, target_length=64, strategy=zs.STRATEGY_BTLAZY2, write_content_size=False, write_dict_id=False, write_checksum=False)
+            return zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(dictionary, dict_type=zs.DICT_TYPE_RAWCONTENT), compression_params=how).compress
+
+        self.model = model
+        self.views = [(v.window, compressor(ordinary, v.match), compressor(toxic, v.match)) for v, ordinary, toxic in model.dictionaries]
 
     def features(self, text: str | None) -> np.ndarray:
-        counts = Counter(map(self.distances, words_of(text)))
-        d = np.array(list(counts) or [(0,) * len(self.views)], dtype=np.float64)
-        n = np.array(list(counts.values()) or [1], dtype=np.float64)
-        out = [np.log1p(n.sum())]
-        for i, (_, _, _, thresholds) in enumerate(self.views):
-            v = d[:, i]
-            over = np.array([n[v >= k].sum() for k in thresholds])
-            order = np.argsort(-v, kind="stable")
-            upto = np.minimum(np.cumsum(n[order]), 3)
-            top = np.diff(np.concatenate([[0], upto]))
-            out += [*np.log1p(over), *(over / n.sum()), v.max(), (v * n).sum() / n.sum(), (v[order] * top).sum() / max(top.sum(), 1)]
-        return np.array(out)
+        out = [np.zeros(0)]
+        for size, ordinary, toxic in self.views:
+            d = np.array([len(ordinary(w)) - len(toxic(w)) for w in windows(text, size)], dtype=np.float64)
+            over = np.array([(d >= k).sum() for k in THRESHOLDS])
+            out += [np.log1p(len(d)), *np.log1p(over), *(over / len(d)), d.max(), d.mean(), np.sort(d)[-3:].mean()]
+        return np.hstack(out)
 
     def score(self, text: str | None) -> float:
         m = self.model
         return float(1 / (1 + np.exp(-np.clip(m.weights[0] + ((self.features(text) - m.mean) / m.scale) @ m.weights[1:], -30, 30))))
 
 
-def _typical(texts: list[tuple[str, int]]) -> tuple[list[bytes], list[bytes]]:
-    """(toxic words, ordinary words), each most telling last, by the documents that hold them."""
-    seen = Counter(), Counter()
-    size = [0, 0]
-    for text, y in texts:
-        size[y] += 1
-        seen[y].update({w for w in words_of(text) if 0 < len(w) <= 64})
-    n0, n1 = size
-    odds = {w: np.log((seen[1][w] + 0.5) / (n1 + 1)) - np.log((seen[0][w] + 0.5) / (n0 + 1)) for w in seen[0].keys() | seen[1].keys()}
-    least = min(5, max(2, n1 // 20))
-    toxic = sorted((w for w in seen[1] if odds[w] > np.log(4) and seen[1][w] >= least and len(w) > 2), key=lambda w: (seen[1][w] * odds[w], w))
-    return toxic, sorted((w for w in seen[0] if odds[w] <= np.log(1.5)), key=lambda w: (seen[0][w], w))
+def _grams(b: bytes, n: int) -> np.ndarray:
+    """The place of the gram of n bytes (8 at most) at each position."""
+    x = np.frombuffer(b, np.uint8).astype(np.uint64)
+    if len(x) < n:
+        return np.zeros(0, np.int64)
+    h = np.zeros(len(x) - n + 1, np.uint64)
+    for i in range(n):
+        h = h << np.uint64(8) | x[i : len(x) - n + 1 + i]
+    return (h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PLACES)).astype(np.int64)
+
+
+def _ordinary(texts: list[bytes], size: int, seed: int) -> bytes:
+    """Passages from random places of random texts, ``size`` bytes in all (fewer only without any text)."""
+    r, out, n = np.random.default_rng(seed), [], 0
+    whole = [t for t in texts if t]
+    while whole and n < size:
+        t = whole[int(r.integers(len(whole)))]
+        at = int(r.integers(max(len(t) - PASSAGE, 0) + 1))
+        out.append(t[at : at + PASSAGE])
+        n += len(out[-1])
+    return b"".join(out)[:size]
+
+
+def _held(texts: list[tuple[bytes, int]], gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(how many ordinary and toxic texts hold each gram, how many there are)."""
+    held, total = np.zeros((2, 1 << PLACES), np.uint16), np.zeros(2)
+    for t, y in texts:
+        held[y, np.unique(_grams(t, gram))] += 1
+        total[y] += 1
+    return held, total
+
+
+def _segments(texts: list[bytes], view: View, held: np.ndarray, total: np.ndarray) -> bytes:
+    """Segments of texts of one kind that cover the grams which these hold more often than others do, the most telling
+    last. held: how many texts of this and of the other kind hold each gram; total: how many there are."""
+    at = np.nonzero(held[0] >= LEAST)[0]
+    odds = np.log((held[0, at] + 0.5) / (total[0] + 1)) - np.log((held[1, at] + 0.5) / (total[1] + 1))
+    telling = np.where(odds > np.log(ODDS), held[0, at] * odds, 0)
+    if len(telling) > TELLING:
+        telling[telling < np.partition(telling, -TELLING)[-TELLING]] = 0
+    worth = np.zeros(1 << PLACES, np.float32)
+    worth[at] = telling
+    best: dict[int, tuple[float, bytes]] = {}
+    for t in texts:
+        g = _grams(t, view.gram)
+        w = worth[g]
+        for i in (np.unique(np.nonzero(w)[0] // view.segment) * view.segment).tolist():
+            top = i + int(w[i : i + view.segment].argmax())
+            a = max(0, top - 4)
+            found = float(w[a : a + view.segment - view.gram + 1].sum()), t[a : a + view.segment]
+            best[int(g[top])] = max(best.get(int(g[top]), found), found)
+    value = lambda s: float(worth[_grams(s, view.gram)].sum())
+    heap, out, size = [(-value(s), s) for s in {s for _, s in best.values()}], [], 0
+    heapq.heapify(heap)
+    while heap and size < view.own:
+        s = heapq.heappop(heap)[1]
+        now = value(s)  # less than it was once another segment covers its grams
+        if now <= 0:
+            continue
+        if heap and now < -heap[0][0]:
+            heapq.heappush(heap, (-now, s))
+            continue
+        out.append(s)
+        size += len(s)
+        worth[_grams(s, view.gram)] = 0
+    return b"".join(reversed(out))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,53 +183,77 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndar
     return mean, scale, b
 
 
-def _dictionaries(texts: list[tuple[str, int]]) -> list[tuple[bytes, bytes, int, tuple]]:
-    """(ordinary dictionary, toxic dictionary, times, thresholds) of each view."""
-    toxic, ordinary = _typical(texts)
-    made = []
-    for shared, own, times, thresholds in VIEWS:
-        common, n = _packed(ordinary, shared)
-        codes = _codes(times)
-        end, _ = _packed(toxic, own)
-        other, _ = _packed(ordinary[: len(ordinary) - n], len(end))
-        made.append((*(b"".join([codes[c] for c in common + x]) for x in (other, end)), times, thresholds))
-    return made
-
-
-def fit(texts: list[tuple[str, int]]) -> Model:
-    """Make the dictionaries and calibrate them. texts: (text, label) pairs in a settled order.
-
+def _models(parts: list[list[tuple[bytes, int]]]) -> list[Model]:
+    """Dictionaries of all texts, and of all but each part (texts in lower case). Grams are counted once."""
+    chosen = [[t for j, part in enumerate(parts) if j != k for t in part] for k in (-1, *range(len(parts)))]
+    models = [Model([]) for _ in chosen]
+    for i, view in enumerate(VIEWS):
+        counts = [_held(part, view.gram) for part in parts]
+        held, total = sum(c[0] for c in counts), sum(c[1] for c in counts)
+        for k, (texts, model) in enumerate(zip(chosen, models, strict=True)):
+            less = counts[k - 1] if k else (0, 0)
+            here, n = held - less[0], total - less[1]
+            ordinary = [t for t, y in texts if not y]
+            ends = [_segments([t for t, y in texts if y], view, here[::-1], n[::-1]), _segments(ordinary, view, here, n)]
+            shared, longer = _ordinary(ordinary, view.shared, 2 * i), max(map(len, ends))
+            toxic, own = (shared + _ordinary(ordinary, longer - len(e), 2 * i + 1) + e for e in ends)
+            model.dictionaries.append((view, own, toxic))
+    return models
+
+
+def fit(texts: list[tuple[str, int, int]], features: Callable[[list[Model]], list] | None = None) -> Model:
+    """Make the dictionaries and calibrate them. texts: (text, label, part below FOLDS) in a settled order.
+
+    features gives the texts' features, each by the model (of those made without a part) that has not seen it.
     With labels of one kind only, or none, every text scores the smoothed share of toxic ones (a third without labels).
     """
-    model, y = Model(_dictionaries(texts)), np.array([label for _, label in texts], dtype=np.float64)
-    x = np.zeros((len(texts), len(model.scorer().features(""))))
-    if 0 < y.sum() < len(y):
-        for k in range(FOLDS):
-            scorer = Model(_dictionaries([t for i, t in enumerate(texts) if i % FOLDS != k])).scorer()
-            x[k::FOLDS] = [scorer.features(t) for t, _ in texts[k::FOLDS]] or x[k::FOLDS]
-    if 0 < y.sum() < len(y):
-        model.mean, model.scale, model.weights = _logistic(x, y)
-    else:
+    y = np.array([label for _, label, _ in texts], dtype=np.float64)
+    if not 0 < y.sum() < len(y):
         share = (y.sum() + 0.5) / (len(y) + 1.5)
-        model.mean, model.scale = np.zeros(x.shape[1]), np.ones(x.shape[1])
-        model.weights = np.r_[np.log(share / (1 - share)), np.zeros(x.shape[1])]
+        return Model([], np.zeros(0), np.ones(0), np.array([np.log(share / (1 - share))]))
+    model, *others = _models([[(t.lower().encode(), y) for t, y, part in texts if part == k] for k in range(FOLDS)])
+    if features is None:
+        scorers = [m.scorer() for m in others]
+        x = [scorers[part].features(t) for t, _, part in texts]
+    else:
+        x = features(others)
+    model.mean, model.scale, model.weights = _logistic(np.array(x), y)
     return model
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> Model:
     """Fit on at most ``rows`` labelled documents and ``size`` bytes of text, least hash of doc_id first.
 
-    labels: doc_id, toxic. Rows with a null id or label are left out; of repeated ids one row counts.
+    labels: doc_id, toxic. Rows with a null id or label are left out; of repeated ids one row counts, the least text
+    with the greater label. Equal hashes go by doc_id. Whole texts are read, null ones as empty; a text that goes
+    beyond ``size`` ends the sample. Dictionaries are made on the driver, the calibration's features in tasks.
     """
     labels = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("d"), (F.col("toxic") > 0).cast("int").alias("y"))
     chosen = labels.groupBy("d").agg(F.max("y").alias("y")).orderBy(F.md5(F.col("d").cast("string")), "d").limit(rows)
-    out: list[tuple[str, int]] = []
     picked = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("d"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "d")
-    for r in picked.groupBy("d").agg(F.min("text").alias("text"), F.max("y").alias("y")).orderBy(F.md5(F.col("d").cast("string")), "d").toLocalIterator():
+    picked = picked.groupBy("d").agg(F.min("text").alias("text"), F.max("y").alias("y")).withColumns({"h": F.md5(F.col("d").cast("string")), "part": F.pmod(F.xxhash64("d"), F.lit(FOLDS)).cast("int")})
+    sample = written(picked, "labelled")
+    out: list[tuple[str, int, int]] = []
+    for r in sample.orderBy("h", "d").toLocalIterator():
         if (size := size - len(r.text.encode())) < 0:
             break
-        out.append((r.text, r.y))
-    return fit(out)
+        out.append((r.text, r.y, r.part))
+
+    def features(models: list[Model]) -> list[list[float]]:
+        small_batches(docs.sparkSession, 100)
+        sent = docs.sparkSession.sparkContext.broadcast(models)
+
+        @F.pandas_udf("array<double>")
+        def of(texts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            scorers = [m.scorer() for m in sent.value]
+            for text, part in texts:
+                yield pd.Series([scorers[p].features(t) for t, p in zip(text, part, strict=True)])
+
+        n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        found = written(sample.repartition(n, "d").select("h", "d", of("text", "part").alias("x")), "features")
+        return [r.x for r in found.orderBy("h", "d").limit(len(out)).toLocalIterator()]
+
+    return fit(out, features)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
