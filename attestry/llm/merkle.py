@@ -33,8 +33,10 @@ def fingerprint(text: Column) -> Column:
     root is the SHA-256 of the sections' digests; a section's digest is the MD5 of its paragraphs'
     digests, a paragraph's that of its leaves'. Leaves follow by eight hexadecimal digits each, with
     "." between paragraphs and "/" between sections. Every character, line feeds too, is in one leaf, so
-    equal roots mean equal texts. Leaves are cut by content: an insertion changes the leaves around it.
-    Null is as empty: no leaves. A very long text gives a string of about a third of its length.
+    equal roots mean equal texts. Leaves are cut by content: an insertion changes the leaves around it. In
+    a paragraph without any of the characters that end leaves, they are cut every 64 characters and an
+    insertion changes all that follow. Null is as empty: no leaves. A very long text is read whole and
+    gives a string of about a third of its length. Equal texts, repeated rows too, have equal fingerprints.
     """
 
     def paragraph(p: Column) -> Column:
