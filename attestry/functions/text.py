@@ -40,6 +40,11 @@ def strings(values) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
 
+def utf8(data: Column) -> Column:
+    """Bytes as text; what is no UTF-8 becomes replacement characters."""
+    return F.make_valid_utf8(data.cast("binary").cast("string"))
+
+
 def tokenize(text: Column) -> Column:
     """Content tokens in order: lower case, edges stripped of ``-._/``, two characters at least, no stopwords. Null: none."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))

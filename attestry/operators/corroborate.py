@@ -40,7 +40,7 @@ def event_groups(claims: DataFrame, threshold: float = 0.5) -> DataFrame:
     roots = components(event_pairs(firsts.select(F.col("first").alias("id"), "claim"), threshold)).withColumnRenamed("node", "first")
     named = firsts.join(roots, "first", "left").select("claim", "n", "first", F.coalesce("root", "first").alias("root"))
     # claims without tokens match nothing, not even an equal claim
-    return claims.join(named, "claim").select("id", F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("id")).alias("root"))
+    return claims.select("id", "claim").join(named, "claim").select("id", F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("id")).alias("root"))
 
 
 def voices(evidence: DataFrame) -> DataFrame:
@@ -89,7 +89,8 @@ def corroborate_events(claims: DataFrame, policy: Policy = Policy(), groups: Dat
     An event that is both asserted and denied is contradicted, with its first assertion as text; else the
     policy decides, with its first claim as text.
     """
-    rooted = claims.join(event_groups(claims) if groups is None else groups, "id")
+    own = claims.select("id", "claim", "modality", "sid", "source_id", "cluster_id", "independence_group", "tier")
+    rooted = own.join(event_groups(own) if groups is None else groups, "id")
     by = lambda m: F.array_join(F.array_sort(F.collect_set(F.when(F.col("modality") == m, F.col("source_id")))), ", ")
     said = lambda m: F.bool_or(F.col("modality") == m)
     first = F.min_by("claim", F.when(F.col("modality") == "asserted", F.col("id")))

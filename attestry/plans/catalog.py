@@ -153,7 +153,7 @@ def sparse_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _dense(spark: SparkSession, d: str, k: int) -> DataFrame:
-    return retrieve.dense_topk(index.embedded(_queries(spark, d)).withColumnRenamed("id", "query_id"), index.embedded(_docs(spark, d)), k)
+    return retrieve.dense_topk(index.embedded(_queries(spark, d)).withColumnRenamed("id", "query_id"), written(index.embedded(_docs(spark, d)), "vectors"), k)
 
 
 def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import json_path, page_published, page_title, strip_html
+from ..functions.text import json_path, page_published, page_title, strip_html, utf8
 from ..operators.entities import Dictionary, relevant
 
 #: Media types by file suffix; fixed values.
@@ -99,7 +99,7 @@ def extract_text(items: DataFrame, pdf: Callable[[Column], Column] | None = None
     parsed and indented, bad JSON has failed. A PDF needs an extractor: null has failed, less than 20
     characters are empty. Null content is empty.
     """
-    raw = F.decode(F.col("content").cast("binary"), "utf-8")
+    raw = utf8(F.col("content"))
     kind, blank = F.col("media_type"), F.lit(" \t\n\r\f\x0b")
     page = strip_html(raw)
     if readable is not None:

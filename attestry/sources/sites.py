@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import netloc, origin, strings, url_key
+from ..functions.text import netloc, origin, strings, url_key, utf8
 from ..operators.entities import Dictionary
 from ..storage import written
 from .readers import crawled, parsed_time
@@ -34,7 +34,7 @@ def robots_lines(answers: DataFrame) -> DataFrame:
 
     Comments and blank lines go. A null body or a status of 400 or more is a site without a robots file.
     """
-    text = F.regexp_replace(F.decode("body", "utf-8"), "^﻿", "")
+    text = F.regexp_replace(utf8(F.col("body")), "^﻿", "")
     good = answers.filter(F.col("body").isNotNull() & (F.coalesce("status", F.lit(200)) < 400) & F.col("url").endswith("/robots.txt"))
     lines = good.select(netloc(F.col("url")).alias("host"), F.posexplode(F.split(text, r"\R")).alias("n", "line"))
     bare = lines.withColumn("line", F.btrim(F.regexp_replace("line", "#.*$", "")))
@@ -128,7 +128,7 @@ def sitemap_roots(sites: DataFrame, explicit: list[str], answers: DataFrame) ->
     said = declared_sitemaps(answers).join(hosts, "host").select(F.lit(1).alias("a"), "b", F.col("n").alias("c"), "url")
     both = given.unionByName(said)
     tried = sites.select(F.lit(2).alias("a"), F.col("n").cast("long").alias("b"), F.posexplode(F.transform(strings(WELL_KNOWN), lambda p: F.concat(origin(F.col("url")), p))).alias("c", "url"))
-    head = F.lower(F.substring(F.decode("body", "utf-8"), 1, 1000))
+    head = F.lower(F.substring(utf8(F.col("body")), 1, 1000))
     there = answers.filter((F.coalesce("status", F.lit(200)) < 400) & (head.contains("<sitemapindex") | head.contains("<urlset"))).select("url").distinct()
     found = both if not both.isEmpty() else tried.join(there, "url").select("a", "b", "c", "url")
     once = found.groupBy("url").agg(F.min(F.struct("a", "b", "c")).alias("at"))
@@ -217,7 +217,7 @@ def read_site(endpoints: list[str], fetch: Fetch, spark, options: SiteOptions |
     answers = fetch(pages.select("url")).filter(F.coalesce("status", F.lit(200)) < 400)
     if "media_type" in answers.columns:
         answers = answers.filter(F.col("media_type").isin(*PAGE_TYPES))
-    html = answers.select("url", F.decode("body", "utf-8").alias("html"))
+    html = answers.select("url", utf8(F.col("body")).alias("html"))
     items = crawled(html, o.min_text_chars, o.dictionary, o.keywords, o.min_matches)
     dated = items.join(pages.select("url", "lastmod", F.col("title").alias("_title")), "url", "left")
     return dated.select("url", F.coalesce("title", "_title").alias("title"), "content", "media_type", F.coalesce("published_at", "lastmod").alias("published_at"))
