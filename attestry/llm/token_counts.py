@@ -19,9 +19,11 @@ from .common import small_batches
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Its special token, which the library takes whole wherever it stands in a text; fixed value.
 SPECIAL = "<|endoftext|>"
-#: The known set holds at most so many pre-tokens of at most so many characters, so under 20 MB.
-KNOWN, KNOWN_CHARS = 100_000, 32
-
+#: The known set holds at most so many pre-tokens of at most so many characters, so under 20 MB; for it at most so many
+#: characters of a task's input are looked at.
+KNOWN, KNOWN_CHARS, HEAD_CHARS = 100_000, 32, 4_000_000
+#: A text that tells pre-token patterns apart.
+PROBE = "I'll see 12,345 things, don't   stop:\n\n  été x9\t!! WE'RE ok_1 "
 
 #: Characters outside these ranges may have another class in the regex module's Unicode tables than in
 #: the library's; texts that hold one are split by the library's own pre-tokeniser, which is slower.
@@ -60,6 +62,17 @@ def _tokenizer(path: str):
     return tokenizer
 
 
+def check_tokenizer(path: str, pattern: str, special: str) -> None:
+    """An error for a tokenizer file that doesn't work as ``pattern`` and ``special`` say."""
+    import regex
+
+    tokenizer = _tokenizer(path)
+    added = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+    split = [PROBE[a:b] for _, (a, b) in tokenizer.pre_tokenizer.pre_tokenize_str(PROBE)] if tokenizer.pre_tokenizer else [PROBE]
+    if tokenizer.normalizer is not None or added - {special} or split != regex.findall(pattern, PROBE):
+        raise ValueError(f"{path} normalises texts, has other added tokens than {special!r}, or does not split texts by the pattern")
+
+
 def _pieces(path: str, pre_tokens: list[str]) -> list[int]:
     tokenizer = _tokenizer(path)
     return [len(e) for i in range(0, len(pre_tokens), 1000) for e in tokenizer.encode_batch(pre_tokens[i : i + 1000], add_special_tokens=False)]
@@ -68,26 +81,42 @@ def _pieces(path: str, pre_tokens: list[str]) -> list[int]:
 def count_tokens(docs: DataFrame, path: str, pattern: str = PRE_TOKEN, special: str = SPECIAL, head_rows: int = 2000) -> DataFrame:
     """Tokens of each row of docs (doc_id, text) under the tokenizer file at ``path``.
 
-    The most frequent pre-tokens of ``head_rows`` rows (KNOWN at most) are counted first and sent to
-    all tasks; that bounded set only saves shuffling and does not change a result. Each document's
+    The most frequent pre-tokens of about ``head_rows`` rows, the first ones of every partition (KNOWN
+    pre-tokens at most), are counted first and sent to all tasks; that bounded set only saves shuffling and
+    does not change a result. Each document's
     frequencies of known pre-tokens are summed where it is read; the others go, as (row, pre-token,
     frequency), through a join with the counts of the distinct pre-tokens, each tokenised once.
     Frequent pre-tokens never meet in one task, and no token ids are made.
 
-    Null text is empty: 0 tokens. Repeated rows are counted each. Empty input: no rows.
+    Null text is empty: 0 tokens. Very long texts are read whole. Repeated rows are counted each. Empty
+    input: no rows. A tokenizer file that needs another pattern is an error.
     Returns doc_id, n_bytes, n_tokens.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    head: Counter = Counter()
-    find = finder(path, pattern)
-    for r in docs.select(F.coalesce("text", F.lit("")).alias("text")).limit(head_rows).toLocalIterator():
-        for k, n in pre_token_counts(r.text, find, special).items():
-            if len(k) <= KNOWN_CHARS:
-                head[k] += n
-        if len(head) > 10 * KNOWN:
-            head = Counter(dict(head.most_common(KNOWN)))
-    known = [k for k, _ in head.most_common(KNOWN)]
+    check_tokenizer(path, pattern, special)
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
+    each = -(-head_rows // max(1, texts.rdd.getNumPartitions()))
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, counts, rows, size = finder(path, pattern), Counter(), 0, 0
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                rows, size = rows + 1, size + len(text)
+                if rows > each or size > HEAD_CHARS:
+                    break
+                counts.update({k: n for k, n in pre_token_counts(text, find, special).items() if len(k) <= KNOWN_CHARS})
+            if rows >= each or size > HEAD_CHARS:
+                break
+        out = counts.most_common(KNOWN)
+        yield pa.RecordBatch.from_pydict({"k": [k for k, _ in out], "n": [n for _, n in out]}, schema=pa.schema([("k", pa.string()), ("n", pa.int64())]))
+
+    known: list[str] = []
+    if head_rows:
+        small_batches(spark, min(1000, each))
+        top = texts.mapInArrow(frequent, "k string, n long").groupBy("k").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "k").limit(KNOWN)
+        known = [r.k for r in top.toLocalIterator()]
+        small_batches(spark)
     sent = spark.sparkContext.broadcast(dict(zip(known, _pieces(path, known), strict=True)))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

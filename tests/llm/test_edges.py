@@ -67,6 +67,8 @@ def test_token_counts(edges, nothing):
     assert {r.n_tokens for r in out if not r.n_bytes} == {0}
     assert next(r.n_tokens for r in out if r.n_bytes == len(LONG)) == token_counts._pieces(path, [LONG])[0]
     assert token_counts.count_tokens(nothing, path).count() == 0
+    with pytest.raises(ValueError):
+        token_counts.count_tokens(edges, path, pattern=r"\w+|\W+")
 
 
 def test_warc(spark):
@@ -93,6 +95,17 @@ def test_suffixes(edges, nothing):
     assert suffixes.remove_repeats(nothing).count() == 0
 
 
+def test_boilerplate_of_large_hosts(spark, monkeypatch):
+    """Lines that are joined by host and part are the same as those that are broadcast."""
+    rows = [(i, f"http://{'ab'[i % 5 == 0]}.com/{i}" if i % 11 else None, f"<p>Menu</p><p>Text {i}</p><p>About {i % 3}</p>") for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    read = lambda: sorted((r.page_id, r.host, r.lines, r.kept) for r in boilerplate.strip_boilerplate(pages).select("row.page_id", "host", "lines", "kept").collect())
+    want = read()
+    monkeypatch.setattr(boilerplate, "BROADCAST_LINES", 0)
+    monkeypatch.setattr(boilerplate, "PART", 7)
+    assert read() == want and len(want) == 60 and any(len(r[3]) < 3 for r in want)
+
+
 def test_boilerplate(spark):
     spec = "page_id long, url string, html string, host string, lines string, kept string, row string, count int"
     page = lambda i, u, h: (i, u, h, "h", "l", "k", "r", 7)
