@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.text import NEGATIONS, strings, tokenize
 from ..storage import written
@@ -100,47 +103,50 @@ def corroborate_events(claims: DataFrame, policy: Policy = Policy(), groups: Dat
     return out.withColumn("conflict", F.when(F.col("_both"), F.col("_conflict"))).withColumn("claim_type", F.lit("event")).drop("_any", "_asserted", "_both", "_conflict")
 
 
-def value_groups(values: Column, relative: float | None, absolute: float | None) -> Column:
-    """Anchors of ascending distinct values: a value joins the first anchor that it agrees with, else is one.
+def value_groups(values: DataFrame, key: list[str], relative: float | None, absolute: float | None) -> DataFrame:
+    """Add anchor to values (key columns, v, others; v distinct within a key): ascending values join the first anchor
+    that they agree with, else are one.
 
-    Values agree within ``absolute``, or within ``relative`` of the larger; exactly if neither is set.
+    Values agree within ``absolute``, or within ``relative`` of the larger; exactly if neither is set. While
+    ``relative`` is below 1 only the last anchor can agree: one before it is too far from the last, which lies
+    between. So a task goes through its sorted rows once and remembers one anchor; no key is gathered.
     """
 
-    def agrees(a: Column, b: Column) -> Column:
-        near = F.lit(False)
-        if absolute is not None:
-            near = near | (F.abs(a - b) <= absolute)
-        if relative is not None:
-            near = near | (F.abs(a - b) <= relative * F.greatest(F.abs(a), F.abs(b)))
-        return near if relative is not None or absolute is not None else a == b
+    def agrees(a: float, v: float) -> bool:
+        return (absolute is not None and abs(a - v) <= absolute) or (relative is not None and abs(a - v) <= relative * max(abs(a), abs(v))) or a == v
 
-    return F.aggregate(values, F.array().cast("array<double>"), lambda done, v: F.when(F.exists(done, lambda a: agrees(a, v)), done).otherwise(F.concat(done, F.array(v))))
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, anchors = None, []
+        for batch in batches:
+            out = []
+            for k, v in zip(zip(*(batch.column(c).to_pylist() for c in key), strict=True), batch.column("v").to_pylist(), strict=True):
+                if k != at:
+                    at, anchors = k, []
+                found = next((a for a in (anchors if (relative or 0) >= 1 else anchors[-1:]) if agrees(a, v)), None)
+                if found is None:
+                    anchors.append(found := v)
+                    anchors = anchors if (relative or 0) >= 1 else anchors[-1:]
+                out.append(found)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, "anchor"])
+
+    n = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return values.repartition(n, *key).sortWithinPartitions(*key, "v").mapInArrow(grouped, StructType([*values.schema.fields, StructField("anchor", DoubleType())]))
 
 
 def corroborate_quantities(claims: DataFrame, policy: Policy = Policy(), relative: float | None = 0.005, absolute: float | None = None) -> DataFrame:
     """One row per (entity_id, metric, as_of) of quantitative claims, nulls as "?" and "".
 
     More than one value group is a contradiction, told by its anchors in ascending order; a null value
-    counts as 0. A key's claims are first summed up by value, so only distinct values meet in one row.
+    counts as 0. A key's claims are first summed up by value; see value_groups for how these are grouped.
     """
     key = ["k_entity", "k_metric", "k_as_of"]
-    c = claims.withColumns({"k_entity": F.coalesce("entity_id", F.lit("?")), "k_metric": F.coalesce("metric", F.lit("?")), "k_as_of": F.substring(F.coalesce("as_of", F.lit("")), 1, 10), "v": F.coalesce("value", F.lit(0.0))})
+    c = claims.withColumns({"k_entity": F.coalesce("entity_id", F.lit("?")), "k_metric": F.coalesce("metric", F.lit("?")), "k_as_of": F.substring(F.coalesce("as_of", F.lit("")), 1, 10), "v": F.coalesce("value", F.lit(0.0)).cast("double")})
     firsts = c.groupBy(*key).agg(F.min_by("claim", "id").alias("_first"), *_merged())
     values = c.groupBy(*key, "v").agg(F.min_by(F.struct("claim", "unit", "value"), "id").alias("own"), F.collect_set("source_id").alias("by"))
-    listed = values.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("v", "own", "by"))).alias("values"))
-    listed = listed.withColumn("anchors", value_groups(F.transform("values", lambda x: x["v"]), relative, absolute))
-
-    def told(i: Column) -> Column:
-        # an anchor's group: the values whose first agreeing anchor it is
-        mine = F.filter("values", lambda x: F.element_at(value_groups(F.concat(F.slice("anchors", F.lit(1), i), F.array(x["v"])), relative, absolute), -1) == F.element_at("anchors", i))
-        own = F.filter(mine, lambda x: F.size(F.filter(F.slice("anchors", F.lit(1), i - 1), lambda a: F.size(value_groups(F.array(a, x["v"]), relative, absolute)) == 1)) == 0)
-        head = F.filter("values", lambda x: x["v"] == F.element_at("anchors", i))[0]["own"]
-        sources = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.transform(own, lambda x: x["by"])))), ", ")
-        return F.btrim(F.concat(head["value"].cast("string"), F.lit(" "), F.coalesce(head["unit"], F.lit("")), F.lit(" ("), sources, F.lit(")")))
-
-    many = F.size("anchors") > 1
-    described = F.concat(F.lit("conflicting values: "), F.array_join(F.transform(F.sequence(F.lit(1), F.size("anchors")), told), " vs "))
-    listed = listed.select(*key, many.alias("_many"), F.when(many, described).alias("conflict"), F.col("values")[0]["own"]["claim"].alias("_least"))
+    groups = value_groups(values, key, relative, absolute).groupBy(*key, "anchor").agg(F.min_by("own", "v").alias("head"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("by")))).alias("by"))
+    said = F.btrim(F.concat(F.col("head.value").cast("string"), F.lit(" "), F.coalesce("head.unit", F.lit("")), F.lit(" ("), F.array_join("by", ", "), F.lit(")")))
+    many, told = F.count("*") > 1, F.transform(F.array_sort(F.collect_list(F.struct("anchor", said.alias("said")))), lambda x: x["said"])
+    listed = groups.groupBy(*key).agg(many.alias("_many"), F.when(many, F.concat(F.lit("conflicting values: "), F.array_join(told, " vs "))).alias("conflict"), F.min_by("head.claim", "anchor").alias("_least"))
     out = firsts.join(listed, key).withColumn("claim_group", F.struct(*key)).join(voices(c.withColumn("claim_group", F.struct(*key))), "claim_group")
     out = ruled(out, policy, F.col("_many")).withColumn("text", F.when(F.col("_many"), F.col("_least")).otherwise(F.col("_first")))
     return out.withColumn("claim_type", F.lit("quantitative")).withColumnsRenamed({"k_entity": "entity_id", "k_metric": "metric", "k_as_of": "as_of"}).drop("_first", "_many", "_least")

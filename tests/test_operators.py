@@ -107,10 +107,26 @@ def test_voices_do_not_grow_with_copies_or_group_mates(spark):
 
 
 def test_value_groups_are_anchored(spark):
-    values = F.array(*map(F.lit, (80.0, 80.3, 80.5)))
-    assert evaluated(spark, corroborate.value_groups(values, 0.005, None)) == [80.0, 80.5]
-    assert evaluated(spark, corroborate.value_groups(values, None, None)) == [80.0, 80.3, 80.5]
-    assert evaluated(spark, corroborate.value_groups(values, None, 1.0)) == [80.0]
+    """Ascending values join the first anchor that they agree with, as a plain fold over all anchors says."""
+    import random
+
+    r = random.Random(5)
+    values = {"a": [80.0, 80.3, 80.5], "b": [], **{f"k{i}": sorted({r.choice((0.0, -1.0, 1.0)) * r.randrange(400) / 4 for _ in range(40)}) for i in range(4)}}
+    rows = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "k string, v double")
+
+    def plain(vs, relative, absolute):
+        anchors = []
+        for v in vs:
+            if not any(a == v or (absolute is not None and abs(a - v) <= absolute) or (relative is not None and abs(a - v) <= relative * max(abs(a), abs(v))) for a in anchors):
+                anchors.append(v)
+        return anchors
+
+    for relative, absolute in ((0.005, None), (None, None), (None, 1.0), (0.2, 0.5), (1.5, None)):
+        got = {}
+        for x in corroborate.value_groups(rows, ["k"], relative, absolute).collect():
+            got.setdefault(x.k, set()).add(x.anchor)
+        assert {k: sorted(got.get(k, ())) for k in values} == {k: plain(vs, relative, absolute) for k, vs in values.items()}
+    assert plain(values["a"], 0.005, None) == [80.0, 80.5] and plain(values["a"], None, None) == [80.0, 80.3, 80.5] and plain(values["a"], None, 1.0) == [80.0]
 
 
 def test_fallbacks(spark):
