@@ -74,6 +74,15 @@ def op6_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, folder, manifest, payloads=False).drop("url")
 
 
+OP6_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) || '0' AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
+       list_aggregate(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(((('0x' || substr(h, (i * 5 // 4 + 1)::INT, 2))::INT >> (3 - i * 5 % 4)::INT) & 31) + 1)::INT]), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p
+"""
+
+
 def op7_suffix_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), kept=False)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -149,6 +158,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_source_mix": OP2_SQL,
+    "op6_warc_roundtrip": OP6_SQL,
     "op8_site_lines": OP8_SQL,
     "op10_merkle_tree": OP10_SQL,
 }
