@@ -39,7 +39,7 @@ class View(NamedTuple):
 #: Labelled rows that the classifier is fitted on, at most, and bytes read of them, at most.
 SAMPLE_ROWS, SAMPLE_BYTES = 16_000, 64_000_000
 #: Longer matches tell words apart, shorter ones parts of compounds.
-VIEWS = (View(56, 6, 100_000, 4_000, 20, 8), View(32, 4, 60_000, 2_500, 12, 6))
+VIEWS = (View(56, 6, 100_000, 4_000, 20, 8), View(40, 4, 60_000, 2_500, 12, 6))
 #: Bytes by which a window must be shorter under the toxic dictionary to be counted.
 THRESHOLDS = (1, 2, 3, 4, 5, 6, 8, 10, 14)
 #: Bytes of an ordinary passage.
@@ -84,23 +84,36 @@ class Scorer:
         import zstandard as zs
 
         def compressor(dictionary: bytes, match: int):
-            how = zs.ZstdCompressionParameters(window_log=18, chain_log=18, hash_log=18, search_log=8, min_match=match, target_length=64, strategy=zs.STRATEGY_BTLAZY2, write_content_size=False, write_dict_id=False, write_checksum=False)
+            how = zs.ZstdCompressionParameters(window_log=18, chain_log=17, hash_log=17, search_log=3, min_match=match, target_length=64, strategy=zs.STRATEGY_BTLAZY2, write_content_size=False, write_dict_id=False, write_checksum=False)
             return zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(dictionary, dict_type=zs.DICT_TYPE_RAWCONTENT), compression_params=how).compress
 
         self.model = model
         self.views = [(v.window, compressor(ordinary, v.match), compressor(toxic, v.match)) for v, ordinary, toxic in model.dictionaries]
 
-    def features(self, text: str | None) -> np.ndarray:
-        out = [np.zeros(0)]
+    def features(self, texts: list[str | None]) -> np.ndarray:
+        """A row for each text. One dictionary after the other, so that its tables stay in the processor's cache."""
+        out = [np.zeros((len(texts), 0))]
         for size, ordinary, toxic in self.views:
-            d = np.array([len(ordinary(w)) - len(toxic(w)) for w in windows(text, size)], dtype=np.float64)
-            over = np.array([(d >= k).sum() for k in THRESHOLDS])
-            out += [np.log1p(len(d)), *np.log1p(over), *(over / len(d)), d.max(), d.mean(), np.sort(d)[-3:].mean()]
+            parts = [windows(t, size) for t in texts]
+            n = np.array([len(p) for p in parts])
+            d = np.fromiter((len(ordinary(w)) for p in parts for w in p), np.float64, n.sum())
+            d -= np.fromiter((len(toxic(w)) for p in parts for w in p), np.float64, n.sum())
+            first = np.cumsum(n) - n
+            over = np.stack([np.add.reduceat(d >= k, first, dtype=np.float64) for k in THRESHOLDS], 1)
+            last = np.sort(np.repeat(np.arange(len(n)), n) * 1e6 + d) - np.repeat(np.arange(len(n)), n) * 1e6
+            at = np.repeat(first + n, n) - np.arange(len(d)) <= 3
+            top = np.add.reduceat(np.where(at, last, 0), first) / np.minimum(n, 3)
+            out += [np.log1p(n)[:, None], np.log1p(over), over / n[:, None], np.stack([np.maximum.reduceat(d, first), np.add.reduceat(d, first) / n, top], 1)]
         return np.hstack(out)
 
-    def score(self, text: str | None) -> float:
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        if not len(texts):
+            return np.zeros(0)
         m = self.model
-        return float(1 / (1 + np.exp(-np.clip(m.weights[0] + ((self.features(text) - m.mean) / m.scale) @ m.weights[1:], -30, 30))))
+        return 1 / (1 + np.exp(-np.clip(m.weights[0] + ((self.features(texts) - m.mean) / m.scale) @ m.weights[1:], -30, 30)))
+
+    def score(self, text: str | None) -> float:
+        return float(self.scores([text])[0])
 
 
 def _grams(b: bytes, n: int) -> np.ndarray:
@@ -214,7 +227,7 @@ def fit(texts: list[tuple[str, int, int]], features: Callable[[list[Model]], lis
     model, *others = _models([[(t.lower().encode(), y) for t, y, part in texts if part == k] for k in range(FOLDS)])
     if features is None:
         scorers = [m.scorer() for m in others]
-        x = [scorers[part].features(t) for t, _, part in texts]
+        x = [scorers[part].features([t])[0] for t, _, part in texts]
     else:
         x = features(others)
     model.mean, model.scale, model.weights = _logistic(np.array(x), y)
@@ -247,7 +260,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int
         def of(texts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
             scorers = [m.scorer() for m in sent.value]
             for text, part in texts:
-                yield pd.Series([scorers[p].features(t) for t, p in zip(text, part, strict=True)])
+                x = np.zeros((len(text), 0))
+                for p in sorted(set(part)):
+                    found = scorers[p].features(text[part == p].tolist())
+                    x = x if x.shape[1] else np.zeros((len(text), found.shape[1]))
+                    x[(part == p).to_numpy()] = found
+                yield pd.Series(list(x))
 
         n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         found = written(sample.repartition(n, "d").select("h", "d", of("text", "part").alias("x")), "features")
@@ -267,7 +285,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def toxicity(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = sent.value.scorer()
         for batch in texts:
-            yield pd.Series([scorer.score(t) for t in batch], dtype="float64")
+            yield pd.Series(scorer.scores(batch.tolist()), dtype="float64")
 
     return docs.withColumn("toxicity", toxicity(F.col("text")))
 

@@ -377,12 +377,15 @@ def test_windows_and_distances():
     import zstandard as zs
 
     def size(d, w):
-        how = zs.ZstdCompressionParameters(window_log=18, chain_log=18, hash_log=18, search_log=8, min_match=view.match, target_length=64, strategy=zs.STRATEGY_BTLAZY2, write_content_size=False, write_dict_id=False, write_checksum=False)
+        how = zs.ZstdCompressionParameters(window_log=18, chain_log=17, hash_log=17, search_log=3, min_match=view.match, target_length=64, strategy=zs.STRATEGY_BTLAZY2, write_content_size=False, write_dict_id=False, write_checksum=False)
         return len(zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(d, dict_type=zs.DICT_TYPE_RAWCONTENT), compression_params=how).compress(w))
 
     d = [size(ordinary, w) - size(toxic, w) for w in toxicity.windows(rude, view.window)]
     n = len(toxicity.THRESHOLDS)
-    assert scorer.features(rude)[1 + n : 1 + 2 * n].tolist() == [sum(x >= k for x in d) / len(d) for k in toxicity.THRESHOLDS]
+    x = scorer.features(["", rude, clean, "two words", rude])
+    assert (x[1] == x[4]).all() and (x[1] == scorer.features([rude])[0]).all()
+    assert x[1, 1 + n : 1 + 2 * n].tolist() == [sum(v >= k for v in d) / len(d) for k in toxicity.THRESHOLDS]
+    assert x[1, 1 + 2 * n : 4 + 2 * n].tolist() == pytest.approx([max(d), sum(d) / len(d), sum(sorted(d)[-3:]) / 3])
 
 
 def test_toxicity_on_held_out_rows(spark):
