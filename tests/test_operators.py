@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attestry.functions import text as tx
-from attestry.operators import alike, corroborate, governance, index, near_duplicates, observe, registry, retrieve, signatures, snapshots, vector_index, verify
+from attestry.operators import alike, corroborate, entities, governance, index, near_duplicates, observe, registry, retrieve, signatures, snapshots, vector_index, verify
 from attestry.operators.entities import Dictionary
 from attestry.operators.graph import components
 
@@ -106,6 +106,19 @@ def test_voices_do_not_grow_with_copies_or_group_mates(spark):
     assert count(rows + [(8, 1, "c1", "g2", 3)]) == (4, 2)
 
 
+def test_large_dictionaries_are_looked_up(spark, monkeypatch):
+    """Lookups find what the pattern finds."""
+    r = random.Random(9)
+    words = ["oil", "Oil price", "price", "war-risk", "war", "risk premium", "x", "É", "été 2", "(a)", "a b c"]
+    d = Dictionary([(w, f"id{i % 7}", "t") for i, w in enumerate(words)])
+    texts = [None, "", *(" ".join(r.choice([*words, "oil-price", "prices", "OIL", "warrisk", "and", "b_c", "(a)x"]) for _ in range(12)) for _ in range(80))]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    read = lambda: sorted(map(str, rows.select("i", d.tag(F.col("t")).alias("ids"), d.expand(F.col("t")).alias("more")).collect()))
+    want = read()
+    monkeypatch.setattr(entities, "MOST", 0)
+    assert read() == want
+
+
 def test_value_groups_are_anchored(spark):
     """Ascending values join the first anchor that they agree with, as a plain fold over all anchors says."""
     import random
