@@ -45,7 +45,7 @@ THRESHOLDS = (1, 2, 3, 4, 5, 6, 8, 10, 14)
 #: Bytes of an ordinary passage.
 PASSAGE = 128
 #: Places for counts of grams, as a power of two; documents that a gram must be in; how much likelier it must be in one kind.
-PLACES, LEAST, ODDS = 23, 3, 4.0
+PLACES, LEAST, ODDS = 22, 3, 4.0
 #: Grams that choose segments, at most: the most telling ones.
 TELLING = 20_000
 #: Parts of the sample for calibration.
@@ -151,13 +151,14 @@ def _held(texts: list[tuple[bytes, int]], gram: int) -> tuple[np.ndarray, np.nda
 def _segments(texts: list[bytes], view: View, held: np.ndarray, total: np.ndarray) -> bytes:
     """Segments of texts of one kind that cover the grams which these hold more often than others do, the most telling
     last. held: how many texts of this and of the other kind hold each gram; total: how many there are."""
-    at = np.nonzero(held[0] >= LEAST)[0]
-    odds = np.log((held[0, at] + 0.5) / (total[0] + 1)) - np.log((held[1, at] + 0.5) / (total[1] + 1))
-    telling = np.where(odds > np.log(ODDS), held[0, at] * odds, 0)
-    if len(telling) > TELLING:
-        telling[telling < np.partition(telling, -TELLING)[-TELLING]] = 0
     worth = np.zeros(1 << PLACES, np.float32)
-    worth[at] = telling
+    for i in range(0, len(worth), 1 << 18):  # some places at a time, for the driver's memory
+        at = i + np.nonzero(held[0, i : i + (1 << 18)] >= LEAST)[0]
+        odds = np.log((held[0, at] + 0.5) / (total[0] + 1)) - np.log((held[1, at] + 0.5) / (total[1] + 1))
+        worth[at] = np.where(odds > np.log(ODDS), held[0, at] * odds, 0)
+    telling = worth[worth > 0]
+    if len(telling) > TELLING:
+        worth[worth < np.partition(telling, -TELLING)[-TELLING]] = 0
     best: dict[int, tuple[float, bytes]] = {}
     for t in texts:
         g = _grams(t, view.gram)
@@ -204,18 +205,22 @@ def _models(parts: list[list[tuple[bytes, int]]]) -> list[Model]:
         counts = [_held(part, view.gram) for part in parts]
         held, total = sum(c[0] for c in counts), sum(c[1] for c in counts)
         for k, (texts, model) in enumerate(zip(chosen, models, strict=True)):
-            less = counts[k - 1] if k else (0, 0)
-            here, n = held - less[0], total - less[1]
+            n = total - counts[k - 1][1] if k else total
+            if k:
+                held -= counts[k - 1][0]
             ordinary = [t for t, y in texts if not y]
-            ends = [_segments([t for t, y in texts if y], view, here[::-1], n[::-1]), _segments(ordinary, view, here, n)]
+            ends = [_segments([t for t, y in texts if y], view, held[::-1], n[::-1]), _segments(ordinary, view, held, n)]
             shared, longer = _ordinary(ordinary, view.shared, 2 * i), max(map(len, ends))
             toxic, own = (shared + _ordinary(ordinary, longer - len(e), 2 * i + 1) + e for e in ends)
             model.dictionaries.append((view, own, toxic))
+            if k:
+                held += counts[k - 1][0]
     return models
 
 
-def fit(texts: list[tuple[str, int, int]], features: Callable[[list[Model]], list] | None = None) -> Model:
-    """Make the dictionaries and calibrate them. texts: (text, label, part below FOLDS) in a settled order.
+def fit(texts: list[tuple[str | bytes, int, int]], features: Callable[[list[Model]], list] | None = None) -> Model:
+    """Make the dictionaries and calibrate them. texts: (text, label, part below FOLDS) in a settled order; with features
+    they may be bytes in lower case.
 
     features gives the texts' features, each by the model (of those made without a part) that has not seen it.
     With labels of one kind only, or none, every text scores the smoothed share of toxic ones (a third without labels).
@@ -224,7 +229,7 @@ def fit(texts: list[tuple[str, int, int]], features: Callable[[list[Model]], lis
     if not 0 < y.sum() < len(y):
         share = (y.sum() + 0.5) / (len(y) + 1.5)
         return Model([], np.zeros(0), np.ones(0), np.array([np.log(share / (1 - share))]))
-    model, *others = _models([[(t.lower().encode(), y) for t, y, part in texts if part == k] for k in range(FOLDS)])
+    model, *others = _models([[(t if isinstance(t, bytes) else t.lower().encode(), y) for t, y, part in texts if part == k] for k in range(FOLDS)])
     if features is None:
         scorers = [m.scorer() for m in others]
         x = [scorers[part].features([t])[0] for t, _, part in texts]
@@ -246,11 +251,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int
     picked = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("d"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "d")
     picked = picked.groupBy("d").agg(F.min("text").alias("text"), F.max("y").alias("y")).withColumns({"h": F.md5(F.col("d").cast("string")), "part": F.pmod(F.xxhash64("d"), F.lit(FOLDS)).cast("int")})
     sample = written(picked, "labelled")
-    out: list[tuple[str, int, int]] = []
+    out: list[tuple[bytes, int, int]] = []
     for r in sample.orderBy("h", "d").toLocalIterator():
         if (size := size - len(r.text.encode())) < 0:
             break
-        out.append((r.text, r.y, r.part))
+        out.append((r.text.lower().encode(), r.y, r.part))
 
     def features(models: list[Model]) -> list[list[float]]:
         small_batches(docs.sparkSession, 100)
