@@ -24,6 +24,8 @@ UPPER, SIGNS = bytes(range(ord("A"), ord("Z") + 1)), b"#$%&*|"
 LAST = 2**63 - 1
 #: A task holds packed texts of about so many bytes before it hands them on.
 HELD = 16 << 20
+#: Bytes of text for each routed partition; what it holds in memory is one chain, so this bounds the sort only.
+ROUTED = 128 << 20
 
 STEPS = "part string, filter_order string, step int, kept long, removed long, redundant long, unique_fails long, good_lost long, toxic_lost long, shapley long"
 
@@ -115,8 +117,10 @@ def masks(docs: DataFrame) -> DataFrame:
     repeats of each other. Empty table: no rows.
     """
     spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(spark.sparkContext.defaultParallelism, -(-size // ROUTED))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source").rdd
-    routed = rows.mapPartitions(_route).repartitionAndSortWithinPartitions(rows.getNumPartitions(), lambda fingerprint: fingerprint)
+    routed = rows.mapPartitions(_route).repartitionAndSortWithinPartitions(parts, lambda fingerprint: fingerprint)
     return spark.createDataFrame(routed.mapPartitions(_settle), "doc_id long, part string, mask int, n long", verifySchema=False)
 
 
