@@ -7,9 +7,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-#: What stands between tokens.
-SEPARATOR = r"[\x09-\x0D\x20]"
+from ..storage import written
+from .substrings import occurrences
 
 
 def source_health(events: DataFrame, registry: DataFrame, now: datetime, window_hours: int = 24) -> DataFrame:
@@ -38,26 +37,27 @@ def source_health(events: DataFrame, registry: DataFrame, now: datetime, window_
 def golden_outcomes(expectations: DataFrame, claims: DataFrame) -> DataFrame:
     """Whether each expectation (case, needle, claim_type, verdict) passes over claims (case, text, claim_type, verdict).
 
-    It passes if some claim of its case (and type, if it names one) has the needle in its text, case aside,
-    and all of those have the verdict. Equal claims of a case count once. Case and a token inside the needle
-    are joined on, so a claim meets the expectations that it shares a whole token with; needles without an
-    inner token are joined by case alone.
+    It passes if some claim of its case (and type, if it names one) has the needle in its text, case aside, and all of
+    those have the verdict. Equal expectations count once. Needles are found by a q-gram index of the case's texts; an
+    empty needle is in all of them. Null cases, needles and texts meet nothing.
     """
-    c = claims.groupBy("case", F.lower("text").alias("_t"), "claim_type", "verdict").agg(F.lit(1).alias("_one"))
-    c = c.select(F.col("case").alias("_case"), "_t", F.col("claim_type").alias("_type"), F.col("verdict").alias("_verdict"))
-    wanted = expectations.distinct().withColumn("_needle", F.lower("needle"))
-    # the tokens between separators of the needle are whole tokens of any text that holds it; the longest is rarest
-    pieces = F.filter(F.split("_needle", SEPARATOR), lambda p: p != "")
-    whole = F.when(F.col("_needle").rlike("^" + SEPARATOR), F.lit(0)).otherwise(1), F.when(F.col("_needle").rlike(SEPARATOR + "$"), F.lit(0)).otherwise(1)
-    inner = F.when(F.size(pieces) - whole[0] - whole[1] > 0, F.slice(pieces, whole[0] + 1, F.size(pieces) - whole[0] - whole[1]))
-    wanted = wanted.withColumn("_token", F.element_at(F.array_sort(F.transform(inner, lambda p: F.struct((-F.length(p)).alias("n"), p.alias("p")))), 1)["p"])
-    tokens = c.withColumn("_k", F.explode(F.array_distinct(F.filter(F.split("_t", SEPARATOR), lambda p: p != ""))))
-    meets = F.contains("_t", "_needle") & (F.col("claim_type").isNull() | (F.col("claim_type") == F.col("_type")))
-    by_token = wanted.filter("_token IS NOT NULL").join(tokens, (F.col("case") == F.col("_case")) & (F.col("_token") == F.col("_k")) & meets, "left")
-    by_case = wanted.filter("_token IS NULL").join(c, (F.col("case") == F.col("_case")) & meets, "left")
-    met = by_token.select(*expectations.columns, "_verdict").unionByName(by_case.select(*expectations.columns, "_verdict"))
+    kinds = claims.groupBy("case", F.lower("text").alias("_t"), "claim_type", "verdict").agg(F.lit(1).alias("_one"))
+    kinds = written(kinds.withColumn("_text_key", F.md5("_t")), "claims")
+    texts = written(kinds.groupBy("case", "_text_key").agg(F.first("_t").alias("text")).withColumn("id", F.monotonically_increasing_id()), "texts")
+    wanted = written(expectations.distinct().withColumns({"_n": F.monotonically_increasing_id(), "_key": F.md5(F.lower("needle"))}), "expectations")
+    needles = wanted.groupBy("case", "_key").agg(F.first(F.lower("needle")).alias("text"))
+    needles = written(needles.withColumn("id", F.monotonically_increasing_id()), "needles")
+    pairs = occurrences(needles.withColumnRenamed("case", "key"), texts.withColumnRenamed("case", "key"))
+    # what each text's claims say, then what the claims of each needle say
+    told = kinds.join(texts.select("case", "_text_key", F.col("id").alias("text_id")), ["case", "_text_key"]).select("text_id", "case", "claim_type", "verdict")
+    by_text = pairs.join(told.drop("case"), "text_id").select("needle_id", "claim_type", "verdict").distinct()
+    empty = needles.filter("text = ''").select(F.col("id").alias("needle_id"), "case")
+    said = by_text.unionByName(empty.join(told.select("case", "claim_type", "verdict").distinct(), "case").select("needle_id", "claim_type", "verdict"))
+    said = said.select("needle_id", F.col("claim_type").alias("_type"), F.col("verdict").alias("_verdict"))
+    asked = wanted.join(needles.select("case", "_key", F.col("id").alias("needle_id")), ["case", "_key"], "left")
+    met = asked.join(said, (asked["needle_id"] == said["needle_id"]) & (F.col("claim_type").isNull() | (F.col("claim_type") == F.col("_type"))), "left")
     agree = F.coalesce(F.bool_and(F.col("_verdict") == F.col("verdict")), F.lit(False))
-    return met.groupBy(*expectations.columns).agg(agree.alias("passed"), F.array_sort(F.collect_set("_verdict")).alias("got"))
+    return met.groupBy("_n", *expectations.columns).agg(agree.alias("passed"), F.array_sort(F.collect_set("_verdict")).alias("got")).drop("_n")
 
 
 def golden_report(outcomes: DataFrame, precisions: DataFrame, pass_target: float = 1.0, precision_target: float = 0.95) -> DataFrame:

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import datetime
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import written
+from .alike import deal_hot, flat, span_runs
 from .graph import components
 from .near_duplicates import BANDS, PERMUTATIONS, THRESHOLD, low_digest, minhash, shingles
 
 #: Days that a signature takes part in clustering.
 WINDOW_DAYS = 14
+#: Signatures of one band, beyond which it is dealt over pairs of parts.
+HOT_BAND = 4096
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -22,10 +28,51 @@ def signatures(docs: DataFrame) -> DataFrame:
     return written(signed.unionByName(sets.filter(F.size("s") == 0).select("content_hash", F.lit(None).cast("array<bigint>").alias("signature"), "created_at")), "signatures")
 
 
-def agreement(a: Column, b: Column) -> Column:
-    """The share of equal places of two signatures: an estimate of their sets' likeness."""
-    same = F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    return same / F.size(a)
+def band_keys(signature: Column, bands: int = BANDS) -> Column:
+    """One key for each band of a signature: its number and its values."""
+    rows = PERMUTATIONS // bands
+    return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice(signature, i * rows + 1, F.lit(rows))))
+
+
+def agree(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Which signatures are equal in a share of ``threshold`` of their places, row by row."""
+    return (a == b).mean(axis=1) >= threshold - 1e-9
+
+
+def band_links(signed: DataFrame, days: int = WINDOW_DAYS, threshold: float = THRESHOLD, bands: int = BANDS) -> DataFrame:
+    """(a, b): links of signatures (content_hash, signature, created_at) that share a band, agree in ``threshold`` of their
+    places and are at most ``days`` apart. They span what all such pairs would join, within each band; pairs are not listed.
+
+    Members of a band are compared with one another but for those that are joined already. Crowded bands are dealt over
+    pairs of parts. Null signatures have no links.
+    """
+    keyed = signed.filter("signature IS NOT NULL").select(F.explode(band_keys(F.col("signature"), bands)).alias("k"), F.col("content_hash").alias("node"), F.unix_seconds("created_at").alias("at"), "signature")
+    columns = ["k", "cell", "node", "at", "signature"]
+
+    def of_runs(rows: pa.Table) -> pa.RecordBatch:
+        k, cell, at = (rows.column(c).to_numpy() for c in ("k", "cell", "at"))
+        run = np.concatenate([[0], np.cumsum((k[1:] != k[:-1]) | (cell[1:] != cell[:-1]))])
+        places = flat(rows.column("signature"))[0].reshape(len(k), -1)
+        near = lambda i, j: i[(np.abs(at[i] - at[j]) <= days * 86400) & agree(places[i], places[j], threshold)]
+        left, right = span_runs(run, near)
+        node = rows.column("node").combine_chunks()
+        return pa.RecordBatch.from_arrays([node.take(pa.array(left)), node.take(pa.array(right))], names=["a", "b"])
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            new = pa.Table.from_batches([batch])
+            rest = pa.concat_tables([rest, new]) if rest is not None else new
+            k, cell = (rest.column(c).to_numpy() for c in ("k", "cell"))
+            other = np.flatnonzero((k != k[-1]) | (cell != cell[-1])) if len(k) else []
+            if len(other):  # the last run may go on
+                yield of_runs(rest.slice(0, int(other[-1]) + 1))
+                rest = rest.slice(int(other[-1]) + 1)
+        if rest is not None and rest.num_rows:
+            yield of_runs(rest)
+
+    dealt = deal_hot(keyed, ["k"], HOT_BAND).select(*columns)
+    return dealt.repartition("k", "cell").sortWithinPartitions("k", "cell", "at", "node").mapInArrow(link, "a string, b string").distinct()
 
 
 def recent(store: DataFrame, now: datetime, days: int = WINDOW_DAYS) -> DataFrame:
@@ -33,25 +80,20 @@ def recent(store: DataFrame, now: datetime, days: int = WINDOW_DAYS) -> DataFram
     return store.filter(F.col("created_at") >= F.lit(now) - F.make_interval(days=F.lit(days)))
 
 
-def assign(new: DataFrame, store: DataFrame, now: datetime, days: int = WINDOW_DAYS, threshold: float = THRESHOLD, bands: int = BANDS) -> DataFrame:
+def assign(new: DataFrame, store: DataFrame, now: datetime | None = None, days: int = WINDOW_DAYS, threshold: float = THRESHOLD, bands: int = BANDS) -> DataFrame:
     """(content_hash, signature, created_at, cluster_id) of new signatures (content_hash, signature, created_at).
 
-    New and recent documents that share a band are linked through the band's first document (by created_at,
-    then hash) if their signatures agree in ``threshold`` of the places. A new document takes the cluster of the
-    earliest stored document in its component, else the first 16 digits of the hash of the component's first
-    new one. Contents that the store holds keep their cluster. Null signatures stand alone.
+    New and recent documents are linked as band_links() says; recent are those of the last ``days`` before ``now``, or
+    before the earliest new one. A new document takes the cluster of the earliest stored document in its component,
+    else the first 16 digits of the hash of the component's first new one. Contents that the store holds keep their
+    cluster. Null signatures stand alone.
     """
-    rows = PERMUTATIONS // bands
+    if now is None:
+        now = new.agg(F.min("created_at")).first()[0] or datetime.max
     old = recent(store, now, days).select("content_hash", "signature", "created_at", "cluster_id")
     fresh = new.join(store.select("content_hash"), "content_hash", "left_anti").dropDuplicates(["content_hash"])
     all_ = written(old.withColumn("stored", F.lit(True)).unionByName(fresh.select("content_hash", "signature", "created_at", F.lit(None).cast("string").alias("cluster_id"), F.lit(False).alias("stored"))), "both")
-    keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice(F.col("signature"), i * rows + 1, F.lit(rows))))
-    banded = all_.filter("signature IS NOT NULL").select(F.explode(keys).alias("k"), "content_hash", "created_at")
-    first = banded.groupBy("k").agg(F.min(F.struct("created_at", "content_hash")).alias("f")).select("k", F.col("f.content_hash").alias("a"))
-    pairs = banded.join(first, "k").filter("a <> content_hash").select("a", F.col("content_hash").alias("b")).distinct()
-    sign = all_.select("content_hash", "signature")
-    met = pairs.join(sign.withColumnsRenamed({"content_hash": "a", "signature": "x"}), "a").join(sign.withColumnsRenamed({"content_hash": "b", "signature": "y"}), "b")
-    roots = components(met.filter(agreement(F.col("x"), F.col("y")) >= threshold).select("a", "b"))
+    roots = components(band_links(all_, days, threshold, bands))
     named = all_.join(roots.withColumnRenamed("node", "content_hash"), "content_hash", "left").withColumn("root", F.coalesce("root", "content_hash"))
     own = F.substring("content_hash", 1, 16)
     best = named.groupBy("root").agg(F.min_by(F.coalesce("cluster_id", own), F.struct((~F.col("stored")).alias("n"), "created_at", "content_hash")).alias("group_id"))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from datetime import datetime
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,11 +63,12 @@ def _start(spark: SparkSession, schema, store: str) -> None:
         spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{store}/batch=-1")
 
 
-def cluster_stream(docs: DataFrame, store: str, checkpoint: str, now: Callable[[], datetime] = datetime.now) -> None:
+def cluster_stream(docs: DataFrame, store: str, checkpoint: str) -> None:
     """Give each batch's documents (content_hash, text, created_at) their clusters against the signature store,
     a Parquet folder of (content_hash, signature, created_at, cluster_id) that is the stream's state.
 
-    A batch reads the folders of earlier batches only and overwrites its own, so running it again changes nothing.
+    A batch reads the folders of earlier batches only, from 14 days before its own earliest document on, and overwrites
+    its own, so running it again changes nothing; no clock is read.
     """
     from pyspark.sql.types import ArrayType, LongType, StringType, StructType, TimestampType
 
@@ -79,7 +77,7 @@ def cluster_stream(docs: DataFrame, store: str, checkpoint: str, now: Callable[[
 
     def put(batch: DataFrame, number: int) -> None:
         known = _batches(spark, store, number, _numbered(schema))
-        found = signatures.assign(signatures.signatures(first_of(batch)), known, now())
+        found = signatures.assign(signatures.signatures(first_of(batch)), known)
         found.select(*schema.names).write.mode("overwrite").parquet(f"{store}/batch={number}")
 
     _start(spark, schema, store)
