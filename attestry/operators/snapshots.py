@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import exists, written
+from ..commits import Log
+from ..storage import delete, written
 
 
 def first_writers(items: DataFrame, store: DataFrame | None = None) -> DataFrame:
@@ -32,17 +34,37 @@ def blob_paths(items: DataFrame) -> DataFrame:
 
 def write_blobs(items: DataFrame, folder: str) -> int:
     """Write contents (content_hash, content, ...) by the first two digits of their hash, each once: what the folder
-    holds, and repeats within items, are left out. Returns how many were new. One writer at a time."""
-    spark = items.sparkSession
+    holds, and repeats within items, are left out. Returns how many were new.
+
+    Writers may run at once: each writes its files first and then takes the next number in the folder's log. One that
+    finds the number taken leaves out what the others brought meanwhile, and tries again. Files without an entry (of
+    writers that lost or died) are no part of the folder; read_blobs() never sees them.
+    """
+    spark, log = items.sparkSession, Log(items.sparkSession, folder)
     sharded = blob_paths(items).withColumn("shard", F.substring("content_hash", 1, 2))
     others = [c for c in sharded.columns if c not in ("content_hash", "shard")]
     one = sharded.groupBy("shard", "content_hash").agg(F.min_by(F.struct(*others), F.xxhash64(*others)).alias("_f")).select("content_hash", "_f.*", "shard")
-    if exists(spark, folder):
-        held = spark.read.parquet(folder).select("shard", "content_hash")
-        one = one.join(held.withColumn("shard", F.col("shard").cast("string")), ["shard", "content_hash"], "left_anti")
     one = written(one, "blobs")
-    one.write.mode("append").partitionBy("shard").parquet(folder)
-    return one.count()
+    while True:
+        entries = log.entries()
+        held = _blobs(spark, folder, entries)
+        new = one if held is None else one.join(held.select("shard", "content_hash"), ["shard", "content_hash"], "left_anti")
+        part = f"part=p{uuid.uuid4().hex}"
+        new.write.partitionBy("shard").parquet(f"{folder}/{part}")
+        n = new.count() if held is None else spark.read.schema(one.schema).parquet(f"{folder}/{part}").count()
+        if not n or log.commit((entries[-1]["version"] if entries else 0) + 1, {"part": part, "rows": n}):
+            return n
+        delete(spark, f"{folder}/{part}")
+
+
+def _blobs(spark: SparkSession, folder: str, entries: list[dict]) -> DataFrame | None:
+    parts = [f"{folder}/{e['part']}" for e in entries]
+    return spark.read.option("basePath", folder).parquet(*parts).drop("part").withColumn("shard", F.col("shard").cast("string")) if parts else None
+
+
+def read_blobs(spark: SparkSession, folder: str) -> DataFrame | None:
+    """What writers have committed: content_hash, blob_uri, content, ...; None before the first one."""
+    return _blobs(spark, folder, Log(spark, folder).entries())
 
 
 def watermarks(events: DataFrame) -> DataFrame:

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from ..operators import registry as scopes
 from ..operators import snapshots
+from ..sources import conditional
 from ..sources.config import Profile
-from ..sources.readers import adapter
+from ..sources.readers import adapter, since
 from ..storage import exists, written
 
 EVENT = "source_id string, domain string, started_at timestamp, finished_at timestamp, status string, items_seen long, snapshots_new long, snapshots_dup long, error string, registry_commit string"
@@ -53,6 +54,11 @@ class Store:
     def events(self) -> DataFrame:
         return self._table("events", EVENT)
 
+    @property
+    def states(self) -> DataFrame:
+        """What endpoints said of their validators."""
+        return self._table("states", conditional.STATE)
+
     def put(self, items: DataFrame) -> int:
         """Store the contents that the store does not hold, one row each; returns how many."""
         new = written(snapshots.first_writers(items, self.snapshots).select(*[c.split()[0] for c in SNAPSHOT.split(", ")]), "new")
@@ -65,11 +71,42 @@ class Store:
         self.spark.createDataFrame([event], EVENT).write.mode("append").parquet(f"{self.folder}/events")
 
 
+class ConditionalReader:
+    """A reader of feeds that asks only for what has changed: ``request`` brings the answers (url, status, body, etag,
+    last_modified) to requests (source_id, url, etag, last_modified).
+
+    What endpoints say of their validators goes into the store by commit(), after the items: were a poll to end in between,
+    the next one asks as this one did. An endpoint that fails is an error of its source. NotModified is raised if all
+    endpoints answer 304.
+    """
+
+    def __init__(self, store: Store, request: Callable[[DataFrame], DataFrame], clock: Callable[[], datetime] = datetime.now):
+        self.store, self.request, self.clock, self.new = store, request, clock, {}
+
+    def __call__(self, spark: SparkSession, source: Row, after: datetime | None) -> DataFrame:
+        i = source["source_id"]
+        one = spark.createDataFrame([(i, list(source["endpoints"]))], "source_id string, endpoints array<string>")
+        asked = written(conditional.requests(one, self.store.states), "requests")
+        answers = written(self.request(asked), "answers")
+        status = conditional.outcomes(asked, answers).first()["status"]
+        if status == "error":
+            raise OSError(f"an endpoint of {i!r} failed")
+        self.new[i] = conditional.merged(self.store.states, asked, answers, self.clock())
+        if status == "not_modified":
+            raise conditional.NotModified(i)
+        return since(conditional.items_of(answers), after)
+
+    def commit(self, source_id: str) -> None:
+        if source_id in self.new:
+            written(self.new.pop(source_id), "states").write.mode("append").parquet(f"{self.store.folder}/states")
+
+
 def poll(store: Store, sources: DataFrame, profile: Profile, read: Reader = read_stored, only_source: str | None = None, dry_run: bool = False, registry_commit: str | None = None, clock: Callable[[], datetime] = datetime.now) -> list[dict]:
     """Poll the sources of a profile's scope; one result (source_id, status, items_seen, snapshots_new,
     snapshots_dup, error) each.
 
-    A source that fails is told as an error, keeps its watermark and stores nothing; the others go on. The
+    A source that fails is told as an error, keeps its watermark and stores nothing; the others go on. One that says that
+    nothing has changed is told as not_modified, which is no failure. The
     watermark of one that succeeds is the start of its poll: items later than it are asked for next time. A dry
     run stores nothing, no event either. ``only_source`` out of scope is an error. Sources are few and each one
     is read by a job of its own, so the loop is the driver's.
@@ -97,9 +134,13 @@ def poll(store: Store, sources: DataFrame, profile: Profile, read: Reader = read
                 out["snapshots_dup"] = out["items_seen"] - out["snapshots_new"]
             else:
                 out["status"] = "skipped_dry_run"
+        except conditional.NotModified:
+            out["status"] = "skipped_dry_run" if dry_run else "not_modified"
         except (PySparkException, OSError, ValueError, KeyError, RuntimeError) as e:
             out |= {"status": "error", "error": f"{type(e).__name__}: {str(e)[:500]}", "trace": traceback.format_exc(), "snapshots_new": 0, "snapshots_dup": 0}
         if not dry_run:
+            if out["status"] in ("ok", "not_modified") and isinstance(read, ConditionalReader):
+                read.commit(i)
             store.log((i, profile.domain, started, clock(), out["status"], out["items_seen"], out["snapshots_new"], out["snapshots_dup"], out["error"], registry_commit))
         results.append(out)
     return results

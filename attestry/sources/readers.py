@@ -128,7 +128,20 @@ def crawled(pages: DataFrame, min_chars: int = 400, dictionary: Dictionary | Non
     return items
 
 
-ADAPTERS: dict[str, Callable[..., DataFrame]] = {"rss": read_feed, "http_api": read_json, "local_folder": read_folder}
+def _by_url(name: str) -> Callable[..., DataFrame]:
+    """An adapter over stored answers; its module needs this one."""
+
+    def read(spark: SparkSession, endpoint: str, after: datetime | None = None, **options) -> DataFrame:
+        from . import answers
+
+        return getattr(answers, name)(spark, endpoint, after=after, **options)
+
+    return read
+
+
+ADAPTERS: dict[str, Callable[..., DataFrame]] = {
+    "rss": read_feed, "http_api": read_json, "local_folder": read_folder, "feed": _by_url("feed_items"), "site": _by_url("site_items"),
+}
 
 
 def adapter(name: str) -> Callable[..., DataFrame]:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -51,17 +53,65 @@ def read_text(spark: SparkSession, path: str) -> str:
     return spark.read.text(path, wholetext=True).first()[0]
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small file, written by the driver under a temporary name and moved."""
-    store, final = _path(spark, path)
-    temporary = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
-    out = store.create(temporary, True)
+def _temporary(spark: SparkSession, path: str, text: str) -> str:
+    """A new file beside path with a small text."""
+    name = f"{path}.{uuid.uuid4().hex}"
+    store, p = _path(spark, name)
+    out = store.create(p, True)
     out.write(bytearray(text.encode()))
     out.close()
-    if store.exists(final):
-        store.delete(final, False)
-    if not store.rename(temporary, final):
-        raise OSError(f"{path} could not be written")
+    return name
+
+
+def _rename(spark: SparkSession, from_: str, to: str, over: bool) -> None:
+    """Rename a file in one step of its file system: a reader of the new name finds the old file or the new one."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = gateway.new_array(kind, 1)
+    options[0] = kind.OVERWRITE if over else kind.NONE
+    p = jvm.org.apache.hadoop.fs.Path
+    store, source = _path(spark, from_)
+    uri = store.makeQualified(source).toUri()
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(uri, spark._jsc.hadoopConfiguration()).rename(p(from_), p(to), options)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, written by the driver under a temporary name that then takes the place of what bore its own."""
+    _rename(spark, _temporary(spark, path, text), path, over=True)
+
+
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """A small file, unless its name is taken: of several writers of one name one succeeds, and no reader sees part of it.
+
+    On a local file system by a hard link, elsewhere by a rename that fails if the name exists (HDFS does so in one step).
+    """
+    temporary = _temporary(spark, path, text)
+    store, p = _path(spark, temporary)
+    try:
+        if store.getUri().getScheme() == "file":
+            os.link(p.toUri().getPath(), p.getParent().toUri().getPath() + "/" + path.rsplit("/", 1)[-1])
+        else:
+            _rename(spark, temporary, path, over=False)
+        return True
+    except FileExistsError:
+        return False
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in e.java_exception.getClass().getName():
+            return False
+        raise
+    finally:
+        store.delete(p, False)
+
+
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder; none if it isn't there."""
+    store, p = _path(spark, folder)
+    return sorted(f.getPath().getName() for f in store.listStatus(p)) if store.exists(p) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    store, p = _path(spark, path)
+    store.delete(p, True)
 
 
 def clear(spark: SparkSession) -> None:
