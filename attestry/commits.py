@@ -20,7 +20,7 @@ class Log:
 
     def entries(self) -> list[dict]:
         """The last base entry and those after it, in order, each with its number as ``version``."""
-        hint = f"{self.folder}/_base"
+        hint = f"{self.folder}/base.txt"
         first = int(read_text(self.spark, hint)) if exists(self.spark, hint) else 0
         numbers = [int(n[:12]) for n in names(self.spark, self.folder) if n[:12].isdigit() and n[12:] == ".json" and int(n[:12]) >= first]
         if not numbers:
@@ -37,7 +37,7 @@ class Log:
         """Whether the entry got this number."""
         done = create_text(self.spark, self._path(version), json.dumps(entry | {"version": version}))
         if done and entry.get("base"):
-            write_text(self.spark, f"{self.folder}/_base", str(version))
+            write_text(self.spark, f"{self.folder}/base.txt", str(version))
         return done
 
     def append(self, entry: dict) -> int:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,6 +34,17 @@ def _parts(text: Column, separator: str) -> Column:
     return F.filter(F.transform(found, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.lit(separator), p))), lambda p: p != "")
 
 
+def _splitter(separator: str, size: int) -> Callable[[Column], Column]:
+    """An item's items after a split at the separator."""
+    end = F.array(_item(END, F.lit("")))
+
+    def split(x: Column) -> Column:
+        inner = F.transform(_parts(x["text"], separator), lambda p: _item(F.when(F.length(p) >= size, LONG).otherwise(PIECE), p))
+        return F.when((x["kind"] == LONG) & F.contains(x["text"], F.lit(separator)), F.concat(end, inner, end)).otherwise(F.array(x))
+
+    return split
+
+
 def pieces(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     """Items (kind, text) of a text: at each separator in turn what is still too long is split, if it holds that separator.
 
@@ -41,12 +54,7 @@ def pieces(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     end = F.array(_item(END, F.lit("")))
     items = F.array(_item(LONG, text))
     for separator in SEPARATORS:
-
-        def split(x: Column, separator: str = separator) -> Column:
-            inner = F.transform(_parts(x["text"], separator), lambda p: _item(F.when(F.length(p) >= size, LONG).otherwise(PIECE), p))
-            return F.when((x["kind"] == LONG) & F.contains(x["text"], F.lit(separator)), F.concat(end, inner, end)).otherwise(F.array(x))
-
-        items = F.flatten(F.transform(items, split))
+        items = F.flatten(F.transform(items, _splitter(separator, size)))
 
     def cut(x: Column) -> Column:
         step = size - overlap

@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import DENIAL, DIRECTION, QUANT, collapse, split_sentences
 
 
+#: Lines of a text, and sentences of a line, that ids tell apart.
+LINES, SENTENCES = 1 << 20, 1 << 12
+
+
+def claim_id(n: Column, line: Column, pos: Column) -> Column:
+    """One number for the sentence ``pos`` of line ``line`` of the text ``n``; no two places have the same. A text of more
+    lines, a line of more sentences or a text number beyond 2^31 is an error."""
+    fits = (line < LINES) & (pos < SENTENCES) & (n < 1 << 31) & (n >= 0)
+    return F.when(fits, (n.cast("long") * LINES + line) * SENTENCES + pos).otherwise(F.raise_error(F.lit("a text has too many lines or sentences for claim ids")).cast("long"))
+
+
 def sentences(rows: DataFrame, text: str = "text") -> DataFrame:
     """Explode text into line, pos and sentence (as split, not collapsed); other columns stay."""
     lines = rows.select("*", F.posexplode(F.split(F.coalesce(text, F.lit("")), r"\R")).alias("line", "_line"))

@@ -12,6 +12,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.text import NEGATIONS, strings, tokenize
 from ..storage import written
+from .alike import alike_groups
 from .graph import components
 from .near_duplicates import similar_sets
 
@@ -36,14 +37,19 @@ def event_pairs(claims: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def event_groups(claims: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(id, root): claims of one event, through any chain of pairs; root is the first claim. Equal claims
-    are represented by their first one, so they are not paired with each other."""
-    firsts = claims.groupBy("claim").agg(F.min("id").alias("first"), F.max(F.size(event_tokens(F.col("claim")))).alias("n"))
-    firsts = written(firsts, "claims")
-    roots = components(event_pairs(firsts.select(F.col("first").alias("id"), "claim"), threshold)).withColumnRenamed("node", "first")
-    named = firsts.join(roots, "first", "left").select("claim", "n", "first", F.coalesce("root", "first").alias("root"))
+    """(id, root): claims of one event, through any chain of pairs; root is the first claim. Claims with equal tokens are
+    represented by one set, and pairs are never listed, however many claims are alike."""
+    tokens = F.transform(event_tokens(F.col("claim")), lambda t: F.xxhash64(t))
+    # a claim's text moves once, to be told from others; after that its sets do
+    firsts = claims.groupBy("claim").agg(F.min("id").alias("first")).select("first", F.array_sort(tokens).alias("s"), F.sha2("claim", 256).alias("h"))
+    firsts = written(firsts.withColumn("node", F.xxhash64("s")), "claims")
+    sets = firsts.filter(F.size("s") > 0).groupBy("node").agg(F.first("s").alias("s"))
+    roots = alike_groups(sets, threshold)
+    named = firsts.filter(F.size("s") > 0).select("first", "h", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    smallest = named.groupBy("root").agg(F.min("first").alias("group"))
     # claims without tokens match nothing, not even an equal claim
-    return claims.select("id", "claim").join(named, "claim").select("id", F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("id")).alias("root"))
+    known = named.join(smallest, "root").select("h", "group")
+    return claims.select("id", F.sha2("claim", 256).alias("h")).join(known, "h", "left").select("id", F.coalesce("group", "id").alias("root"))
 
 
 def voices(evidence: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -81,14 +82,24 @@ def coefficients(permutations: int = PERMUTATIONS) -> list[tuple[int, int]]:
     return out
 
 
-def minhash(s: Column, permutations: int = PERMUTATIONS) -> Column:
+def least_hashes(members: np.ndarray, permutations: int = PERMUTATIONS) -> np.ndarray:
     """Signature of a shingle set: the least of each affine hash (a * h + b) mod PRIME over the members' low 32 bits."""
-    a, b = (np.array(x, dtype=np.uint64) for x in zip(*coefficients(permutations), strict=True))
+    a, b = _coefficients(permutations)
+    return (((members.astype(np.int64).view(np.uint64) & np.uint64(0xFFFFFFFF))[:, None] * a + b) % np.uint64(PRIME)).min(0).astype(np.int64)
+
+
+@lru_cache(maxsize=4)
+def _coefficients(permutations: int) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.array(x, dtype=np.uint64) for x in zip(*coefficients(permutations), strict=True))
+
+
+def minhash(s: Column, permutations: int = PERMUTATIONS) -> Column:
+    """least_hashes() of a column of shingle sets, none of them empty."""
 
     @F.pandas_udf("array<long>")
     def signature(sets: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in sets:
-            yield pd.Series([(((np.asarray(x).astype(np.int64).view(np.uint64) & np.uint64(0xFFFFFFFF))[:, None] * a + b) % np.uint64(PRIME)).min(0).astype(np.int64) for x in batch])
+            yield pd.Series([least_hashes(np.asarray(x), permutations) for x in batch])
 
     return signature(s)
 

@@ -59,7 +59,7 @@ def write_blobs(items: DataFrame, folder: str) -> int:
 
 def _blobs(spark: SparkSession, folder: str, entries: list[dict]) -> DataFrame | None:
     parts = [f"{folder}/{e['part']}" for e in entries]
-    return spark.read.option("basePath", folder).parquet(*parts).drop("part").withColumn("shard", F.col("shard").cast("string")) if parts else None
+    return spark.read.option("basePath", folder).parquet(*parts).drop("part").withColumn("shard", F.substring("content_hash", 1, 2)) if parts else None
 
 
 def read_blobs(spark: SparkSession, folder: str) -> DataFrame | None:

@@ -129,8 +129,8 @@ def minhash_signatures(spark: SparkSession, d: str) -> DataFrame:
 def _clusters(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, root): every document's cluster; copies have their text's."""
     texts = written(_texts(spark, d), "texts")
-    named = texts.join(near_duplicates.clusters(texts), "id").select("text", "root")
-    return table(spark, d, "documents").select("doc_id", "text").join(named, "text").select("doc_id", "root")
+    named = texts.select("id", F.sha2("text", 256).alias("h")).join(near_duplicates.clusters(texts), "id").select("h", "root")
+    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h")).join(named, "h").select("doc_id", "root")
 
 
 def story_clusters(spark: SparkSession, d: str) -> DataFrame:
@@ -190,7 +190,7 @@ def _claims(spark: SparkSession, d: str) -> DataFrame:
     """The claims of conversations and of the golden sentences, with who says them."""
     talk = table(spark, d, "conversations").select(F.col("conv_id"), "turn", "text", F.array().cast("array<string>").alias("entity_ids"), F.lit(None).cast("timestamp").alias("published_at"))
     own = claims.extract(talk).filter("claim_type = 'event'")
-    own = own.select(((F.col("conv_id") * 1000 + F.col("turn")) * 10000 + F.col("line") * 100 + F.col("pos")).alias("id"), "claim", "modality", F.concat(F.lit("c"), (F.col("conv_id") % 20).cast("string")).alias("source_id"), F.concat(F.lit("v"), F.col("conv_id").cast("string")).alias("cluster_id"), (F.col("conv_id") % 3 + 1).cast("int").alias("tier"))
+    own = own.select(claims.claim_id(F.col("conv_id") * 1000 + F.col("turn"), F.col("line"), F.col("pos")).alias("id"), "claim", "modality", F.concat(F.lit("c"), (F.col("conv_id") % 20).cast("string")).alias("source_id"), F.concat(F.lit("v"), F.col("conv_id").cast("string")).alias("cluster_id"), (F.col("conv_id") % 3 + 1).cast("int").alias("tier"))
     told = spark.createDataFrame([(-10 + i, r[4], r[1], r[3], r[2]) for i, r in enumerate(tables.GOLDEN)], "id long, claim string, source_id string, cluster_id string, tier int")
     told = told.withColumn("modality", F.when(F.col("claim").rlike(tx.DENIAL), "denied").otherwise("asserted"))
     both = own.unionByName(told.select(own.columns))
@@ -383,7 +383,7 @@ def poll_loop(spark: SparkSession, d: str) -> DataFrame:
             rows = docs.filter((F.col("source") == source["source_id"]) & (F.col("doc_id") % 2).isin(*rest))
             return rows.select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("url"), F.lit("").alias("title"), F.coalesce("text", F.lit("")).alias("content"), F.lit("text/plain").alias("media_type"), F.lit(None).cast("timestamp").alias("published_at"))
 
-        polling.poll(store, tables.registry(spark, d).filter("source_id IN ('src1', 'src2', 'src4', 'src5')"), Profile("catalogue", ["t0", "t1"]), read, clock=lambda: next(clock))
+        polling.poll(store, tables.registry(spark, d), Profile("catalogue", ["t0", "t1"]), read, clock=lambda: next(clock))
     return store.events.groupBy("source_id", "status").agg(F.count("*").alias("polls"), F.sum("items_seen").alias("items_seen"), F.sum("snapshots_new").alias("snapshots_new"), F.sum("snapshots_dup").alias("snapshots_dup"))
 
 

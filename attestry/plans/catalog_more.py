@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import chunking, ivf, snapshots, substrings
+from ..operators import block_max, chunking, corroborate, governance, index, ivf, snapshots, substrings, verify
 from ..operators.retrieve import dense_topk
 from ..sources import answers, conditional
 from ..storage import work_path, written
 from ..streaming import bands, streaks
 from . import tables
+from .catalog import POLICY, _claims, _quantities, candidates_propose
 from .tables import table
 
 
@@ -113,6 +114,67 @@ def conditional_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return conditional.outcomes(second, again).join(asked, "source_id").join(held, "source_id")
 
 
+def brief_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """A brief for every source: the verdicts of all claims that it takes part in, under their stories."""
+    c = written(_claims(spark, d), "claims")
+    done = written(corroborate.corroborate_events(c, POLICY).withColumn("body_id", F.explode("sources")), "verdicts")
+    asked = done.select("body_id", F.explode("sids").alias("sid")).distinct()
+    seen = asked.join(c.select("sid", F.col("claim").alias("text")), "sid").select("body_id", "sid", F.lit(None).cast("string").alias("title"), "text")
+    return verify.brief_bodies(done, seen)
+
+
+def sparse_topk_pruned(spark: SparkSession, d: str) -> DataFrame:
+    """sparse_topk by blocks with upper bounds."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
+    blocks = block_max.build(written(index.postings(docs), "postings"), docs.count())
+    hits = block_max.search(index.postings(asked).withColumnRenamed("id", "query_id"), blocks, 10)
+    return hits.rows.withColumn("score", F.round("score", 6))
+
+
+def corroborate_fallbacks(spark: SparkSession, d: str) -> DataFrame:
+    """Events under the policies that flag and that drop what is not confirmed."""
+    c, out = written(_claims(spark, d), "claims"), None
+    groups = written(corroborate.event_groups(c), "groups")
+    for fallback in ("flag", "drop"):
+        done = corroborate.corroborate_events(c, corroborate.Policy(2, 1, fallback), groups).select(F.lit(fallback).alias("fallback"), "claim_group", "verdict", "dropped")
+        out = done if out is None else out.unionByName(done)
+    return out
+
+
+def quants_relative(spark: SparkSession, d: str) -> DataFrame:
+    """Quantities that agree within three tenths of the larger one."""
+    out = corroborate.corroborate_quantities(_quantities(spark, d), POLICY, 0.3, None)
+    return out.select("entity_id", "as_of", "text", "verdict", "independent_voices", "tier1_voices", "sources", "conflict", "dropped")
+
+
+def governance_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """Candidate hosts with decisions that contradict each other: the latest one counts; entries to review of those approved."""
+    found = written(candidates_propose(spark, d).withColumn("title", F.lit(None).cast("string")), "candidates")
+    n = F.length("netloc")
+    log = lambda keep, day, status, reason: found.filter(keep).select("netloc", F.lit(f"2024-01-{day:02}").cast("timestamp").alias("decided_at"), F.lit(status).alias("status"), F.lit(reason).cast("string").alias("reason"))
+    logged = log(n % 2 == 0, 1, "approved", None).unionByName(log(n % 3 == 0, 2, "rejected", "off topic"))
+    done = governance.decided(found, logged)
+    shown = governance.stanza(governance.listed(done, "all"))
+    return shown.select("netloc", "status", "reason", F.when(F.col("status") == "approved", F.col("yaml")).alias("yaml"))
+
+
+def feed_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Every source's documents as a stored feed, read by the format "feed": what is later than a time or has no date."""
+    docs = table(spark, d, "documents").filter("source IS NOT NULL")
+    at = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 3600), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    dated = F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("<pubDate>"), at, F.lit("</pubDate>"))).otherwise("")
+    item = F.concat(F.lit("<item><title>"), F.col("doc_id").cast("string"), F.lit("</title><description>"), F.coalesce(F.md5("text"), F.lit("")), F.lit("</description>"), dated, F.lit("</item>"))
+    feeds = docs.groupBy("source").agg(F.array_join(F.collect_list(item), "").alias("x"))
+    rows = feeds.select(F.concat(F.lit("feed://"), "source").alias("url"), F.lit(200).alias("status"), F.encode(F.concat(F.lit("<rss><channel>"), "x", F.lit("</channel></rss>")), "utf-8").alias("body"), F.lit("2024-06-01").cast("timestamp").alias("fetched_at"))
+    folder = work_path(spark, "answers")
+    rows.write.parquet(folder)
+    endpoints = [r.url for r in spark.read.parquet(folder).select("url").orderBy("url").collect()]
+    found = answers.asked(answers.register(spark).read.format("feed"), endpoints, folder, datetime(2024, 1, 8)).load()
+    return found.select("endpoint", F.col("title").cast("long").alias("doc_id"), "content", "published_at")
+
+
 QUERIES = {f.__name__: f for f in (
     benchmark_hits, chunks_recursive, ivf_recall, stream_signature_clusters, stream_source_streaks, blob_put, site_pages, conditional_outcomes,
+    brief_bodies, sparse_topk_pruned, corroborate_fallbacks, quants_relative, governance_decisions, feed_scan,
 )}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators.chunking import BLANK, OVERLAP, SEPARATORS, SIZE
-from .catalog_sql import HEALTH, NETLOC, SIGNED, reach
+from .catalog_sql import EVENTS, HEALTH, NETLOC, QUANTS, SIGNED, reach, sparse, ws
 
 
 def _level(items: str, separator: str) -> str:
@@ -59,4 +59,28 @@ ORACLE_SQL = {
     "site_pages": f"WITH {HOSTS} SELECT 'https://' || host || '/' AS endpoint, 'https://' || host || '/open/' || page_id AS url, md5(html) AS html_md5 FROM hosts WHERE host <> '' AND page_id % 10 <> 7",
     "conditional_outcomes": f"""WITH {HOSTS} SELECT host AS source_id, CASE WHEN bool_or(page_id % 5 = 0) THEN 'error' WHEN count(*) = 1 THEN 'not_modified' ELSE 'ok' END AS status,
         (count(*) = 1)::BIGINT AS conditional, CASE WHEN count(*) = 1 THEN 0 ELSE count(*) FILTER (page_id % 5 <> 0) END::BIGINT AS renewed FROM hosts WHERE host <> '' GROUP BY host""",
+    "brief_bodies": rf"""WITH RECURSIVE {EVENTS},
+        lines AS (SELECT claim_group, coalesce(story_cluster, '') AS story, sids, unnest(sources) AS body_id, regexp_replace({ws('text')}, '\.+$', '') || ' ('
+            || CASE verdict WHEN 'confirmed' THEN 'confirmed by ' || independent_voices || ' independent source' || CASE WHEN independent_voices <> 1 THEN 's' ELSE '' END
+               WHEN 'attributed' THEN 'reported by ' || array_to_string(sources, ', ') || ', unconfirmed'
+               WHEN 'contradicted' THEN 'CONFLICTING REPORTS — ' || coalesce(conflict, 'sources disagree') ELSE 'unverified' END
+            || '). ' || array_to_string(list_transform(sids, lambda x: '[' || x || ']'), '') AS out FROM events_out WHERE NOT dropped),
+        cited AS (SELECT body_id, story, claim_group, unnest(sids) AS sid, unnest(range(len(sids))) AS i FROM lines),
+        heads AS (SELECT body_id, story, arg_min(substring(string_split(claim, chr(10))[1], 1, 90), struct_pack(g := claim_group, i := i)) AS head FROM cited JOIN claims USING (sid) GROUP BY 1, 2),
+        parts AS (SELECT body_id, story, min(claim_group) AS first, string_agg(out, chr(10) ORDER BY claim_group) AS body FROM lines GROUP BY 1, 2)
+        SELECT p.body_id, string_agg('### ' || coalesce(head, nullif(p.story, ''), 'Untitled') || chr(10) || body, chr(10) || chr(10) ORDER BY first) AS body
+        FROM parts p LEFT JOIN heads h ON h.body_id = p.body_id AND h.story = p.story GROUP BY p.body_id""",
+    "sparse_topk_pruned": f"WITH {sparse(10)} SELECT query_id, id, round(score, 6) AS score, rank::INT AS rank FROM sparse",
+    "corroborate_fallbacks": f"""WITH RECURSIVE {EVENTS}, r AS (SELECT claim_group, CASE WHEN verdict = 'attributed' THEN 'insufficient' ELSE verdict END AS verdict FROM events_out)
+        SELECT fallback, claim_group, verdict, fallback = 'drop' AND verdict = 'insufficient' AS dropped FROM r, (VALUES ('flag'), ('drop')) f(fallback)""",
+    "quants_relative": f"WITH RECURSIVE {QUANTS.replace('> 0.015', '> 0.3::DOUBLE * greatest(abs(a.anchor), abs(q.value))')} SELECT * FROM quants_out",
+    "governance_decisions": f"""WITH l AS (SELECT *, {NETLOC.format('url')} AS netloc FROM pages), c AS (SELECT DISTINCT netloc FROM l WHERE netloc <> ''
+          AND netloc NOT IN (SELECT netloc FROM l WHERE url LIKE 'https://m.%') AND netloc NOT IN (SELECT netloc FROM l WHERE url LIKE '%//blog.%')),
+        s AS (SELECT netloc, CASE WHEN length(netloc) % 3 = 0 THEN 'rejected' WHEN length(netloc) % 2 = 0 THEN 'approved' ELSE 'pending' END AS status FROM c)
+        SELECT netloc, status, CASE WHEN status = 'rejected' THEN 'off topic' END AS reason,
+        CASE WHEN status = 'approved' THEN '- id: ' || translate(netloc, '.-', '__') || chr(10) || '  name: ' || netloc || chr(10) || '  homepage: https://' || netloc
+          || chr(10) || '  status: paused' || chr(10) || '  license: UNREVIEWED' END AS yaml FROM s""",
+    "feed_scan": """WITH d AS (SELECT 'feed://' || source AS endpoint, doc_id, coalesce(md5(text), doc_id::VARCHAR) AS content,
+          CASE WHEN doc_id % 3 > 0 THEN TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * doc_id END AS published_at FROM documents WHERE source IS NOT NULL)
+        SELECT * FROM d WHERE published_at IS NULL OR published_at > TIMESTAMP '2024-01-08'""",
 }

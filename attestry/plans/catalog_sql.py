@@ -114,7 +114,7 @@ dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDE
 
 CLAIMS = f"""lined AS (SELECT conv_id, turn, unnest(ls) AS l, unnest(range(len(ls))) AS line FROM (SELECT conv_id, turn, {LINES.format("coalesce(text, '')")} AS ls FROM conversations)),
 sents AS (SELECT conv_id, turn, line, unnest(ss) AS s, unnest(range(len(ss))) AS pos FROM (SELECT *, {sentences(f'trim(l, {BLANK})')} AS ss FROM lined)),
-own AS (SELECT (conv_id * 1000 + turn) * 10000 + line * 100 + pos AS id, {ws('s')} AS claim, 'c' || conv_id % 20 AS source_id, 'v' || conv_id AS cluster_id, conv_id % 3 + 1 AS tier FROM sents),
+own AS (SELECT ((conv_id * 1000 + turn) * 1048576 + line) * 4096 + pos AS id, {ws('s')} AS claim, 'c' || conv_id % 20 AS source_id, 'v' || conv_id AS cluster_id, conv_id % 3 + 1 AS tier FROM sents),
 told AS (SELECT -10 + row_number() OVER (ORDER BY sid) - 1 AS id, claim, source_id, cluster_id, tier FROM (VALUES {_values(tables.GOLDEN)}) g(sid, source_id, tier, cluster_id, claim)),
 claims AS (SELECT *, CASE WHEN regexp_matches(claim, '{DENIAL}') THEN 'denied' ELSE 'asserted' END AS modality, source_id AS independence_group, 'S' || (id + 10) AS sid
            FROM (SELECT * FROM own WHERE length(claim) >= 25 AND NOT regexp_matches(claim, '{QUANT}') UNION ALL SELECT * FROM told))"""
@@ -253,11 +253,12 @@ ORACLE_SQL = {
         near AS (SELECT DISTINCT x.id AS a, y.id AS b FROM keyed x JOIN keyed y ON x.b = y.b AND x.k = y.k AND x.id < y.id WHERE len(list_filter(range(1, 129), lambda i: x.m[i] = y.m[i])) >= 128 * 0.8),
         {reach('near')}, g AS (SELECT t.id, coalesce(root, t.id) AS root FROM texts t LEFT JOIN roots ON node = t.id),
         f AS (SELECT root, arg_min(id, id % 2 * 10000000000 + id) AS first FROM g GROUP BY root) SELECT id, id <> first AS joined FROM g JOIN f USING (root)""",
-    "poll_loop": """WITH s AS (SELECT DISTINCT source FROM documents WHERE source IN ('src1', 'src2', 'src4', 'src5')),
-        d AS (SELECT source, doc_id, coalesce(text, '') AS t, doc_id % 2 AS r FROM documents WHERE source IN ('src2', 'src4', 'src5')),
-        f AS (SELECT t, arg_min(source, r * 10 + right(source, 1)::INT) AS source FROM (SELECT *, r AS round FROM d) GROUP BY t),
+    "poll_loop": """WITH s AS (SELECT DISTINCT source FROM documents WHERE regexp_extract(source, '(\\d+)$', 1)::INT % 10 <> 9),
+        d AS (SELECT source, doc_id, coalesce(text, '') AS t, doc_id % 2 AS r FROM documents WHERE source IN (SELECT source FROM s) AND source <> 'src1'),
+        f AS (SELECT t, arg_min(source, struct_pack(r := r, s := source)) AS source FROM d GROUP BY t),
         seen AS (SELECT source, count(*) FILTER (r = 0) + count(*) AS n FROM d GROUP BY 1), new AS (SELECT source, count(*) AS n FROM f GROUP BY 1)
-        SELECT source AS source_id, CASE WHEN source = 'src1' THEN 'error' ELSE 'ok' END AS status, 2::BIGINT AS polls, coalesce(seen.n, 0)::BIGINT AS items_seen, coalesce(new.n, 0)::BIGINT AS snapshots_new,
+        SELECT source AS source_id, CASE WHEN source = 'src1' THEN 'error' ELSE 'ok' END AS status, 2::BIGINT AS polls,
+        coalesce(seen.n, 0)::BIGINT AS items_seen, coalesce(new.n, 0)::BIGINT AS snapshots_new,
         (coalesce(seen.n, 0) - coalesce(new.n, 0))::BIGINT AS snapshots_dup FROM s LEFT JOIN seen USING (source) LEFT JOIN new USING (source)""",
     "brief_body": rf"""WITH RECURSIVE {EVENTS}, told_lines AS (SELECT claim_group, coalesce(story_cluster, '') AS story, sids, regexp_replace({ws('text')}, '\.+$', '') || ' (' || CASE verdict WHEN 'confirmed' THEN 'confirmed by ' || independent_voices || ' independent source' || CASE WHEN independent_voices <> 1 THEN 's' ELSE '' END
             WHEN 'attributed' THEN 'reported by ' || array_to_string(sources, ', ') || ', unconfirmed' WHEN 'contradicted' THEN 'CONFLICTING REPORTS — ' || coalesce(conflict, 'sources disagree') ELSE 'unverified' END || '). ' || array_to_string(list_transform(sids, lambda x: '[' || x || ']'), '') AS out FROM events_out WHERE len(sids) > 1 AND NOT dropped),

@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import corroborate, observe
+from ..operators import claims, corroborate, observe
 from ..sources.config import Profile
 from ..storage import written
 from .workflows import Seams
@@ -42,7 +42,7 @@ def run_golden(spark: SparkSession, profile: Profile, path: str, seams: Seams =
     evidence = written(spark.createDataFrame(docs, DOC), "golden")
     expectations = spark.createDataFrame(wanted, "case string, needle string, claim_type string, verdict string")
     found = seams.extract(evidence.select("case", "n", "sid", "source_id", "cluster_id", "independence_group", "tier", "entity_ids", "published_at", "text"))
-    found = written(found.withColumn("id", F.col("n") * 1_000_000 + F.col("line") * 1000 + F.col("pos")), "golden-claims")
+    found = written(found.withColumn("id", claims.claim_id(F.col("n"), F.col("line"), F.col("pos"))), "golden-claims")
     verdicts, precisions = None, None
     shared = ["claim_group", "text", "claim_type", "verdict", "independent_voices", "tier1_voices", "sids", "sources", "story_cluster", "conflict", "dropped"]
     for c in cases:

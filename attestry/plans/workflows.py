@@ -45,7 +45,7 @@ def evidence_claims(evidence: DataFrame, sources: DataFrame, include_tags: list[
     """The claims of evidence (sid, source_id, cluster_id, text, published_at, entity_ids), numbered in order."""
     own = registry.with_source(evidence, sources, include_tags).withColumn("n", F.substring("sid", 2, 20).cast("long"))
     found = extract(own.select("n", "sid", "source_id", "cluster_id", "independence_group", "tier", "entity_ids", "published_at", "text"))
-    return found.withColumn("id", F.col("n") * 1_000_000 + F.col("line") * 1000 + F.col("pos")).drop("n", "line", "pos")
+    return found.withColumn("id", claims.claim_id(F.col("n"), F.col("line"), F.col("pos"))).drop("n", "line", "pos")
 
 
 def tail(evidence: DataFrame, sources: DataFrame, profile: Profile, seams: Seams = Seams()) -> dict[str, DataFrame]:

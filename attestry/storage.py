@@ -53,9 +53,20 @@ def read_text(spark: SparkSession, path: str) -> str:
     return spark.read.text(path, wholetext=True).first()[0]
 
 
+def _local(spark: SparkSession, path: str) -> str | None:
+    """The path in the driver's own file system, if it is one."""
+    store, p = _path(spark, path)
+    return p.toUri().getPath() if store.getUri().getScheme() == "file" else None
+
+
 def _temporary(spark: SparkSession, path: str, text: str) -> str:
     """A new file beside path with a small text."""
     name = f"{path}.{uuid.uuid4().hex}"
+    if local := _local(spark, name):
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        with open(local, "w", encoding="utf-8") as file:
+            file.write(text)
+        return name
     store, p = _path(spark, name)
     out = store.create(p, True)
     out.write(bytearray(text.encode()))
@@ -64,7 +75,16 @@ def _temporary(spark: SparkSession, path: str, text: str) -> str:
 
 
 def _rename(spark: SparkSession, from_: str, to: str, over: bool) -> None:
-    """Rename a file in one step of its file system: a reader of the new name finds the old file or the new one."""
+    """Rename a file in one step: a reader of the new name finds the old file or the new one. Of a distributed file system
+    that is its own rename; on the local one Hadoop's would delete first, so it is the operating system's."""
+    if local := _local(spark, to):
+        source = _local(spark, from_)
+        if over:
+            os.replace(source, local)
+        else:
+            os.link(source, local)
+            os.remove(source)
+        return
     jvm, gateway = spark._jvm, spark.sparkContext._gateway
     kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
     options = gateway.new_array(kind, 1)
@@ -81,26 +101,18 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
 
 
 def create_text(spark: SparkSession, path: str, text: str) -> bool:
-    """A small file, unless its name is taken: of several writers of one name one succeeds, and no reader sees part of it.
-
-    On a local file system by a hard link, elsewhere by a rename that fails if the name exists (HDFS does so in one step).
-    """
+    """A small file, unless its name is taken: of several writers of one name one succeeds, and no reader sees part of it."""
     temporary = _temporary(spark, path, text)
-    store, p = _path(spark, temporary)
     try:
-        if store.getUri().getScheme() == "file":
-            os.link(p.toUri().getPath(), p.getParent().toUri().getPath() + "/" + path.rsplit("/", 1)[-1])
-        else:
-            _rename(spark, temporary, path, over=False)
+        _rename(spark, temporary, path, over=False)
         return True
     except FileExistsError:
-        return False
+        pass
     except Py4JJavaError as e:
-        if "FileAlreadyExists" in e.java_exception.getClass().getName():
-            return False
-        raise
-    finally:
-        store.delete(p, False)
+        if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+            raise
+    delete(spark, temporary)
+    return False
 
 
 def names(spark: SparkSession, folder: str) -> list[str]:

@@ -6,13 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.alike import flat
 from ..operators.graph import components
-from ..operators.near_duplicates import BANDS, THRESHOLD, minhash, shingles
-from ..operators.near_duplicates import low_digest
+from ..operators.near_duplicates import BANDS, THRESHOLD, least_hashes, low_digest, shingles
 from ..operators.signatures import WINDOW_DAYS, agree, band_keys
 from ..storage import exists
 from .session import settings
@@ -94,10 +95,15 @@ def linked(docs: DataFrame, late: str = "1 day", days: int = WINDOW_DAYS, thresh
     Rows more than ``late`` behind the latest one are too late and take no part; all others give the same components in
     any order and in any split into batches. Texts without tokens have no links.
     """
-    seen = docs.withWatermark("created_at", late)
-    sets = F.transform(F.array(shingles(F.col("text"), digest=low_digest)), lambda s: F.when(F.size(s) > 0, minhash(s)))
-    signed = seen.select("content_hash", "created_at", F.unix_millis("created_at").alias("at"), sets[0].alias("signature")).filter("signature IS NOT NULL")
-    keyed = signed.select("created_at", "content_hash", "at", "signature", F.explode(band_keys(F.col("signature"), bands)).alias("k"))
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, lengths = flat(batch.column("s"))
+            signatures = [least_hashes(m) for m in np.split(values, np.cumsum(lengths)[:-1])] if batch.num_rows else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(signatures, pa.list_(pa.int64()))], ["content_hash", "created_at", "signature"])
+
+    sets = docs.select("content_hash", "created_at", shingles(F.col("text"), digest=low_digest).alias("s")).filter(F.size("s") > 0)
+    signed = sets.mapInArrow(sign, "content_hash string, created_at timestamp, signature array<long>").withWatermark("created_at", late)
+    keyed = signed.select("created_at", "content_hash", F.unix_millis("created_at").alias("at"), "signature", F.explode(band_keys(F.col("signature"), bands)).alias("k"))
     return keyed.groupBy("k").transformWithStateInPandas(BandMembers(days, threshold), "a string, b string", "append", "eventtime")
 
 

@@ -345,3 +345,76 @@ def test_recursive_chunks(spark):
         for i, t in enumerate(texts):
             assert got[i] == plain_chunks(t, size, overlap), (size, overlap, t)
     assert "Python" not in df.select(recursive_chunks(F.col("t")))._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("block", [4096, 20])
+def test_pruned_search_equals_the_whole_one(spark, monkeypatch, block):
+    """Frequent and rare terms with ties; fewer postings are scored, and hot terms are split."""
+    from attestry.operators import block_max
+    from attestry.operators.retrieve import sparse_topk
+
+    monkeypatch.setattr(block_max, "BLOCK", block)
+    r = random.Random(9)
+    docs = {i: {t for t in range(6) if r.random() < 0.7} | {r.randrange(6, 40) for _ in range(3)} | {r.randrange(40, 2000) for _ in range(4)} for i in range(1500)}
+    post = [(i, t, r.choice([0.4, 0.9, 1.3, 2.1])) for i, ts in docs.items() for t in sorted(ts)]
+    asked = [(q, t, 1.0) for q in range(30) for t in sorted(docs[q * 7])] + [(99, 1, 1.0), (100, 5000, 1.0), (101, 1999, 2.0)]
+    postings = spark.createDataFrame(post, "id long, idx long, weight double")
+    queries = spark.createDataFrame(asked, "query_id long, idx long, weight double")
+    for k in (3, 10):
+        want = sorted(map(tuple, sparse_topk(queries, postings, len(docs), k).select("query_id", "id", "score", "rank").collect()))
+        hits = block_max.search(queries, block_max.build(postings, len(docs)), k)
+        assert sorted(map(tuple, hits.rows.select("query_id", "id", "score", "rank").collect())) == want
+        assert hits.scored < hits.all / 2
+    none = block_max.search(queries.limit(0), block_max.build(postings, len(docs)), 3)
+    assert none.rows.count() == 0 and (none.scored, none.all) == (0, 0)
+    assert block_max.search(queries, block_max.build(postings.limit(0), 0), 3).rows.count() == 0
+
+
+def greedy(order, edges):
+    near, out = {}, {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    for n in order:
+        before = [x for x in order if x in out and x in near.get(n, ())]
+        out[n] = out[before[0]] if before else n
+    return out
+
+
+@pytest.mark.parametrize("cuts", [(), (7, 20), (1, 2, 3, 30)])
+def test_clusters_by_batches(spark, tmp_path, cuts):
+    """A chain, a star and random edges: any split of the order gives what the plain walk gives, and merging is asked for."""
+    from attestry.operators.component_index import ComponentIndex
+
+    r = random.Random(12)
+    order = [f"n{r.randrange(10**6):06}-{i}" for i in range(40)]
+    edges = {(order[i], order[i + 1]) for i in range(10)} | {(order[12], order[k]) for k in range(20, 28)} | {tuple(r.sample(order, 2)) for _ in range(14)}
+    index = ComponentIndex(spark, f"file://{tmp_path}/index")
+    assert index.clusters() is None and index.merge(spark.createDataFrame([], "a string, b string")) == 0
+    for first, last in zip((0, *cuts), (*cuts, len(order)), strict=True):
+        batch = order[first:last]
+        seen = set(order[:last])
+        own = [e for e in edges if e[0] in seen and e[1] in seen]
+        nodes = spark.createDataFrame([(n, order.index(n)) for n in batch], "node string, at int")
+        index.add(nodes, spark.createDataFrame(own, "a string, b string"))
+    held = lambda: {x.node: x.cluster for x in index.clusters().collect()}
+    want = greedy(order, edges)
+    assert held() == want and index.clusters().count() == len(order) and len(set(want.values())) > 3
+    # stored nodes keep their cluster, whatever comes
+    index.add(spark.createDataFrame([(order[3], 0)], "node string, at int"), spark.createDataFrame([(order[0], order[39])], "a string, b string"))
+    assert held() == want
+    merged = list(edges)
+    assert index.merge(spark.createDataFrame(merged[: len(merged) // 2], "a string, b string")) >= 1
+    index.merge(spark.createDataFrame(merged, "a string, b string"))
+    root = {n: n for n in order}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)), key=order.index)
+        root[y] = x
+    assert held() == {n: find(n) for n in order}
+    assert index.merge(spark.createDataFrame(merged, "a string, b string")) == 0
