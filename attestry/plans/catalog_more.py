@@ -109,7 +109,7 @@ def conditional_outcomes(spark: SparkSession, d: str) -> DataFrame:
     status = F.when(page % 5 == 0, 500).when(F.col("etag") == etag, 304).otherwise(200)
     again = second.select("url", status.alias("status"), F.lit(None).cast("string").alias("etag"), F.lit("now").alias("last_modified"))
     states = states.unionByName(conditional.merged(states, second, again, datetime(2024, 1, 2)))
-    held = conditional.current(states).groupBy("source_id").agg(F.count_if("last_modified IS NOT NULL").alias("renewed"))
+    held = conditional.current(states).groupBy("source_id").agg(F.count_if(F.col("last_modified").isNotNull()).alias("renewed"))
     asked = second.groupBy("source_id").agg(F.count("etag").alias("conditional"))
     return conditional.outcomes(second, again).join(asked, "source_id").join(held, "source_id")
 

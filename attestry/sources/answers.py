@@ -197,7 +197,7 @@ class SiteReader(_Asked, DataSourceReader):
         pages, level, seen = {}, roots, set()
         for _ in range(o.get("max_depth", 3) + 1):
             level = [u for u in dict.fromkeys(level) if urldefrag(u)[0].rstrip("/") not in seen]
-            level = level[: max(0, o.get("max_documents", 200) - len(seen))]
+            level = level if o.get("max_documents") is None else level[: max(0, o["max_documents"] - len(seen))]
             seen |= {urldefrag(u)[0].rstrip("/") for u in level}
             found = [e for u, r in self._latest(level).items() for e in parse_sitemap(u, r["body"])] if level else []
             for kind, loc, lastmod, title in found:
