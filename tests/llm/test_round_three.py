@@ -76,7 +76,7 @@ def plain_audit(docs, labels):
     for i, text, _ in docs:
         if i is not None:
             smallest[text or ""] = min(i, smallest.get(text or "", i))
-    quality, toxic = {i for i, q, _ in labels if q == 1}, {i for i, _, t in labels if t == 1}
+    quality, toxic = {i for i, q, _ in labels if q == 1 and i is not None}, {i for i, _, t in labels if t == 1 and i is not None}
     failing, parts = [], {}
     for i, text, source in docs:
         text = text or ""
