@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -19,16 +20,57 @@ from ..storage import exists
 from .session import settings
 
 DAY_MS = 86_400_000
+#: Bands are put on so many shelves; a shelf is what one call of the state's code has in hand, a batch at a time.
+SHELVES = 1024
 #: State that the engine must keep outside of the heap, and with several variables.
 STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
-class BandMembers(StatefulProcessor):
-    """The members of one band: what came, when, its signature, and the number of the joined ones it belongs to.
-
-    A new member gets a link to the first member of every group of joined ones in which some member agrees with it and is
-    at most ``days`` away, so links join what all agreeing pairs would join whatever the order of arrival. Members that no
-    row after the watermark can meet are forgotten, by a timer too if the band stays silent.
+@dataclass
+class Band:
+    """The members of one band: what came, when, its signature, and the number of the joined ones it belongs to."""
+
+    names: list[str]
+    at: np.ndarray
+    joined: np.ndarray
+    places: np.ndarray
+
+    @staticmethod
+    def of(value: tuple | None) -> Band:
+        if value is None:
+            return Band([], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 0), np.int64))
+        names, at, joined, places = value[0].split("\n"), *(np.frombuffer(v, np.int64) for v in value[1:])
+        return Band(names, at, joined, places.reshape(len(names), -1))
+
+    def value(self) -> tuple:
+        return "\n".join(self.names), self.at.tobytes(), self.joined.tobytes(), self.places.tobytes()
+
+    def since(self, at: int) -> Band:
+        """The members from a time on."""
+        keep = self.at >= at
+        return self if keep.all() else Band([n for n, k in zip(self.names, keep, strict=True) if k], self.at[keep], self.joined[keep], self.places[keep])
+
+    def add(self, name: str, at: int, signature: np.ndarray, span: int, threshold: float) -> list[str]:
+        """Take a member in; returns the first member of every group of joined ones in which some member agrees with it
+        and is at most ``span`` away. Those groups are one from now on."""
+        if name in self.names:
+            return []
+        hit = (np.abs(self.at - at) <= span) & agree(self.places, signature[None, :], threshold) if self.names else np.zeros(0, bool)
+        found = np.unique(self.joined[hit])
+        firsts = [self.names[int(np.flatnonzero(self.joined == g)[0])] for g in found]
+        own = found[0] if len(found) else self.joined.max(initial=-1) + 1
+        self.names.append(name)
+        self.at, self.joined = np.append(self.at, at), np.append(np.where(np.isin(self.joined, found), own, self.joined), own)
+        self.places = np.vstack([self.places, signature]) if self.places.size else signature[None, :]
+        return firsts
+
+
+class Bands(StatefulProcessor):
+    """A shelf of bands; each band is an entry of a map, so a batch reads and writes those that it touches.
+
+    A new member gets a link to one member of every group that it joins, so links join what all agreeing pairs would join,
+    whatever the order of arrival. Members that no row after the watermark can meet are forgotten, by a timer too if a
+    shelf stays silent.
     """
 
     def __init__(self, days: int = WINDOW_DAYS, threshold: float = THRESHOLD):
@@ -36,53 +78,35 @@ class BandMembers(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.members = handle.getListState("members", "content_hash string, at long, joined long, signature binary")
+        self.bands = handle.getMapState("bands", "k long", "names string, at binary, joined binary, places binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         span, mark = self.days * DAY_MS, timerValues.getCurrentWatermarkInMs()
-        held = [m for m in self.members.get()] if self.members.exists() else []
-        kept = [m for m in held if m[1] >= mark - span]
-        rewrite, first_new = len(kept) < len(held), len(kept)
-        names, at, joined = [m[0] for m in kept], [m[1] for m in kept], [m[2] for m in kept]
-        places = [np.frombuffer(m[3], np.int64) for m in kept]
-        known, a, b = set(names), [], []
-        new = pd.concat(list(rows)).sort_values(["at", "content_hash"], kind="stable")
-        for name, when, signature in zip(new["content_hash"], new["at"], new["signature"], strict=True):
-            if name in known or when < mark:
-                continue
-            own, group = np.asarray(signature, np.int64), len(names) if not names else max(joined) + 1
-            if names:
-                times, groups = np.array(at), np.array(joined)
-                hit = (np.abs(times - when) <= span) & agree(np.stack(places), own[None, :], self.threshold)
-                found = np.unique(groups[hit])
-                for g in found:
-                    a.append(names[int(np.flatnonzero(groups == g)[0])])
-                    b.append(name)
-                if len(found):
-                    group = int(found[0])
-                if len(found) > 1:  # it joins what was apart
-                    joined = [group if g in found else g for g in joined]
-                    rewrite = True
-            names.append(name)
-            at.append(int(when))
-            joined.append(group)
-            places.append(own)
-            known.add(name)
-        rows_ = [(n, t, j, p.tobytes()) for n, t, j, p in zip(names, at, joined, places, strict=True)]
-        if rewrite:
-            self.members.put(rows_) if rows_ else self.members.clear()
-        elif len(rows_) > first_new:
-            self.members.appendList(rows_[first_new:])
-        if len(rows_) > first_new:
-            self.handle.registerTimer(max(at[first_new:]) + span + 1)
+        new = pd.concat(list(rows), ignore_index=True)
+        new = new[new["at"] >= mark].sort_values(["k", "at", "content_hash"], kind="stable")
+        ks, at, names, signatures = (new[c].to_numpy() for c in ("k", "at", "content_hash", "signature"))
+        a, b = [], []
+        cuts = [0, *(np.flatnonzero(ks[1:] != ks[:-1]) + 1).tolist(), len(ks)] if len(ks) else [0]
+        for first, last in zip(cuts[:-1], cuts[1:], strict=True):
+            band = Band.of(self.bands.getValue((int(ks[first]),))).since(mark - span)
+            for i in range(first, last):
+                firsts = band.add(names[i], int(at[i]), np.asarray(signatures[i], np.int64), span, self.threshold)
+                a += firsts
+                b += [names[i]] * len(firsts)
+            self.bands.updateValue((int(ks[first]),), band.value())
+        if len(ks):
+            self.handle.registerTimer(int(at.max()) + span + 1)
         yield pd.DataFrame({"a": pd.Series(a, dtype=object), "b": pd.Series(b, dtype=object)})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        span, mark = self.days * DAY_MS, timerValues.getCurrentWatermarkInMs()
-        held = list(self.members.get()) if self.members.exists() else []
-        kept = [m for m in held if m[1] >= mark - span]
-        if len(kept) < len(held):
-            self.members.put(kept) if kept else self.members.clear()
+        oldest = timerValues.getCurrentWatermarkInMs() - self.days * DAY_MS
+        for (k,), value in list(self.bands.iterator()):
+            band = Band.of(value)
+            kept = band.since(oldest)
+            if not kept.names:
+                self.bands.removeKey((k,))
+            elif len(kept.names) < len(band.names):
+                self.bands.updateValue((k,), kept.value())
         yield pd.DataFrame({"a": pd.Series([], dtype=object), "b": pd.Series([], dtype=object)})
 
     def close(self) -> None:
@@ -104,7 +128,7 @@ def linked(docs: DataFrame, late: str = "1 day", days: int = WINDOW_DAYS, thresh
     sets = docs.select("content_hash", "created_at", shingles(F.col("text"), digest=low_digest).alias("s")).filter(F.size("s") > 0)
     signed = sets.mapInArrow(sign, "content_hash string, created_at timestamp, signature array<long>").withWatermark("created_at", late)
     keyed = signed.select("created_at", "content_hash", F.unix_millis("created_at").alias("at"), "signature", F.explode(band_keys(F.col("signature"), bands)).alias("k"))
-    return keyed.groupBy("k").transformWithStateInPandas(BandMembers(days, threshold), "a string, b string", "append", "eventtime")
+    return keyed.withColumn("shelf", F.pmod("k", F.lit(SHELVES))).groupBy("shelf").transformWithStateInPandas(Bands(days, threshold), "a string, b string", "append", "eventtime")
 
 
 def link_stream(docs: DataFrame, store: str, checkpoint: str, **options) -> None:
