@@ -39,9 +39,9 @@ def agree(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
     return (a == b).mean(axis=1) >= threshold - 1e-9
 
 
-def band_links(signed: DataFrame, days: int = WINDOW_DAYS, threshold: float = THRESHOLD, bands: int = BANDS) -> DataFrame:
+def band_links(signed: DataFrame, days: int | None = WINDOW_DAYS, threshold: float = THRESHOLD, bands: int = BANDS) -> DataFrame:
     """(a, b): links of signatures (content_hash, signature, created_at) that share a band, agree in ``threshold`` of their
-    places and are at most ``days`` apart. They span what all such pairs would join, within each band; pairs are not listed.
+    places and are at most ``days`` apart (at any distance if it is None). They span what all such pairs would join, within each band; pairs are not listed.
 
     Members of a band are compared with one another but for those that are joined already. Crowded bands are dealt over
     pairs of parts. Null signatures have no links.
@@ -53,7 +53,8 @@ def band_links(signed: DataFrame, days: int = WINDOW_DAYS, threshold: float = TH
         k, cell, at = (rows.column(c).to_numpy() for c in ("k", "cell", "at"))
         run = np.concatenate([[0], np.cumsum((k[1:] != k[:-1]) | (cell[1:] != cell[:-1]))])
         places = flat(rows.column("signature"))[0].reshape(len(k), -1)
-        near = lambda i, j: i[(np.abs(at[i] - at[j]) <= days * 86400) & agree(places[i], places[j], threshold)]
+        span = np.inf if days is None else days * 86400
+        near = lambda i, j: i[(np.abs(at[i] - at[j]) <= span) & agree(places[i], places[j], threshold)]
         left, right = span_runs(run, near)
         node = rows.column("node").combine_chunks()
         return pa.RecordBatch.from_arrays([node.take(pa.array(left)), node.take(pa.array(right))], names=["a", "b"])
@@ -83,8 +84,8 @@ def recent(store: DataFrame, now: datetime, days: int = WINDOW_DAYS) -> DataFram
 def assign(new: DataFrame, store: DataFrame, now: datetime | None = None, days: int = WINDOW_DAYS, threshold: float = THRESHOLD, bands: int = BANDS) -> DataFrame:
     """(content_hash, signature, created_at, cluster_id) of new signatures (content_hash, signature, created_at).
 
-    New and recent documents are linked as band_links() says; recent are those of the last ``days`` before ``now``, or
-    before the earliest new one. A new document takes the cluster of the earliest stored document in its component,
+    New and recent documents are linked as band_links() says, whatever their times; recent are those of the last ``days``
+    before ``now``, or before the earliest new one. A new document takes the cluster of the earliest stored document in its component,
     else the first 16 digits of the hash of the component's first new one. Contents that the store holds keep their
     cluster. Null signatures stand alone.
     """
@@ -93,7 +94,7 @@ def assign(new: DataFrame, store: DataFrame, now: datetime | None = None, days:
     old = recent(store, now, days).select("content_hash", "signature", "created_at", "cluster_id")
     fresh = new.join(store.select("content_hash"), "content_hash", "left_anti").dropDuplicates(["content_hash"])
     all_ = written(old.withColumn("stored", F.lit(True)).unionByName(fresh.select("content_hash", "signature", "created_at", F.lit(None).cast("string").alias("cluster_id"), F.lit(False).alias("stored"))), "both")
-    roots = components(band_links(all_, days, threshold, bands))
+    roots = components(band_links(all_, None, threshold, bands))
     named = all_.join(roots.withColumnRenamed("node", "content_hash"), "content_hash", "left").withColumn("root", F.coalesce("root", "content_hash"))
     own = F.substring("content_hash", 1, 16)
     best = named.groupBy("root").agg(F.min_by(F.coalesce("cluster_id", own), F.struct((~F.col("stored")).alias("n"), "created_at", "content_hash")).alias("group_id"))

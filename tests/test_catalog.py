@@ -3,18 +3,19 @@
 import pytest
 import verify
 
-from attestry.plans import catalog, catalog_sql
+from attestry.plans import catalog, catalog_more, catalog_more_sql, catalog_sql
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(catalog_sql.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(catalog_sql.ORACLE_SQL | catalog_more_sql.ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     assert verify.compare(spark, name, SF).startswith(f"{name}: equal")
 
 
 def test_queries_without_sql_are_few():
     assert set(catalog.QUERIES) - set(catalog_sql.ORACLE_SQL) == {"chunks"}
+    assert set(catalog_more.QUERIES) == set(catalog_more_sql.ORACLE_SQL)
 
 
 def test_chunks_cover_their_text(spark):
