@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import block_max, chunking, corroborate, governance, index, ivf, snapshots, substrings, verify
+from ..operators import block_max, chunking, corroborate, governance, index, ivf, near_duplicates, snapshots, substrings, verify
+from ..operators.component_index import ComponentIndex
 from ..operators.retrieve import dense_topk
 from ..sources import answers, conditional
 from ..storage import work_path, written
 from ..streaming import bands, streaks
 from . import tables
-from .catalog import POLICY, _claims, _quantities, candidates_propose
+from .catalog import POLICY, _claims, _quantities, _texts, candidates_propose
 from .tables import table
 
 
@@ -174,7 +175,21 @@ def feed_scan(spark: SparkSession, d: str) -> DataFrame:
     return found.select("endpoint", F.col("title").cast("long").alias("doc_id"), "content", "published_at")
 
 
+def clusters_by_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Near copies in the order of their ids, put into a component index in two batches: a text belongs to the cluster of
+    the first text before it that it is alike with."""
+    texts = written(_texts(spark, d), "texts")
+    pairs = written(near_duplicates.similar_pairs(texts).select("a", "b"), "pairs")
+    middle = texts.agg(F.percentile_approx("id", 0.5)).first()[0] or 0
+    nodes = texts.select(F.col("id").alias("node"), F.col("id").alias("at"))
+    store = ComponentIndex(spark, work_path(spark, "clusters"))
+    store.add(nodes.filter(F.col("node") <= middle), pairs.filter(F.col("b") <= middle))
+    store.add(nodes.filter(F.col("node") > middle), pairs.filter(F.col("b") > middle))
+    return store.clusters().select(F.col("node").alias("id"), "cluster")
+
+
 QUERIES = {f.__name__: f for f in (
     benchmark_hits, chunks_recursive, ivf_recall, stream_signature_clusters, stream_source_streaks, blob_put, site_pages, conditional_outcomes,
     brief_bodies, sparse_topk_pruned, corroborate_fallbacks, quants_relative, governance_decisions, feed_scan,
+    clusters_by_batches,
 )}

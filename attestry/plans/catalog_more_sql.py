@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators.chunking import BLANK, OVERLAP, SEPARATORS, SIZE
-from .catalog_sql import EVENTS, HEALTH, NETLOC, QUANTS, SIGNED, reach, sparse, ws
+from .catalog_sql import EVENTS, HEALTH, NETLOC, PAIRS, QUANTS, SIGNED, reach, sparse, ws
 
 
 def _level(items: str, separator: str) -> str:
@@ -83,4 +83,7 @@ ORACLE_SQL = {
     "feed_scan": """WITH d AS (SELECT 'feed://' || source AS endpoint, doc_id, coalesce(md5(text), doc_id::VARCHAR) AS content,
           CASE WHEN doc_id % 3 > 0 THEN TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * doc_id END AS published_at FROM documents WHERE source IS NOT NULL)
         SELECT * FROM d WHERE published_at IS NULL OR published_at > TIMESTAMP '2024-01-08'""",
+    "clusters_by_batches": f"""WITH RECURSIVE {PAIRS}, before AS (SELECT b, min(a) AS a FROM pairs GROUP BY b),
+        way AS (SELECT id, id AS reached FROM texts UNION ALL SELECT w.id, p.a FROM way w JOIN before p ON p.b = w.reached)
+        SELECT id, min(reached) AS cluster FROM way GROUP BY id""",
 }
