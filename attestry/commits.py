@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import time
+from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 
-from .storage import create_text, exists, names, read_text, write_text
+from .storage import ages, create_text, delete, exists, names, read_text, write_text
 
 
 class Log:
@@ -47,3 +49,18 @@ class Log:
         while not self.commit(version, entry):
             version += 1
         return version
+
+    def vacuum(self, part: Callable[[dict], str | None], kind: str, age: float = 86_400) -> list[str]:
+        """Delete what no entry names any more: parts (named ``kind``...) of writers that lost or died, and of entries before
+        the last base one, with these. ``part`` gives the part of an entry. Younger ones than ``age`` seconds stay, since a
+        writer may be about to commit them or a reader still reads them. Returns the names of the parts that went."""
+        entries, now, home = self.entries(), time.time(), self.folder.removesuffix("/_log")
+        used, gone = {part(e) for e in entries}, []
+        for name, changed in ages(self.spark, home):
+            if name.startswith(kind) and name not in used and now - changed >= age:
+                delete(self.spark, f"{home}/{name}")
+                gone.append(name)
+        for name, changed in ages(self.spark, self.folder):
+            if name[:12].isdigit() and entries and int(name[:12]) < entries[0]["version"] and now - changed >= age:
+                delete(self.spark, f"{self.folder}/{name}")
+        return gone

@@ -52,9 +52,11 @@ def write_blobs(items: DataFrame, folder: str) -> int:
         part = f"part=p{uuid.uuid4().hex}"
         new.write.partitionBy("shard").parquet(f"{folder}/{part}")
         n = new.count() if held is None else spark.read.schema(one.schema).parquet(f"{folder}/{part}").count()
-        if not n or log.commit((entries[-1]["version"] if entries else 0) + 1, {"part": part, "rows": n}):
+        if n and log.commit((entries[-1]["version"] if entries else 0) + 1, {"part": part, "rows": n}):
             return n
         delete(spark, f"{folder}/{part}")
+        if not n:
+            return 0
 
 
 def _blobs(spark: SparkSession, folder: str, entries: list[dict]) -> DataFrame | None:
@@ -67,6 +69,11 @@ def read_blobs(spark: SparkSession, folder: str) -> DataFrame | None:
     return _blobs(spark, folder, Log(spark, folder).entries())
 
 
+def vacuum_blobs(spark: SparkSession, folder: str, age: float = 86_400) -> list[str]:
+    """Delete files that no writer has committed and that are at least ``age`` seconds old."""
+    return Log(spark, folder).vacuum(lambda e: e["part"], "part=", age)
+
+
 def watermarks(events: DataFrame) -> DataFrame:
     """Per source the start of its latest poll that did not fail."""
     return events.filter("status <> 'error'").groupBy("source_id").agg(F.max("started_at").alias("since"))

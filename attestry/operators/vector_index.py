@@ -113,3 +113,7 @@ class VectorIndex:
         if not done:
             delete(self.spark, f"{self.folder}/upsert={part}")
         return done
+
+    def vacuum(self, age: float = 86_400) -> list[str]:
+        """Delete parts that the index no longer consists of and that are at least ``age`` seconds old."""
+        return self.log.vacuum(lambda e: f"upsert={e['part']}" if "part" in e else None, "upsert=", age)

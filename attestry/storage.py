@@ -121,6 +121,12 @@ def names(spark: SparkSession, folder: str) -> list[str]:
     return sorted(f.getPath().getName() for f in store.listStatus(p)) if store.exists(p) else []
 
 
+def ages(spark: SparkSession, folder: str) -> list[tuple[str, float]]:
+    """(name, time of the last change in seconds) of what is in a folder."""
+    store, p = _path(spark, folder)
+    return [(f.getPath().getName(), f.getModificationTime() / 1000) for f in store.listStatus(p)] if store.exists(p) else []
+
+
 def delete(spark: SparkSession, path: str) -> None:
     store, p = _path(spark, path)
     store.delete(p, True)

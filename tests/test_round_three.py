@@ -190,6 +190,8 @@ def test_blobs_of_writers_at_one_time(spark, tmp_path):
     got = [r.content_hash for r in snapshots.read_blobs(spark, folder).collect()]
     assert sorted(got) == sorted(f"{i % 7:02}{i}" for i in range(90)) and sum(counts) == 90
     assert snapshots.write_blobs(made([500]), folder) == 1 and snapshots.write_blobs(made([500]), folder) == 0
+    assert snapshots.vacuum_blobs(spark, folder) == [] and snapshots.vacuum_blobs(spark, folder, 0) == ["part=dead"]
+    assert snapshots.read_blobs(spark, folder).count() == 91
 
 
 def test_upserts_write_what_is_new(spark, tmp_path):
@@ -206,6 +208,7 @@ def test_upserts_write_what_is_new(spark, tmp_path):
     want |= {i: "d" for i in range(300, 500)}
     entries = one.log.entries()
     assert held() == want and len(entries) == 1 and entries[0]["rows"] == len(want)
+    assert one.vacuum() == [] and len(one.vacuum(0)) == 5 and held() == want and one.vacuum(0) == []
     # an upsert during a compaction makes that one void
     one.upsert(points([1], "e"))
     write = one._write
