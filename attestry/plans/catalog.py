@@ -296,7 +296,11 @@ def snapshot_search(spark: SparkSession, d: str) -> DataFrame:
 
 def replay_equivalence(spark: SparkSession, d: str) -> DataFrame:
     """Verdicts of the tail over claims as evidence, of its replay from saved evidence, and how many only one has."""
-    own = _claims(spark, d).withColumn("tier", F.when(F.col("id") < 0, F.col("tier")).otherwise((F.substring("source_id", 2, 9).try_cast("int") % 3 + 1)))
+    found = written(_claims(spark, d), "claims")
+    # marks are numbered in the order of the claims' ids
+    numbers = spark.createDataFrame(found.select("id").orderBy("id").rdd.map(lambda r: r.id).zipWithIndex(), "id long, n long", verifySchema=False)
+    found = found.join(numbers, "id").withColumn("sid", F.concat(F.lit("S"), (F.col("n") + 1).cast("string"))).drop("n")
+    own = found.withColumn("tier", F.when(F.col("id") < 0, F.col("tier")).otherwise((F.substring("source_id", 2, 9).try_cast("int") % 3 + 1)))
     evidence = written(own.select("sid", "source_id", "cluster_id", F.col("claim").alias("text"), F.lit(None).cast("timestamp").alias("published_at"), F.array().cast("array<string>").alias("entity_ids"), F.lit(None).cast("string").alias("title")), "evidence")
     sources = own.groupBy("source_id").agg(F.min("tier").alias("t")).select("source_id", F.create_map(F.lit("general"), F.col("t")).alias("tags"), F.col("source_id").alias("independence_group"))
     profile = Profile("catalogue", ["general"])
