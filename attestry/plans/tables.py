@@ -49,11 +49,3 @@ GOLDEN = [
     ("S4", "city_desk", 1, "c-bridge-1", "Engineers shut the old railway bridge for repairs after last week's inspection."),
     ("S5", "rail_board", 2, "c-bridge-2", "Officials denied engineers shut the old railway bridge for repairs."),
 ]
-#: Sentences with quantities.
-QUANTITIES = [
-    (1, "War risk premiums rose to 0.6 percent on Tuesday across the strait."),
-    (2, "Crude prices climbed to $84.5 per barrel in early trading hours."),
-    (3, "Output fell to 400,000 barrels according to the ministry note."),
-    (4, "The refinery will close for planned maintenance in the spring."),
-    (5, "The rate reached 5.25 % while production declined at 9.1 mb/d."),
-]

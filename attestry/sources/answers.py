@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-from .readers import since
-from .sites import PAGE_TYPES, WELL_KNOWN, SiteOptions, crawled, parse_sitemap
+from .readers import crawled, since
+from .sites import WELL_KNOWN, SiteOptions, parse_sitemap
 
 ITEMS = "endpoint string, url string, title string, content string, media_type string, published_at timestamp"
 PAGES = "endpoint string, url string, title string, html string, lastmod timestamp"
@@ -270,5 +270,3 @@ def site_items(spark: SparkSession, endpoint: str, after: datetime | None = None
     out = dated.select("url", F.coalesce("title", "_title").alias("title"), "content", "media_type", F.coalesce("published_at", "lastmod").alias("published_at"))
     return since(out, after)
 
-
-__all__ = ["PAGE_TYPES", "FeedSource", "SiteSource", "asked", "feed_items", "register", "site_items"]

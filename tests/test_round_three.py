@@ -462,3 +462,17 @@ def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
     undone(tmp_path / "marks")
     link()
     assert links() == want and len(want) > 10
+
+
+def test_claim_ids_of_long_texts(spark):
+    """1,200 lines, and 120 sentences in a line: no two places of three texts share an id, and ids follow the order."""
+    from attestry.operators import claims
+
+    text = "\n".join(f"This is the line number {i} of a long report." for i in range(1200)) + "\n" + " ".join(f"Sentence number {i} of the last line is here." for i in range(120))
+    rows = spark.createDataFrame([(n, text) for n in (1, 2, 3)], "n long, text string")
+    found = claims.sentences(rows).withColumn("id", claims.claim_id(F.col("n"), F.col("line"), F.col("pos")))
+    got = [tuple(r) for r in found.select("id", "n", "line", "pos").collect()]
+    assert len(got) == 3 * 1320 and len({g[0] for g in got}) == len(got)
+    assert [g[1:] for g in sorted(got)] == sorted(g[1:] for g in got)
+    with pytest.raises(Exception, match="too many lines"):
+        spark.range(1).select(claims.claim_id(F.lit(1), F.lit(1 << 20), F.lit(0))).collect()
