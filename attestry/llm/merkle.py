@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: A section is lines up to blank ones, a paragraph a line; both hold the line feeds that end them.
 SECTION, PARAGRAPH = r"[^\n]+(?:\n[^\n]+)*\n*|\n+", r"[^\n]+\n*|\n+"
+#: SECTION as Java needs it: its groups take a stack frame for each line unless they give nothing back, and nothing is wanted back.
+SECTION_KEPT = r"[^\n]+(?:\n[^\n]+)*+\n*|\n+"
 #: A leaf is 16 to 64 characters of a paragraph and ends where the content says so: after one of some characters.
 PIECE = r"(?s).{15,63}?[gpbvkzGPBVKZ.,;:!?0-9的。、，のはжы]|.{1,64}"
 #: Hexadecimal digits of a leaf that the fingerprint keeps.
@@ -46,7 +48,7 @@ def fingerprint(text: Column) -> Column:
     def section(s: Column) -> Column:
         return _let(F.transform(_parts(s, PARAGRAPH), paragraph), lambda v: F.struct(F.md5(F.concat_ws("", v["d"])).alias("d"), F.concat_ws(".", v["e"]).alias("e")))
 
-    sections = F.transform(_parts(F.coalesce(text, F.lit("")), SECTION), section)
+    sections = F.transform(_parts(F.coalesce(text, F.lit("")), SECTION_KEPT), section)
     return _let(sections, lambda v: F.concat(F.sha2(F.concat_ws("", v["d"]), 256), F.lit(":"), F.concat_ws("/", v["e"])))
 
 
