@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import written
+from ..storage import SENT, sent, written
 from .retrieve import idf, top
 
 #: Steps of weight by which a term's postings are told apart; postings of a block at most, about.
@@ -46,14 +46,20 @@ def build(postings: DataFrame, documents: int) -> Blocks:
     levelled = postings.select("id", "idx", "weight", F.floor(F.col("weight") / STEP).cast("int").alias("level"))
     heads = levelled.groupBy("idx", "level").agg(F.count("*").alias("n"), F.max("weight").alias("most"))
     heads = written(heads.withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")), "heads")
-    placed = levelled.join(heads.select("idx", "level", "parts"), ["idx", "level"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    # one in BLOCK postings at most has a row here
+    several = sent(heads.filter("parts > 1").select("idx", "level", "parts"), "several")
+    placed = levelled.join(several, ["idx", "level"], "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))))
     return Blocks(written(placed.select("idx", "level", "part", "id", "weight"), "blocks"), heads, written(idf(postings, documents), "terms"))
 
 
 def _scored(chosen: DataFrame, blocks: Blocks) -> DataFrame:
     """(query_id, id, score): sums over the chosen blocks (query_id, idx, level, parts, c)."""
-    parts = chosen.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = blocks.postings.join(parts.select("query_id", "idx", "level", F.col("part").cast("long").alias("part"), "c"), ["idx", "level", "part"])
+    chosen = written(chosen.select("query_id", "idx", "level", "parts", "c"), "chosen")
+    if chosen.count() <= SENT:  # the postings stay where they are, so their parts don't matter
+        met = blocks.postings.join(F.broadcast(chosen.drop("parts")), ["idx", "level"])
+    else:
+        parts = chosen.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        met = blocks.postings.join(parts.select("query_id", "idx", "level", F.col("part").cast("long").alias("part"), "c"), ["idx", "level", "part"])
     return met.groupBy("query_id", "id").agg(F.sum(F.col("c") * F.col("weight")).alias("score"))
 
 
@@ -81,8 +87,8 @@ def search(queries: DataFrame, blocks: Blocks, k: int = 96) -> Hits:
     kept = written(kept.select("query_id", "idx", "level", "parts", "n", "c", (F.col("upto") >= F.col("least")).alias("essential")), "kept")
     first = written(_scored(kept.filter("essential"), blocks), "candidates")
     rest = kept.filter("NOT essential")
-    own = blocks.postings.join(first.select("id").distinct(), "id", "left_semi")
-    more = own.join(rest.select("query_id", "idx", "level", "c").distinct(), ["idx", "level"]).join(first.select("query_id", "id"), ["query_id", "id"])
+    asked = sent(rest.select("query_id", "idx", "level", "c").distinct(), "rest")
+    more = blocks.postings.join(asked, ["idx", "level"]).join(first.select("query_id", "id"), ["query_id", "id"])
     more = written(more.select("query_id", "id", (F.col("c") * F.col("weight")).alias("score")), "more")
     whole = first.unionByName(more).groupBy("query_id", "id").agg(F.sum("score").alias("score"))
     scored = (kept.filter("essential").agg(F.sum("n")).first()[0] or 0) + more.count()

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
-from ..storage import written
+from ..storage import sent, written
 
 #: Queries of one block: their vectors are sent to all tasks together.
 QUERY_BLOCK = 2048
@@ -84,9 +84,12 @@ def idf(postings: DataFrame, documents: int) -> DataFrame:
 def sparse_topk(queries: DataFrame, postings: DataFrame, documents: int, k: int = 96) -> DataFrame:
     """(query_id, id, score, rank): best sums of query weight, idf and document weight over common terms.
 
-    queries: query_id, idx, weight; postings: id, idx, weight.
+    queries: query_id, idx, weight; postings: id, idx, weight. Postings stay where they are if the queries' terms are few;
+    those of a document that lie together are summed up before they are dealt.
     """
-    terms = queries.select("query_id", "idx", F.col("weight").alias("q")).join(idf(postings, documents), "idx")
+    asked = sent(queries.select("query_id", "idx", F.col("weight").alias("q")), "asked")
+    held = idf(postings.join(asked, "idx", "left_semi"), documents)
+    terms = sent(asked.join(held, "idx"), "terms")
     scored = postings.join(terms, "idx").groupBy("query_id", "id").agg(F.sum(F.col("q") * F.col("idf") * F.col("weight")).alias("score"))
     return top(scored.withColumn("score", F.round("score", 9)), k)
 
