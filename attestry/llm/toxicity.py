@@ -11,12 +11,14 @@ from dictionaries made without the counted document's third of the sample.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable, Iterator
+import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -218,24 +220,24 @@ def _models(parts: list[list[tuple[bytes, int]]]) -> list[Model]:
     return models
 
 
-def fit(texts: list[tuple[str | bytes, int, int]], features: Callable[[list[Model]], list] | None = None) -> Model:
-    """Make the dictionaries and calibrate them. texts: (text, label, part below FOLDS) in a settled order; with features
-    they may be bytes in lower case.
+def _constant(toxic: float, n: int) -> Model:
+    """What gives every text the smoothed share of toxic ones."""
+    share = (toxic + 0.5) / (n + 1.5)
+    return Model([], np.zeros(0), np.ones(0), np.array([np.log(share / (1 - share))]))
 
-    features gives the texts' features, each by the model (of those made without a part) that has not seen it.
+
+def fit(texts: list[tuple[str, int, int]]) -> Model:
+    """Make the dictionaries and calibrate them. texts: (text, label, part below FOLDS) in a settled order.
+
+    Each text's features are by the model (of those made without a part) that has not seen it.
     With labels of one kind only, or none, every text scores the smoothed share of toxic ones (a third without labels).
     """
     y = np.array([label for _, label, _ in texts], dtype=np.float64)
     if not 0 < y.sum() < len(y):
-        share = (y.sum() + 0.5) / (len(y) + 1.5)
-        return Model([], np.zeros(0), np.ones(0), np.array([np.log(share / (1 - share))]))
-    model, *others = _models([[(t if isinstance(t, bytes) else t.lower().encode(), y) for t, y, part in texts if part == k] for k in range(FOLDS)])
-    if features is None:
-        scorers = [m.scorer() for m in others]
-        x = [scorers[part].features([t])[0] for t, _, part in texts]
-    else:
-        x = features(others)
-    model.mean, model.scale, model.weights = _logistic(np.array(x), y)
+        return _constant(y.sum(), len(y))
+    model, *others = _models([[(t.lower().encode(), y) for t, y, part in texts if part == k] for k in range(FOLDS)])
+    scorers = [m.scorer() for m in others]
+    model.mean, model.scale, model.weights = _logistic(np.array([scorers[part].features([t])[0] for t, _, part in texts]), y)
     return model
 
 
@@ -244,39 +246,51 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int
 
     labels: doc_id, toxic. Rows with a null id or label are left out; of repeated ids one row counts, the least text
     with the greater label. Equal hashes go by doc_id. Whole texts are read, null ones as empty; a text that goes
-    beyond ``size`` ends the sample. Dictionaries are made on the driver, the calibration's features in tasks.
+    beyond ``size`` ends the sample. Dictionaries are made by one task, the calibration's features by many; neither the sample nor
+    its counts reach the driver.
     """
     labels = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("d"), (F.col("toxic") > 0).cast("int").alias("y"))
     chosen = labels.groupBy("d").agg(F.max("y").alias("y")).orderBy(F.md5(F.col("d").cast("string")), "d").limit(rows)
     picked = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("d"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "d")
     picked = picked.groupBy("d").agg(F.min("text").alias("text"), F.max("y").alias("y")).withColumns({"h": F.md5(F.col("d").cast("string")), "part": F.pmod(F.xxhash64("d"), F.lit(FOLDS)).cast("int")})
-    sample = written(picked, "labelled")
-    out: list[tuple[bytes, int, int]] = []
-    for r in sample.orderBy("h", "d").toLocalIterator():
-        if (size := size - len(r.text.encode())) < 0:
-            break
-        out.append((r.text.lower().encode(), r.y, r.part))
-
-    def features(models: list[Model]) -> list[list[float]]:
-        small_batches(docs.sparkSession, 100)
-        sent = docs.sparkSession.sparkContext.broadcast(models)
-
-        @F.pandas_udf("array<double>")
-        def of(texts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-            scorers = [m.scorer() for m in sent.value]
-            for text, part in texts:
-                x = np.zeros((len(text), 0))
-                for p in sorted(set(part)):
-                    found = scorers[p].features(text[part == p].tolist())
-                    x = x if x.shape[1] else np.zeros((len(text), found.shape[1]))
-                    x[(part == p).to_numpy()] = found
-                yield pd.Series(list(x))
-
-        n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        found = written(sample.repartition(n, "d").select("h", "d", of("text", "part").alias("x")), "features")
-        return [r.x for r in found.orderBy("h", "d").limit(len(out)).toLocalIterator()]
-
-    return fit(out, features)
+    spark, sample = docs.sparkSession, written(picked, "labelled")
+    small_batches(spark, 100)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, out = size, []
+        for text, y, part in (r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("text", "y", "part")), strict=True)):
+            if (left := left - len(text.encode())) < 0:
+                break
+            out.append((text.lower().encode(), y, part))
+        several = 0 < sum(y for _, y, _ in out) < len(out)
+        models = _models([[(t, y) for t, y, part in out if part == k] for k in range(FOLDS)]) if several else []
+        yield pa.RecordBatch.from_pydict({"n": pa.array([len(out)], pa.int64()), "toxic": pa.array([sum(y for _, y, _ in out)], pa.int64()), "models": pa.array([pickle.dumps(models)], pa.binary())})
+
+    # one task for the bounded sample; the driver has the dictionaries only
+    in_order = sample.select("h", "d", "text", "y", "part").repartition(1).sortWithinPartitions("h", "d")
+    made = in_order.mapInArrow(make, "n long, toxic long, models binary").first()
+    n, toxic = (made.n, made.toxic) if made else (0, 0)
+    if not 0 < toxic < n:
+        return _constant(toxic, n)
+    model, *others = pickle.loads(made.models)
+    sent = spark.sparkContext.broadcast(others)
+
+    @F.pandas_udf("array<double>")
+    def features(texts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        scorers = [m.scorer() for m in sent.value]
+        for text, part in texts:
+            x = np.zeros((len(text), 0))
+            for p in sorted(set(part)):
+                found = scorers[p].features(text[part == p].tolist())
+                x = x if x.shape[1] else np.zeros((len(text), found.shape[1]))
+                x[(part == p).to_numpy()] = found
+            yield pd.Series(list(x))
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = written(sample.repartition(parts, "d").select("h", "d", "y", features("text", "part").alias("x")), "features")
+    rows = [(np.array(r.x), r.y) for r in found.orderBy("h", "d").limit(n).toLocalIterator()]
+    model.mean, model.scale, model.weights = _logistic(np.array([x for x, _ in rows]), np.array([y for _, y in rows], dtype=np.float64))
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
