@@ -89,6 +89,17 @@ def assign(new: DataFrame, store: DataFrame, now: datetime | None = None, days:
     else the first 16 digits of the hash of the component's first new one. Contents that the store holds keep their
     cluster. Null signatures stand alone.
     """
+    return _grouped(new, store, now, days, threshold, bands).filter("NOT stored").select("content_hash", "signature", "created_at", F.col("group_id").alias("cluster_id"))
+
+
+def merged(new: DataFrame, store: DataFrame, now: datetime | None = None, days: int = WINDOW_DAYS, threshold: float = THRESHOLD, bands: int = BANDS) -> DataFrame:
+    """(content_hash, cluster_id) of new and recent documents: as assign() has the new ones, but clusters that a new document
+    joins are one, named by the earliest stored document's."""
+    return _grouped(new, store, now, days, threshold, bands).select("content_hash", F.col("group_id").alias("cluster_id"))
+
+
+def _grouped(new: DataFrame, store: DataFrame, now: datetime | None, days: int, threshold: float, bands: int) -> DataFrame:
+    """New and recent documents with the cluster (group_id) of their component."""
     if now is None:
         now = new.agg(F.min("created_at")).first()[0] or datetime.max
     old = recent(store, now, days).select("content_hash", "signature", "created_at", "cluster_id")
@@ -98,4 +109,4 @@ def assign(new: DataFrame, store: DataFrame, now: datetime | None = None, days:
     named = all_.join(roots.withColumnRenamed("node", "content_hash"), "content_hash", "left").withColumn("root", F.coalesce("root", "content_hash"))
     own = F.substring("content_hash", 1, 16)
     best = named.groupBy("root").agg(F.min_by(F.coalesce("cluster_id", own), F.struct((~F.col("stored")).alias("n"), "created_at", "content_hash")).alias("group_id"))
-    return named.filter("NOT stored").join(best, "root").select("content_hash", "signature", "created_at", F.col("group_id").alias("cluster_id"))
+    return named.join(best, "root")

@@ -43,3 +43,22 @@ def test_postings_stay_where_they_are(spark, monkeypatch):
     for module in (storage, block_max):
         monkeypatch.setattr(module, "SENT", 0)
     assert sorted(map(tuple, retrieve.sparse_topk(asked, post, 60, 5).collect())) == want and blocks() == same
+
+
+def test_a_new_text_merges_stored_clusters(spark):
+    """Two stored texts that are not alike, and a new one that is alike with both."""
+    from datetime import datetime, timedelta
+
+    from attestry.operators import signatures
+
+    start = datetime(2024, 1, 1)
+    rows = [(name, [0] * 128 if name == "b" else [k] * 20 + [0] * 108, start + timedelta(seconds=i)) for i, (name, k) in enumerate([("a", 1), ("c", 2), ("b", 0)])]
+    rows[0] = ("a", [1] * 20 + [0] * 108, start)
+    rows[1] = ("c", [0] * 108 + [2] * 20, start + timedelta(seconds=1))
+    schema = "content_hash string, signature array<long>, created_at timestamp"
+    empty = spark.createDataFrame([], schema + ", cluster_id string")
+    held = storage.written(signatures.assign(spark.createDataFrame(rows[:2], schema), empty, start), "held")
+    new = spark.createDataFrame(rows[2:], schema)
+    named = lambda df: {r.content_hash: r.cluster_id for r in df.collect()}
+    assert named(held) == {"a": "a", "c": "c"} and named(signatures.assign(new, held)) == {"b": "a"}
+    assert named(signatures.merged(new, held)) == {"a": "a", "b": "a", "c": "a"}
