@@ -120,8 +120,10 @@ def search(file: InvertedFile, queries: DataFrame, k: int = 96) -> DataFrame:
     loads = asked.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("_blocks"))
     cells = F.broadcast(written(sizes.join(loads, "list"), "cells"))  # a row per list, MOST_LISTS at most
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    left = file.rows.join(cells, "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("_parts"))).withColumn("block", every("_blocks")).select("list", "part", "block", "id", "vector")
-    right = asked.join(cells, "list").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("_blocks"))).withColumn("part", every("_parts")).select("list", "part", "block", "query_id", "vector")
+    # both sides' keys have one type: equal numbers of other types are dealt to other tasks, where they don't meet
+    one = lambda name, c: F.pmod(F.xxhash64(name), F.col(c)).cast("int")
+    left = file.rows.join(cells, "list").withColumn("part", one("id", "_parts")).withColumn("block", every("_blocks")).select("list", "part", "block", "id", "vector")
+    right = asked.join(cells, "list").withColumn("block", one("query_id", "_blocks")).withColumn("part", every("_parts")).select("list", "part", "block", "query_id", "vector")
     width = file.centroids.shape[1]
 
     def meet(rows: pa.Table, own: pa.Table) -> pa.Table:

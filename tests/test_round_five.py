@@ -42,3 +42,24 @@ def test_long_texts_with_a_common_passage_are_no_candidates(spark):
     links = [tuple(x) for x in alike._candidates(rows, [], 0.8, None, False)[0].collect()]
     assert links == [(0, 5)]
     assert sorted(map(tuple, alike.alike_groups(rows, 0.8).collect())) == [(0, 0), (5, 0)]
+
+
+def test_search_of_all_lists_is_exact_however_many_tasks_there_are(spark):
+    from attestry.operators import ivf, retrieve
+
+    r = np.random.default_rng(7)
+    rows = spark.createDataFrame([(i, r.normal(size=8).tolist()) for i in range(400)], "id long, vector array<double>")
+    asked = rows.filter("id % 20 = 0").withColumnRenamed("id", "query_id")
+    # many partitions, which stay many
+    settings = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, value in settings.items():
+        spark.conf.set(k, value)
+    try:
+        file = ivf.build(rows, 16)
+        found = ivf.search(ivf.InvertedFile(file.rows, file.centroids, len(file.centroids)), asked, 10)
+        pairs = lambda df: {(x.query_id, x.id) for x in df.collect()}
+        assert pairs(found) == pairs(retrieve.dense_topk(asked, rows, 10))
+    finally:
+        for k, value in before.items():
+            spark.conf.set(k, value)
