@@ -80,6 +80,10 @@ def _hosts(spark: SparkSession, d: str) -> DataFrame:
     return p.select("page_id", tx.netloc(F.col("url")).alias("host"), "html").filter("host <> ''")
 
 
+#: Pages of a site that one task reads, some of them closed.
+SITE_PAGES = 2000
+
+
 def site_pages(spark: SparkSession, d: str) -> DataFrame:
     """Pages as stored answers of their hosts, whose robots files close what ids ending in 7 have, read by the format "site"."""
     p = _hosts(spark, d)
@@ -91,9 +95,10 @@ def site_pages(spark: SparkSession, d: str) -> DataFrame:
     maps = at("/map.xml", F.concat(F.lit("<urlset>"), "x", F.lit("</urlset>")))
     folder = work_path(spark, "answers")
     all_ = own.unionByName(robots).unionByName(maps).withColumns({"status": F.lit(200), "fetched_at": F.lit("2024-01-01").cast("timestamp")})
-    all_.drop("host").write.parquet(folder)
-    endpoints = [f"https://{r.host}/" for r in hosts.select("host").orderBy("host").collect()]
-    found = answers.asked(answers.register(spark).read.format("site"), endpoints, folder, site={"max_documents": None}).load()
+    # in the order of urls and in small row groups, so that a task reads its own pages
+    all_.drop("host").repartitionByRange("url").sortWithinPartitions("url").write.option("parquet.block.size", 4 << 20).parquet(folder)
+    parts = {f"https://{r.host}/": r.parts for r in own.groupBy("host").agg(F.ceil(F.count("*") / SITE_PAGES).alias("parts")).orderBy("host").collect()}
+    found = answers.asked(answers.register(spark).read.format("site"), list(parts), folder, site={"max_documents": None}, parts=parts).load()
     return found.select("endpoint", "url", F.md5("html").alias("html_md5"))
 
 

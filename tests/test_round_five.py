@@ -63,3 +63,17 @@ def test_search_of_all_lists_is_exact_however_many_tasks_there_are(spark):
     finally:
         for k, value in before.items():
             spark.conf.set(k, value)
+
+
+def test_parts_of_a_site_are_its_pages(spark, tmp_path):
+    from datetime import datetime
+
+    from attestry.sources import answers
+
+    at, urls = datetime(2024, 1, 1), [f"https://a.b/{i}" for i in range(23)]
+    said = {"https://a.b/robots.txt": "User-agent: *\nSitemap: https://a.b/map.xml", "https://a.b/map.xml": "<urlset>" + "".join(f"<url><loc>{u}</loc></url>" for u in urls) + "</urlset>"} | {u: f"<p>{u}</p>" for u in urls}
+    spark.createDataFrame([(u, 200, bytearray(b.encode()), at) for u, b in said.items()], "url string, status int, body binary, fetched_at timestamp").write.parquet(f"{tmp_path}/answers")
+    read = lambda **more: answers.asked(answers.register(spark).read.format("site"), ["https://a.b/"], f"{tmp_path}/answers", site={"max_documents": None}, **more).load()
+    found = read(parts={"https://a.b/": 4})
+    assert found.rdd.getNumPartitions() == 4
+    assert sorted(r.url for r in found.collect()) == sorted(urls) == sorted(r.url for r in read().collect())
