@@ -47,14 +47,19 @@ def band_links(signed: DataFrame, days: int | None = WINDOW_DAYS, threshold: flo
     pairs of parts. Null signatures have no links.
     """
     keyed = signed.filter("signature IS NOT NULL").select(F.explode(band_keys(F.col("signature"), bands)).alias("k"), F.col("content_hash").alias("node"), F.unix_seconds("created_at").alias("at"), "signature")
-    columns = ["k", "cell", "node", "at", "signature"]
+    return run_links(keyed.withColumn("fresh", F.lit(True)), None if days is None else days * 86400, threshold)
+
+
+def run_links(keyed: DataFrame, span: int | None, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b): spanning links of the rows (k, node, at, signature, fresh) of one k that agree and are at most ``span`` apart.
+    Two that aren't fresh are not compared."""
+    columns = ["k", "cell", "node", "at", "signature", "fresh"]
 
     def of_runs(rows: pa.Table) -> pa.RecordBatch:
-        k, cell, at = (rows.column(c).to_numpy() for c in ("k", "cell", "at"))
+        k, cell, at, fresh = (rows.column(c).to_numpy() for c in ("k", "cell", "at", "fresh"))
         run = np.concatenate([[0], np.cumsum((k[1:] != k[:-1]) | (cell[1:] != cell[:-1]))])
         places = flat(rows.column("signature"))[0].reshape(len(k), -1)
-        span = np.inf if days is None else days * 86400
-        near = lambda i, j: i[(np.abs(at[i] - at[j]) <= span) & agree(places[i], places[j], threshold)]
+        near = lambda i, j: i[(fresh[i] | fresh[j]) & (np.abs(at[i] - at[j]) <= (np.inf if span is None else span)) & agree(places[i], places[j], threshold)]
         left, right = span_runs(run, near)
         node = rows.column("node").combine_chunks()
         return pa.RecordBatch.from_arrays([node.take(pa.array(left)), node.take(pa.array(right))], names=["a", "b"])
