@@ -41,23 +41,25 @@ def golden_outcomes(expectations: DataFrame, claims: DataFrame) -> DataFrame:
     those have the verdict. Equal expectations count once. Needles are found by a q-gram index of the case's texts; an
     empty needle is in all of them. Null cases, needles and texts meet nothing.
     """
-    kinds = claims.groupBy("case", F.lower("text").alias("_t"), "claim_type", "verdict").agg(F.lit(1).alias("_one"))
-    kinds = written(kinds.withColumn("_text_key", F.md5("_t")), "claims")
-    texts = written(kinds.groupBy("case", "_text_key").agg(F.first("_t").alias("text")).withColumn("id", F.monotonically_increasing_id()), "texts")
+    low = claims.select("case", F.lower("text").alias("_t"), "claim_type", "verdict").withColumn("_text_key", F.md5("_t"))
+    texts = written(low.groupBy("case", "_text_key").agg(F.first("_t").alias("text")).withColumn("id", F.monotonically_increasing_id()), "texts")
     wanted = written(expectations.distinct().withColumns({"_n": F.monotonically_increasing_id(), "_key": F.md5(F.lower("needle"))}), "expectations")
     needles = wanted.groupBy("case", "_key").agg(F.first(F.lower("needle")).alias("text"))
     needles = written(needles.withColumn("id", F.monotonically_increasing_id()), "needles")
     pairs = occurrences(needles.withColumnRenamed("case", "key"), texts.withColumnRenamed("case", "key"))
     # what each text's claims say, then what the claims of each needle say
+    kinds = low.select("case", "_text_key", "claim_type", "verdict").distinct()
     told = kinds.join(texts.select("case", "_text_key", F.col("id").alias("text_id")), ["case", "_text_key"]).select("text_id", "case", "claim_type", "verdict")
     by_text = pairs.join(told.drop("case"), "text_id").select("needle_id", "claim_type", "verdict").distinct()
     empty = needles.filter("text = ''").select(F.col("id").alias("needle_id"), "case")
     said = by_text.unionByName(empty.join(told.select("case", "claim_type", "verdict").distinct(), "case").select("needle_id", "claim_type", "verdict"))
     said = said.select("needle_id", F.col("claim_type").alias("_type"), F.col("verdict").alias("_verdict"))
-    asked = wanted.join(needles.select("case", "_key", F.col("id").alias("needle_id")), ["case", "_key"], "left")
+    # without the needles' texts, which join at the end
+    asked = wanted.drop("needle").join(needles.select("case", "_key", F.col("id").alias("needle_id")), ["case", "_key"], "left")
     met = asked.join(said, (asked["needle_id"] == said["needle_id"]) & (F.col("claim_type").isNull() | (F.col("claim_type") == F.col("_type"))), "left")
     agree = F.coalesce(F.bool_and(F.col("_verdict") == F.col("verdict")), F.lit(False))
-    return met.groupBy("_n", *expectations.columns).agg(agree.alias("passed"), F.array_sort(F.collect_set("_verdict")).alias("got")).drop("_n")
+    done = met.groupBy("_n").agg(agree.alias("passed"), F.array_sort(F.collect_set("_verdict")).alias("got"))
+    return wanted.join(done, "_n").select(*expectations.columns, "passed", "got")
 
 
 def golden_report(outcomes: DataFrame, precisions: DataFrame, pass_target: float = 1.0, precision_target: float = 0.95) -> DataFrame:

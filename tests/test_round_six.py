@@ -1,9 +1,11 @@
 """Growth of what is shuffled and stored."""
 
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from attestry.operators import substrings
 from attestry.streaming import bands
 
 START = datetime(2024, 1, 1)
@@ -22,3 +24,18 @@ def test_a_stream_keeps_each_signature_once(spark, tmp_path):
     assert state.select("user_map_value.*").columns == ["names", "at"]
     assert state.select(F.explode(F.split("user_map_value.names", "\n"))).count() == 26 * len(rows)
     assert spark.read.parquet(f"{tmp_path}/store/_signatures").filter(F.size("signature") == 128).count() == len(rows)
+
+
+def test_a_short_needle_moves_no_other_grams(spark):
+    """Of 120,000 places of texts only those that may hold a needle's gram leave their task; what is found is exact."""
+    r = random.Random(7)
+    texts = ["".join(r.choice("abcdefgh \U0001f40d\u00e9") for _ in range(3000)) for _ in range(40)]
+    wanted = [texts[3][100:130], texts[5][2995:], texts[9][:8], texts[0] + "x", "\U0001f40d\u00e9", "e", texts[7][200:1900], "nowhere at all"]
+    schema = "id long, key string, text string"
+    needles, held = (spark.createDataFrame([(i, "k", t) for i, t in enumerate(x)], schema) for x in (wanted, texts))
+    found = {tuple(x) for x in substrings.occurrences(needles, held).collect()}
+    assert found == {(i, j) for i, n in enumerate(wanted) for j, t in enumerate(texts) if n in t}
+    sized = lambda df: df.withColumn("n", F.length("text"))
+    asked = substrings._needle_grams(sized(needles.filter("id IN (0, 1, 7)")))
+    assert {(x.q, x.one_in) for x in asked.select("q", "one_in").distinct().collect()} == {(8, 1), (4, 1)}
+    assert 23 <= substrings.grams(sized(held), asked, True).count() < 500
