@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from attestry.operators import substrings
+from attestry.operators import corroborate, substrings
 from attestry.streaming import bands
 
 START = datetime(2024, 1, 1)
@@ -39,3 +39,22 @@ def test_a_short_needle_moves_no_other_grams(spark):
     asked = substrings._needle_grams(sized(needles.filter("id IN (0, 1, 7)")))
     assert {(x.q, x.one_in) for x in asked.select("q", "one_in").distinct().collect()} == {(8, 1), (4, 1)}
     assert 23 <= substrings.grams(sized(held), asked, True).count() < 500
+
+
+def test_quantities_move_once_and_crowded_keys_too_come_out_right(spark, monkeypatch):
+    """Claims go to their keys in one exchange; summed up by value they come to the same, whatever links their voices."""
+    r = random.Random(11)
+    spec = "id long, claim string, entity_id string, metric string, value double, unit string, as_of string, source_id string, cluster_id string, independence_group string, tier int, sid string"
+    some = lambda *x: r.choice(x)
+    rows = [(i, f"claim {i}", some("a", "b", "c", None), some("m", None), some(None, 0.0, -0.0, 1.0, 1.01, 1.3, 7.0, float("nan")), some("u", None), some("2024-01-01", "2024-02", None), f"s{i % 5}", some(None, "x", "y", "z"), some(None, "", "g", "h", "k"), some(1, 2, 3, None), f"S{i + 1}") for i in range(150)]
+    rows += [(1000, "alone", "d", "m", None, None, None, "s", None, None, 1, "S9")]
+    claims = spark.createDataFrame(rows, spec)
+    for relative, absolute in ((None, 0.015), (0.3, None)):
+        done = corroborate.corroborate_quantities(claims, corroborate.Policy(), relative, absolute)
+        assert done._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+        direct = sorted(map(repr, done.collect()))
+        with monkeypatch.context() as m:
+            m.setattr(corroborate, "HELD", 6)
+            assert sorted(map(repr, corroborate.corroborate_quantities(claims, corroborate.Policy(), relative, absolute).select(done.columns).collect())) == direct
+            m.setattr(corroborate, "HELD", 0)
+            assert sorted(map(repr, corroborate.corroborate_quantities(claims, corroborate.Policy(), relative, absolute).select(done.columns).collect())) == direct
