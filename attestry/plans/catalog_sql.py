@@ -219,7 +219,7 @@ ORACLE_SQL = {
         p AS (SELECT id, day, unnest({sentences('s')}) AS s FROM r), q AS (SELECT id, day, {ws('s')} AS s FROM p)
         SELECT id, s AS claim, lower(regexp_extract(s, '{QUANT}', 1)) AS entity_id, rtrim(lower(regexp_extract(s, '{QUANT}', 1)), 's') AS metric, regexp_extract(s, '{QUANT}', 2)::DOUBLE AS value, nullif(lower(regexp_extract(s, '{QUANT}', 3)), '') AS unit, day AS as_of,
         nullif(lower(regexp_extract(s, '{DIRECTION}', 1)), '') AS direction FROM q WHERE length(s) >= 25 AND regexp_matches(s, '{QUANT}')""",
-    "event_match_pairs": f"WITH {CLAIMS}, {EVENT_PAIRS} SELECT a, b, round(jaccard, 6) AS jaccard FROM epairs",
+    "event_match_pairs": f"WITH {CLAIMS}, {EVENT_PAIRS} SELECT a, b, round(jaccard, 6) AS jaccard, false AS copy FROM epairs UNION ALL SELECT f.id, c.id, 1, true FROM claims c JOIN sets f USING (claim) WHERE len(f.s) > 0 AND c.id <> f.id",
     "event_groups": f"WITH RECURSIVE {CLAIMS}, {GROUPS} SELECT id, root FROM groups",
     "voices": f"WITH RECURSIVE {SNAP}, {REG}, ve AS (SELECT doc_id AS id, lang || ':' || doc_id // 40 AS claim_group, content_hash AS cluster_id, independence_group, tier FROM snap JOIN reg USING (source_id)), {voices('ve')} SELECT * FROM v",
     "corroborate_events": f"WITH RECURSIVE {EVENTS} SELECT * FROM events_out",
