@@ -1,6 +1,14 @@
 """Results that are whole, and what a task holds."""
 
-from attestry.operators import corroborate
+import random
+from types import SimpleNamespace
+
+import numpy as np
+import pandas as pd
+import pytest
+
+from attestry.operators import corroborate, near_duplicates
+from attestry.streaming import bands
 
 
 def test_event_pairs_lose_no_claim(spark):
@@ -15,3 +23,53 @@ def test_event_pairs_lose_no_claim(spark):
     every = {(x, y) for x, _ in rows for y, _ in rows if x < y for a, b in [sorted((first.get(x, x), first.get(y, y)))] if (a, b) in linked or a == b}
     tokens = {i: set(t.lower().split()) - {"the", "of", "on"} for i, t in rows if t}
     assert every == {(x, y) for x in tokens for y in tokens if x < y and 2 * len(tokens[x] & tokens[y]) >= len(tokens[x] | tokens[y]) > 0}
+
+
+class Counted:
+    """A map state that counts how often it is asked."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def __getattr__(self, name):
+        if name not in ("exists", "getValue", "updateValue", "removeKey", "iterator"):
+            raise AttributeError(name)
+        done = {"exists": lambda: bool(self.held), "getValue": self.held.get, "updateValue": self.held.__setitem__, "removeKey": self.held.pop, "iterator": lambda: iter(self.held.items())}[name]
+        self.calls += 1
+        return done
+
+
+@pytest.mark.parametrize("days", [1, 10])
+def test_a_shelf_asks_its_state_once_for_each_box(days):
+    """However many bands a batch has; who meets whom is what comparing all says, whatever batches they come in."""
+    r, state = random.Random(3), Counted()
+    shelf = bands.Bands(days)
+    shelf.init(SimpleNamespace(getMapState=lambda *_: state, registerTimer=lambda _: None))
+    rows = [(r.randrange(-700, 700) * bands.SHELVES + 5, r.randrange(30) * bands.DAY_MS, f"n{r.randrange(900)}") for _ in range(3000)]
+    seen, many = {}, {}
+    for part in (rows[:1200], rows[1200:1210], rows[1210:]):
+        state.calls = 0
+        df = pd.DataFrame(part, columns=["k", "at", "content_hash"]).assign(signature=None)
+        found = pd.concat([pd.DataFrame(), *shelf.handleInputRows((5,), iter([df.iloc[:7], df.iloc[7:]]), SimpleNamespace(getCurrentWatermarkInMs=lambda: 0))])
+        boxes = {k // bands.SHELVES % bands.BOXES for k, *_ in part}
+        assert state.calls <= 2 * len(boxes) + 1
+        fresh = {}
+        for k, at, name in sorted(part):
+            if name not in seen.setdefault(k, {}):
+                seen[k][name] = fresh[k, name] = at
+        want = set()
+        for k, members in seen.items():
+            met = [(n, at, (k, n) in fresh) for n, at in members.items() if any(m != n and abs(a - at) <= days * bands.DAY_MS and ((k, n) in fresh or (k, m) in fresh) for m, a in members.items())]
+            if met:
+                want.add(frozenset(met))
+        got = {frozenset((x.node, x.at, x.fresh) for x in g.itertuples()) for _, g in found[found["k"].notna()].groupby("k")}
+        assert got == want and found["signature"].isna().all()
+        many[len(part)] = len(want)
+    assert min(many[1200], many[1790]) > 30
+
+
+@pytest.mark.parametrize("n", [1, 511, 512, 1025])
+def test_signatures_of_blocks(n):
+    members = np.random.default_rng(n).integers(-(1 << 62), 1 << 62, n)
+    want = [min((a * (int(m) & 0xFFFFFFFF) + b) % near_duplicates.PRIME for m in members) for a, b in near_duplicates.coefficients()]
+    assert near_duplicates.least_hashes(members).tolist() == want
