@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from datetime import datetime
 
@@ -10,10 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import written
-from .alike import deal_hot, flat, span_runs
+from ..storage import sent, written
+from .alike import deal_hot, flat, runs_of, span_runs
 from .graph import components
-from .near_duplicates import BANDS, PERMUTATIONS, THRESHOLD, low_digest, minhash, shingles
+from .near_duplicates import BANDS, PERMUTATIONS, THRESHOLD, least_hashes, low_digest, shingles
 
 #: Days that a signature takes part in clustering.
 WINDOW_DAYS = 14
@@ -21,11 +22,22 @@ WINDOW_DAYS = 14
 HOT_BAND = 4096
 
 
+def signed(sets: DataFrame) -> DataFrame:
+    """(content_hash, signature, created_at) of sets (content_hash, s, created_at), batch or stream; of an empty set the
+    signature is null. Shingles go from where they are made into the signature; a filter on them would make them twice."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, lengths = flat(batch.column("s"))
+            found = [least_hashes(m) if len(m) else None for m in np.split(values, np.cumsum(lengths)[:-1])] if batch.num_rows else []
+            yield pa.RecordBatch.from_arrays([batch.column("content_hash"), pa.array(found, pa.list_(pa.int64())), batch.column("created_at")], ["content_hash", "signature", "created_at"])
+
+    return sets.select("content_hash", "s", "created_at").mapInArrow(sign, "content_hash string, signature array<long>, created_at timestamp")
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """(content_hash, signature, created_at) of docs (content_hash, text, created_at); without tokens the signature is null."""
-    sets = written(docs.select("content_hash", "created_at", shingles(F.col("text"), digest=low_digest).alias("s")), "shingles")
-    signed = sets.filter(F.size("s") > 0).select("content_hash", minhash(F.col("s")).alias("signature"), "created_at")
-    return written(signed.unionByName(sets.filter(F.size("s") == 0).select("content_hash", F.lit(None).cast("array<bigint>").alias("signature"), "created_at")), "signatures")
+    return written(signed(docs.select("content_hash", shingles(F.col("text"), digest=low_digest).alias("s"), "created_at")), "signatures")
 
 
 def band_keys(signature: Column, bands: int = BANDS) -> Column:
@@ -39,15 +51,43 @@ def agree(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
     return (a == b).mean(axis=1) >= threshold - 1e-9
 
 
+def needed(threshold: float, bands: int) -> int:
+    """How many of the bands two signatures that agree need at most, to have one in common: each place in which they
+    differ takes one band away."""
+    return min(bands, PERMUTATIONS - math.ceil(PERMUTATIONS * threshold - 1e-6) + 1)
+
+
+def met(keyed: DataFrame) -> DataFrame:
+    """(k, id) of the rows (k, id: longs) whose k several ids have; equal sets of ids have one k, made of their members."""
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run, rows in runs_of(batches, ["k", "id"], 1):
+            new = np.concatenate([[True], (rows[1:] != rows[:-1]).any(1)])
+            run, id_ = run[new], rows[new, 1]
+            starts = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+            x = id_.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
+            name, keep = np.add.reduceat(x ^ (x >> np.uint64(29)), starts).view(np.int64), np.bincount(run)[run] > 1
+            yield pa.RecordBatch.from_arrays([pa.array(name[run][keep]), pa.array(id_[keep])], names=["k", "id"])
+
+    n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keyed.repartition(n, "k").sortWithinPartitions("k", "id").mapInArrow(several, "k long, id long").distinct()
+
+
 def band_links(signed: DataFrame, days: int | None = WINDOW_DAYS, threshold: float = THRESHOLD, bands: int = BANDS) -> DataFrame:
     """(a, b): links of signatures (content_hash, signature, created_at) that share a band, agree in ``threshold`` of their
     places and are at most ``days`` apart (at any distance if it is None). They span what all such pairs would join, within each band; pairs are not listed.
 
-    Members of a band are compared with one another but for those that are joined already. Crowded bands are dealt over
-    pairs of parts. Null signatures have no links.
+    Bands hold hashes of names: two of one hash would both be compared. Signatures go to those bands only that several have,
+    once for each set of members. Members of a band are compared with one another but for those that are joined already. Crowded bands
+    are dealt over pairs of parts. Null signatures have no links.
     """
-    keyed = signed.filter("signature IS NOT NULL").select(F.explode(band_keys(F.col("signature"), bands)).alias("k"), F.col("content_hash").alias("node"), F.unix_seconds("created_at").alias("at"), "signature")
-    return run_links(keyed.withColumn("fresh", F.lit(True)), None if days is None else days * 86400, threshold)
+    held = signed.filter("signature IS NOT NULL").select(F.xxhash64("content_hash").alias("id"), F.col("content_hash").alias("node"), F.unix_seconds("created_at").alias("at"), "signature")
+    keys = F.slice(band_keys(F.col("signature"), bands), 1, needed(threshold, bands))
+    may = written(met(held.select(F.explode(keys).alias("k"), "id")), "met")
+    # signatures that meet no other stay where they are
+    known = held.join(sent(may.select("id").distinct(), "meeting"), "id", "left_semi")
+    return run_links(may.join(known, "id").withColumn("fresh", F.lit(True)), None if days is None else days * 86400, threshold)
 
 
 def run_links(keyed: DataFrame, span: int | None, threshold: float = THRESHOLD) -> DataFrame:

@@ -1,13 +1,14 @@
 """Results that are whole, and what a task holds."""
 
 import random
+from datetime import datetime, timedelta
 from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
 import pytest
 
-from attestry.operators import corroborate, near_duplicates
+from attestry.operators import corroborate, near_duplicates, signatures
 from attestry.streaming import bands
 
 
@@ -73,3 +74,20 @@ def test_signatures_of_blocks(n):
     members = np.random.default_rng(n).integers(-(1 << 62), 1 << 62, n)
     want = [min((a * (int(m) & 0xFFFFFFFF) + b) % near_duplicates.PRIME for m in members) for a, b in near_duplicates.coefficients()]
     assert near_duplicates.least_hashes(members).tolist() == want
+
+
+def test_signatures_go_to_bands_that_several_have(spark, monkeypatch):
+    """Once for each set of members, not for each of 32 bands; links are those of comparing all."""
+    r, start = random.Random(5), datetime(2024, 1, 1)
+    base = [[r.randrange(1 << 32) for _ in range(128)] for _ in range(200)]
+    rows = [(f"n{i:03}", s, start + timedelta(days=i % 40)) for i, s in enumerate(base)]
+    rows += [(f"m{i:03}-{j}", [x + 1 if j * 7 <= p < j * 7 + 20 else x for p, x in enumerate(base[i])], start + timedelta(days=(i + 3 * j) % 40)) for i in range(20) for j in range(3)]
+    df = spark.createDataFrame([*rows, ("none", None, start)], "content_hash string, signature array<long>, created_at timestamp")
+    moved, run_links = [], signatures.run_links
+    monkeypatch.setattr(signatures, "run_links", lambda keyed, *rest: moved.append(keyed.count()) or run_links(keyed, *rest))
+    for days in (5, None):
+        found = {tuple(x) for x in signatures.components(signatures.band_links(df, days)).collect()}
+        alike = lambda x, y: sum(p == q for p, q in zip(x[1], y[1], strict=True)) >= 0.8 * 128 and (days is None or abs(x[2] - y[2]) <= timedelta(days=days))
+        pairs = [(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and alike(x, y)]
+        assert pairs and found == {tuple(x) for x in signatures.components(spark.createDataFrame(pairs, "a string, b string")).collect()}
+    assert 80 <= moved[0] == moved[1] < 800 < 26 * len(rows)
