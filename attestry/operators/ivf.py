@@ -10,6 +10,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ from .retrieve import dense_topk, top
 SAMPLE, ROUNDS, MOST_LISTS = 65_536, 12, 4096
 #: Rows of a list and queries of a list that meet in one task at most; larger ones are dealt over several.
 ROWS, QUERIES = 20_000, 1024
+#: Scores, and queries beside their lists, that a task holds at once.
+SCORES, ASKED = 2_000_000, 8192
 
 
 def unit(m: np.ndarray) -> np.ndarray:
@@ -41,6 +44,13 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return unit(out)
 
 
+def lists_of(m: np.ndarray) -> pa.Array:
+    """Rows as a column of vectors."""
+    if not m.size:
+        return pa.array([[]] * len(m), pa.list_(pa.float64()))
+    return pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), m.shape[1]).cast(pa.list_(pa.float64()))
+
+
 def fit(sample: np.ndarray, lists: int, rounds: int = ROUNDS) -> np.ndarray:
     """Centroids (unit rows) of unit rows: begun at rows spread evenly over the sample, moved to their rows' mean direction."""
     centroids = sample[np.linspace(0, len(sample) - 1, min(lists, len(sample))).astype(int)].copy()
@@ -56,14 +66,25 @@ def fit(sample: np.ndarray, lists: int, rounds: int = ROUNDS) -> np.ndarray:
 def nearest(rows: np.ndarray, centroids: np.ndarray, k: int) -> np.ndarray:
     """The k nearest centroids of each row, best first."""
     out = np.zeros((len(rows), k), np.int64)
-    for at in range(0, len(rows), 4096):
-        s = rows[at : at + 4096] @ centroids.T
+    step = max(1, SCORES // len(centroids))
+    for at in range(0, len(rows), step):
+        s = rows[at : at + step] @ centroids.T
         first = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < s.shape[1] else np.broadcast_to(np.arange(s.shape[1]), s.shape)[:, :k]
         order = np.argsort(-np.take_along_axis(s, first, 1), axis=1, kind="stable")
-        out[at : at + 4096] = np.take_along_axis(first, order, 1)
+        out[at : at + step] = np.take_along_axis(first, order, 1)
     return out
 
 
+def probed(ids: pa.Array, m: np.ndarray, centroids: np.ndarray, probes: int) -> Iterator[pa.RecordBatch]:
+    """(list, query_id, vector): queries beside each of their nearest lists. A query's vector goes to each of its lists, so
+    this comes in pieces of ASKED rows, or one query."""
+    step = max(1, ASKED // probes)
+    for at in range(0, len(m), step):
+        own = m[at : at + step]
+        near, who = nearest(own, centroids, probes), np.repeat(np.arange(len(own)), probes)
+        yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), ids.take(pa.array(at + who)), lists_of(own[who])], ["list", "query_id", "vector"])
+
+
 @dataclass(frozen=True)
 class InvertedFile:
     """Rows (list, id, vector) in the shared folder, their centroids, and how many lists a query looks into."""
@@ -81,7 +102,7 @@ def build(vectors: DataFrame, lists: int | None = None, sample: int = SAMPLE) ->
     spark = vectors.sparkSession
     rows = vectors.select(F.col("id").cast("long").alias("id"), "vector")
     some = rows.filter("vector IS NOT NULL").orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
-    width = max((len(v) for v in some.column("vector").to_pylist()), default=0)
+    width = pc.max(pc.list_value_length(some.column("vector"))).as_py() or 0
     n = rows.count() if lists is None else 0
     lists = min(lists or max(1, round(4 * n**0.5)), MOST_LISTS)
     found = fit(matrix(some.column("vector").combine_chunks(), width), lists) if some.num_rows else np.zeros((1, width))
@@ -91,8 +112,7 @@ def build(vectors: DataFrame, lists: int | None = None, sample: int = SAMPLE) ->
         for batch in batches:
             m = matrix(batch.column("vector"), sent.value.shape[1])
             own = nearest(m, sent.value, 1)[:, 0]
-            vector = pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), m.shape[1]).cast(pa.list_(pa.float64())) if m.size else pa.array([[]] * len(m), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), batch.column("id"), vector], ["list", "id", "vector"])
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), batch.column("id"), lists_of(m)], ["list", "id", "vector"])
 
     return InvertedFile(written(rows.mapInArrow(assign, "list int, id long, vector array<double>"), "inverted-file"), found)
 
@@ -108,11 +128,7 @@ def search(file: InvertedFile, queries: DataFrame, k: int = 96) -> DataFrame:
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m = matrix(batch.column("vector"), sent.value.shape[1])
-            near = nearest(m, sent.value, probes)
-            who = np.repeat(np.arange(len(m)), probes)
-            vector = pa.array(list(m[who]), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), batch.column("query_id").take(pa.array(who)), vector], ["list", "query_id", "vector"])
+            yield from probed(batch.column("query_id"), matrix(batch.column("vector"), sent.value.shape[1]), sent.value, probes)
 
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "vector").mapInArrow(ask, "list int, query_id long, vector array<double>")
     asked = written(asked, "probes")

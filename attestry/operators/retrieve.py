@@ -14,6 +14,8 @@ from ..storage import sent, written
 
 #: Queries of one block: their vectors are sent to all tasks together.
 QUERY_BLOCK = 2048
+#: Rows that meet a block of queries at once.
+ROW_BLOCK = 2048
 RRF_K = 60
 
 
@@ -38,17 +40,17 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 96) -> DataFrame
             ids, q = sent.value
             best = [(np.zeros(0, np.int64), np.zeros(0))] * len(ids)
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                own = batch.column("id").to_numpy(zero_copy_only=False)
-                m = unit(np.array(batch.column("vector").to_pylist(), dtype=np.float64))
-                scores = q @ m.T
-                for i in range(len(ids)):
-                    s = scores[i]
-                    keep = np.nonzero(s >= np.partition(s, len(s) - k)[len(s) - k])[0] if len(s) > k else np.arange(len(s))
-                    a, b = np.concatenate([best[i][0], own[keep]]), np.concatenate([best[i][1], s[keep]])
-                    order = np.lexsort((a, -b))[:k]
-                    best[i] = a[order], b[order]
+                for at in range(0, batch.num_rows, ROW_BLOCK):
+                    some = batch.slice(at, ROW_BLOCK)
+                    own = some.column("id").to_numpy(zero_copy_only=False)
+                    m = unit(np.array(some.column("vector").to_pylist(), dtype=np.float64))
+                    scores = q @ m.T
+                    for i in range(len(ids)):
+                        s = scores[i]
+                        keep = np.nonzero(s >= np.partition(s, len(s) - k)[len(s) - k])[0] if len(s) > k else np.arange(len(s))
+                        a, b = np.concatenate([best[i][0], own[keep]]), np.concatenate([best[i][1], s[keep]])
+                        order = np.lexsort((a, -b))[:k]
+                        best[i] = a[order], b[order]
             for i, (a, b) in zip(ids.tolist(), best, strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), i)), pa.array(a), pa.array(b)], schema=schema)
 

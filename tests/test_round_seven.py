@@ -6,9 +6,10 @@ from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
-from attestry.operators import corroborate, near_duplicates, signatures
+from attestry.operators import corroborate, ivf, near_duplicates, signatures
 from attestry.streaming import bands
 
 
@@ -91,3 +92,18 @@ def test_signatures_go_to_bands_that_several_have(spark, monkeypatch):
         pairs = [(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and alike(x, y)]
         assert pairs and found == {tuple(x) for x in signatures.components(spark.createDataFrame(pairs, "a string, b string")).collect()}
     assert 80 <= moved[0] == moved[1] < 800 < 26 * len(rows)
+
+
+def test_queries_beside_their_lists_come_in_pieces():
+    """3,000 queries of 100 lists each are 300,000 vectors: a task holds some thousands of them."""
+    r = np.random.default_rng(2)
+    m, centroids = (ivf.unit(r.normal(size=(n, 8))) for n in (3000, 128))
+    pieces = list(ivf.probed(pa.array(np.arange(3000) * 7), m, centroids, 100))
+    assert max(x.num_rows for x in pieces) <= ivf.ASKED and sum(x.num_rows for x in pieces) == 300_000
+    whole = pa.Table.from_batches(pieces)
+    own = whole.column("query_id").to_numpy()
+    assert (own == np.repeat(np.arange(3000) * 7, 100)).all()
+    assert (np.array(whole.column("vector").to_pylist()) == m[own // 7]).all()
+    near = np.sort(whole.column("list").to_numpy().reshape(3000, 100), axis=1)
+    assert (near == np.sort(np.argsort(-(m @ centroids.T), axis=1)[:, :100], axis=1)).all()
+    assert next(ivf.probed(pa.array([1]), m[:1], np.repeat(centroids, 80, 0), 10_000)).num_rows == 10_000
