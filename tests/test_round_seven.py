@@ -9,7 +9,9 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 
-from attestry.operators import corroborate, ivf, near_duplicates, signatures
+from attestry.operators import corroborate, ivf, near_duplicates, signatures, verify
+from attestry.plans import workflows
+from attestry.sources.config import Profile
 from attestry.streaming import bands
 
 
@@ -107,3 +109,21 @@ def test_queries_beside_their_lists_come_in_pieces():
     near = np.sort(whole.column("list").to_numpy().reshape(3000, 100), axis=1)
     assert (near == np.sort(np.argsort(-(m @ centroids.T), axis=1)[:, :100], axis=1)).all()
     assert next(ivf.probed(pa.array([1]), m[:1], np.repeat(centroids, 80, 0), 10_000)).num_rows == 10_000
+
+
+def test_a_body_is_made_for_those_who_ask(spark):
+    """Verdicts of any number of claims need no body, which is one row; a replay compares verdicts. Asked for, it is made once."""
+    texts = ["The harbour office cancelled all evening ferries to the islands.", "All evening ferries to the islands were cancelled by the harbour office.", "Two paper mills plan to share one water treatment plant."]
+    rows = [(f"S{i}", f"s{i}", f"c{i}", t, None, [], None) for i, t in enumerate(texts, 1)]
+    evidence = spark.createDataFrame(rows, "sid string, source_id string, cluster_id string, text string, published_at timestamp, entity_ids array<string>, title string")
+    sources = spark.createDataFrame([(f"s{i}", {"general": 1}, f"g{i}") for i in (1, 2, 3)], "source_id string, tags map<string,int>, independence_group string")
+    made = []
+    seams = workflows.Seams(synthesize=lambda claims, seen: made.append(1) or verify.brief_bodies(claims, seen))
+    profile = Profile("d", ["general"])
+    first = workflows.tail(evidence, sources, profile, seams)
+    again = workflows.replay(evidence, sources, profile, first["verdicts"], seams)
+    assert sorted(r.verdict for r in first["verdicts"].collect()) == ["attributed", "confirmed"] and again["difference"].count() == 0 and not made
+    named = {"evidence": evidence} | first
+    assert set(named) == {"evidence", "claims", "verdicts", "body", "checks", "shipped", "precision"} and not made
+    assert named["precision"].first().precision == 1.0 and "evening ferries" in named["shipped"].first().shipped and len(made) == 1
+    assert named["body"].count() == 1 and named["checks"].count() == 2 and len(made) == 1
